@@ -7,8 +7,13 @@ import shutil
 import tempfile
 import uuid
 
+import lodestone
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions that run in Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(lodestone)
+
 _OWN_DIRS: dict[str, str] = {}
 
 
