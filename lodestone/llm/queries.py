@@ -120,7 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SQUEEZE = r"regexp_replace(replace(lower(coalesce({0}, '')), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
-_OPTIONS = "list_sort(list_filter([" + ", ".join(_SQUEEZE.format(f"option_{x}") for x in "abcd") + "], x -> x <> ''))"
+_OPTIONS = "list_sort(list_filter([" + ", ".join(_SQUEEZE.format(f"option_{x}") for x in "abcd") + "], lambda x: x <> ''))"
 _KEYED = f"SELECT row_id, {_SQUEEZE.format('question_text')} AS t, {_OPTIONS} AS o, question_text, option_a, option_b, option_c, option_d, year FROM questions WHERE row_id IS NOT NULL"
 _WS = r"[\s \x{200b}-\x{200d}\x{2060}\x{feff}*_~`\"''”’»]+$"
 
@@ -147,7 +147,7 @@ SELECT canonical_question_id, field_name, row_id FROM c QUALIFY row_number() OVE
 def _p6_sql() -> str:
     tidy = r"trim(regexp_replace(lower({0}), '[\s _-]+', ' ', 'g'))"
     return f"""WITH a AS (SELECT 'question_pattern' AS field_name, row_number() OVER () AS r, [{tidy.format('question_pattern')}] AS t, coalesce(question_count, 0) AS w FROM pattern_by_topic),
-b AS (SELECT 'micro_concept' AS field_name, row_number() OVER () AS r, list_transform(string_split_regex(micro_concept, '[;|]'), x -> {tidy.format('x')}) AS t, 1 AS w FROM questions_dedupe),
+b AS (SELECT 'micro_concept' AS field_name, row_number() OVER () AS r, list_transform(string_split_regex(micro_concept, '[;|]'), lambda x: {tidy.format('x')}) AS t, 1 AS w FROM questions_dedupe),
 n AS (SELECT field_name, count(*) AS total FROM (SELECT field_name FROM a UNION ALL SELECT field_name FROM b) GROUP BY 1),
 e AS (SELECT field_name, r, w, unnest(t) AS term FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
 f AS (SELECT field_name, term, CAST(sum(w) AS BIGINT) AS occurrences, CAST(count(DISTINCT r) AS BIGINT) AS records FROM e WHERE term <> '' GROUP BY 1, 2)
@@ -166,6 +166,7 @@ SELECT a.row_id AS row_id_1, b.row_id AS row_id_2 FROM s a JOIN s b ON a.row_id
 WHERE (a.y = b.y OR a.y IS NULL OR b.y IS NULL) AND (a.t <> b.t OR a.o <> b.o) AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7
 AND len(list_intersect(a.w, b.w)) * 10 >= (a.n + b.n - len(list_intersect(a.w, b.w))) * 7""",
         "p5_found": _p5_sql(),
+        "p6_frequencies": _p6_sql(),
         "p6_found": f"SELECT field_name, term, mark FROM ({_p6_sql()}) WHERE mark IS NOT NULL",
         "p7_found": """WITH RECURSIVE h AS (SELECT DISTINCT exact_question_hash AS h, canonical_question_id AS id FROM questions_dedupe WHERE exact_question_hash <> '' AND canonical_question_id IS NOT NULL),
 e AS (SELECT left_id AS a, right_id AS b FROM match_pairs WHERE is_match AND left_id <> right_id UNION SELECT right_id, left_id FROM match_pairs WHERE is_match AND left_id <> right_id
