@@ -139,7 +139,7 @@ def _(spark, d):
 
 
 @query("legacy_priority", f"""WITH {_F}, m AS (SELECT max(year) AS newest, count(*) AS total FROM f), g AS (SELECT chapter, subtopic, count(*) AS question_count, CAST(sum(greatest(year - newest + 1, 0) + 1) AS BIGINT) AS recency, avg(CASE WHEN hard THEN 1e0 ELSE 0e0 END) AS hard, max(total) AS total FROM f, m GROUP BY 1, 2)
-SELECT chapter, subtopic, question_count, recency, round((question_count + 0.7e0 * recency) * (1 + 0.15e0 * hard), 2) AS priority_score, round(question_count / total, 4) AS probability FROM g""")
+SELECT chapter, subtopic, question_count, recency, round((question_count + 0.7e0 * recency) * (1 + 0.15e0 * hard), 6) AS priority_score, round(question_count / total, 8) AS probability FROM g""")
 def _(spark, d):
     return priority.legacy(facts(spark, d), KEYS, "year", F.col("hard"))
 
@@ -223,7 +223,7 @@ def _(spark, d):
     return priority.low_frequency(per.join(A.dominant(q, KEYS, "difficulty"), KEYS, "left"), 30, "last_seen_year", 2025, F.col("difficulty")).select(*KEYS, "question_count", "last_seen_year", "difficulty", "study_action")
 
 
-@query("repeated_groups", f"""SELECT repeated_concept_cluster, count(*) AS question_count, string_agg(DISTINCT y, ', ' ORDER BY y) AS years_seen, count(DISTINCT y) AS year_count, string_agg(DISTINCT chapter, ', ' ORDER BY chapter) AS chapters, arg_min(substring(question_text, 1, 500), row_id) FILTER (WHERE question_text IS NOT NULL) AS example_question
+@query("repeated_groups", f"""SELECT repeated_concept_cluster, count(*) AS question_count, coalesce(string_agg(DISTINCT y, ', ' ORDER BY y), '') AS years_seen, count(DISTINCT y) AS year_count, coalesce(string_agg(DISTINCT nullif(trim(chapter), ''), ', ' ORDER BY nullif(trim(chapter), '')), '') AS chapters, arg_min(substring(question_text, 1, 500), row_id) FILTER (WHERE question_text IS NOT NULL) AS example_question
 FROM (SELECT *, nullif({_YEAR}, '') AS y FROM questions WHERE NOT {_BLANK.format('repeated_concept_cluster')}) GROUP BY 1""")
 def _(spark, d):
     q = table(spark, d, "questions").where(~R.blank(F.col("repeated_concept_cluster"))).withColumn("y", F.nullif(rules.year_text(F.col("year")), F.lit("")))
@@ -275,7 +275,7 @@ def _(spark, d):
     return R.search(q, "style", ["question_text", "option_a"]).select("row_id", "chapter", "year")
 
 
-@query("text_normalize", r"SELECT row_id, regexp_replace(regexp_replace(regexp_replace(translate(question_text, ' ', ' '), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^[\s ]+|[\s ]+$', '', 'g') AS clean, trim(regexp_replace(regexp_replace(lower(question_text), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS match_text FROM questions")
+@query("text_normalize", r"SELECT row_id, regexp_replace(regexp_replace(regexp_replace(translate(question_text, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS clean, trim(regexp_replace(regexp_replace(lower(question_text), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS match_text FROM questions")
 def _(spark, d):
     return table(spark, d, "questions").select("row_id", X.normalize_text(F.col("question_text")).alias("clean"), X.normalize_for_match(F.col("question_text")).alias("match_text"))
 

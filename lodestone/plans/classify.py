@@ -124,7 +124,11 @@ def vote(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     names = list(weights)
     label = {n: F.when(~blank(F.col(f"{n}_label")), F.col(f"{n}_label")) for n in names}
     given = F.array(*[F.struct(label[n].alias("label"), (F.lit(w) * F.coalesce(F.col(f"{n}_score"), F.lit(0.0))).alias("s")) for n, w in weights.items()])
-    sums = F.array(*[F.struct(F.when(label[n].isNotNull(), F.round(F.aggregate(given, F.lit(0.0), lambda acc, g, n=n: acc + F.when(g["label"] == label[n], g["s"]).otherwise(0.0)), 6)).otherwise(-1.0).alias("s"), F.lit(-i).alias("order"), label[n].alias("label")) for i, n in enumerate(names)])
+
+    def total(mine: Column) -> Column:
+        return F.aggregate(given, F.lit(0.0), lambda acc, g: acc + F.when(g["label"] == mine, g["s"]).otherwise(0.0))
+
+    sums = F.array(*[F.struct(F.when(label[n].isNotNull(), F.round(total(label[n]), 6)).otherwise(-1.0).alias("s"), F.lit(-i).alias("order"), label[n].alias("label")) for i, n in enumerate(names)])
     out = df.withColumn("__best", F.array_max(sums))
     winner = F.col("__best.label")
     agree = sum((F.coalesce((label[n] == winner).cast("int"), F.lit(0)) for n in names), F.lit(0))

@@ -71,7 +71,7 @@ def legacy(facts: DataFrame, keys: Sequence[str], year: str, hard: Column) -> Da
     """Score by count, recency (2 for the newest year, else 1) and the share of hard kinds; probability by count."""
     newest = facts.agg(F.max(year).alias("__newest"), F.count(F.lit(1)).alias("__total"))
     per = facts.crossJoin(F.broadcast(newest)).groupBy(*keys).agg(F.count(F.lit(1)).alias("question_count"), F.sum(F.greatest(F.col(year) - F.col("__newest") + 1, F.lit(0)) + 1).cast("long").alias("recency"), F.avg(hard.cast("double")).alias("hard"), F.max("__total").alias("total"))  # one row
-    return per.select(*keys, "question_count", "recency", F.round((F.col("question_count") + 0.7 * F.col("recency")) * (1 + 0.15 * F.col("hard")), 2).alias("priority_score"), F.round(F.col("question_count") / F.col("total"), 4).alias("probability"))
+    return per.select(*keys, "question_count", "recency", F.round((F.col("question_count") + 0.7 * F.col("recency")) * (1 + 0.15 * F.col("hard")), 6).alias("priority_score"), F.round(F.col("question_count") / F.col("total"), 8).alias("probability"))
 
 
 def hype(topics: DataFrame, hype_column: str, weight: str) -> DataFrame:

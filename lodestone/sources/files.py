@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, trimmed: bool
         return spark.createDataFrame([], schema)
     if not raw.columns:
         return spark.createDataFrame([], schema)
-    named = raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
+    named = raw.toDF(*[c.strip().lstrip("\ufeff") for c in raw.columns])
     cells = named.select(*[(strip(F.col(f"`{c}`")) if trimmed else F.col(f"`{c}`")).alias(c) for c in named.columns])
     some = F.concat_ws("", *[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in cells.columns]) != ""
     return aligned(cells.where(some), schema)
@@ -53,7 +53,7 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType, requ
     whole = spark.createDataFrame([], schema)
     for path in sorted(glob.glob(os.path.join(folder, "*.csv"))):
         with open(path, encoding="utf-8", errors="ignore") as f:
-            header = [h.strip().strip('"') for h in f.readline().lstrip("﻿").rstrip("\r\n").split(",")]
+            header = [h.strip().strip('"') for h in f.readline().lstrip("\ufeff").rstrip("\r\n").split(",")]
         if required not in header:
             continue
         name = os.path.basename(path)
