@@ -26,7 +26,7 @@ SLICES = 4096
 
 
 def source_name(c: Column) -> Column:
-    return F.translate(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), "-", "_")
+    return F.translate(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), "-", "_")
 
 
 def tidy_targets(targets: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -133,7 +134,7 @@ def _present(column: str) -> str:
 
 def _p5_sql() -> str:
     bare = rf"regexp_replace(question_text, '{_WS}', '')"
-    marks = survivor.CUT_MARKS.replace("'", "''")
+    marks = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", survivor.CUT_MARKS.replace("'", "''"))
     mine, whole = _SQUEEZE.format("question_text"), _SQUEEZE.format("longest")
     broken = rf"coalesce(regexp_matches(lower({bare}), '{marks}') OR (NOT regexp_matches({bare}, '[.?!:।)\]]$') AND (regexp_matches({bare}, '[.?!:;]\s') OR (length({mine}) < length({whole}) AND starts_with({whole}, {mine})))), false)"
     held = f"CASE WHEN {_present('question_text')} THEN question_text END"

@@ -29,7 +29,7 @@ FIELDS = ("question_text", "passage_text", "option_a", "correct_option", "diffic
 STAND_INS = ("na", "n a", "nil", "none", "null", "nan", "nul", "unknown", "not known", "not available", "not applicable", "unavailable", "missing", "blank", "empty", "tbd", "tba", "tbc", "to be decided", "to be done", "to be announced", "no value", "no data", "undefined", "void", "n d", "nd", "not given", "not provided", "not specified", "unspecified", "pending", "todo", "to do", "xxx", "skipped or unavailable", "skipped", "unsure")
 
 # What is written after a text that was cut short.
-CUT_MARKS = r"(\.\.|…|\[[^\[\]]{0,3}\]|[(\[](contd|cont|continued|truncated|cut|more|snip|cut off|to be continued)\.?[)\]]|[,;\-–—‐‑&/+(\[{¬­]|read more|see more|more)\s*$"
+CUT_MARKS = r"(\.\.|…|\[[^\[\]]{0,3}\]|[(\[](contd|cont|continued|truncated|cut|more|snip|cut off|to be continued)\.?[)\]]|[,;\-–—\u2010\u2011&/+(\[{\u00ac\u00ad]|read more|see more|more)\s*$"
 
 
 def present(c: Column) -> Column:
@@ -41,7 +41,7 @@ def present(c: Column) -> Column:
 def broken_off(text: Column, siblings_longest: Column) -> Column:
     """True where a text ends before its end: a cut mark, or no closing mark although the text is punctuated,
     or - in a text without any punctuation - when it only begins the longest text of its group."""
-    bare = F.regexp_replace(text, r"[\s ​-‍⁠﻿*_~`\"'”’»]+$", "")
+    bare = F.regexp_replace(text, r"[\s\u00a0\u200b-\u200d\u2060\ufeff*_~`\"'”’»]+$", "")
     marked = F.lower(bare).rlike(CUT_MARKS)
     closed = bare.rlike(r"[.?!:।)\]]$")
     dotted = bare.rlike(r"[.?!:;]\s")
@@ -78,7 +78,7 @@ def records(claimed: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 def facts(df: DataFrame, group: str = "canonical_question_id", column: str = "micro_concept", separators: str = ";|", source: str = "source_tier") -> DataFrame:
     """``group``, ``value``, ``yes`` and ``no``: the sorted sources that claim a value, and those that only claim others."""
-    value = F.trim(F.regexp_replace(F.lower("v"), r"[\s _-]+", " "))
+    value = F.trim(F.regexp_replace(F.lower("v"), r"[\s\u00a0_-]+", " "))
     given = df.where(F.col(group).isNotNull()).select(F.col(group).alias("group"), F.coalesce(F.lower(F.trim(source)), F.lit("unknown")).alias("source"), F.explode(F.split(column, f"[{separators}]")).alias("v"))
     given = given.where(present(F.col("v"))).select("group", "source", value.alias("value")).distinct()
     speakers = given.groupBy("group").agg(F.collect_set("source").alias("all"))  # bounded by the number of sources

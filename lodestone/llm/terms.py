@@ -26,7 +26,7 @@ BLOCKS, RANGE = 64, 4096
 
 def tidy(c: Column) -> Column:
     """Lower case, trimmed, every run of white space, hyphens and underscores as one space."""
-    one = F.regexp_replace(F.lower(c), r"[\s  -  　‐‑_-]+", " ")
+    one = F.regexp_replace(F.lower(c), r"[\s\u00a0\u2000-\u200a\u202f\u3000\u2010\u2011_-]+", " ")
     return F.trim(one)
 
 
