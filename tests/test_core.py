@@ -44,7 +44,7 @@ def test_text_functions(spark):
 
 
 def test_question_parsing(spark):
-    block = "3) Which option follows?\n(A) first one\n(B) second\n(C) third\n(D) fourth\nAnswer: 2"
+    block = "7) Which option follows?\n(A) first one\n(B) second\n(C) third\n(D) fourth\nAnswer: 2"
     parts = [one(spark, X.option_text(F.col("a"), x), a=block) for x in "ABCD"]
     assert parts == ["first one", "second", "third", "fourth"]
     assert one(spark, X.question_stem(F.col("a")), a=block) == "Which option follows?"
