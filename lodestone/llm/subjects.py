@@ -4,7 +4,7 @@ Method: the sentences of all documents are normalised term vectors (tf-idf over
 equal ones collapsed with their counts; bisecting k-means splits them into leaves; a leaf's discriminative terms are
 weighed by the labelled examples and give the leaf a mixture of subjects; terms the examples lack get their subjects
 from the leaves they stand in. A document's subjects are those that enough of its sentences go to. Clustering whole
-documents was tried in thought and dropped: half of the documents treat two or three subjects, and a leaf of mixed
+documents was considered and dropped: a third of the documents treat two or three subjects, and a leaf of mixed
 documents cannot say which of them one document treats, while its sentences can.
 
 A sentence that names a subject in passing is told from one about it by its other words: over the corpus, words of
