@@ -50,9 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of ``df`` in a written table of the shared folder.
 
     A written table is smaller than ``checkpoint()``'s serialised rows, outlives every executor,
-    and gives the optimizer real sizes for the joins after it.
+    and gives the optimizer real sizes for the joins after it. All tables of a session lie under its application's
+    name, so that they can be removed together when its results are no longer needed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
