@@ -1,9 +1,11 @@
 """Problem 10: subject area of each document.
 
 Method: the sentences of all documents are normalised term vectors (tf-idf over words and word pairs, unit length),
-equal ones collapsed with their counts; bisecting k-means splits them into leaves; a leaf's discriminative terms are
-weighed by the labelled examples and give the leaf a mixture of subjects; terms the examples lack get their subjects
-from the leaves they stand in. A document's subjects are those that enough of its sentences go to. Clustering whole
+equal ones collapsed with their counts; bisecting k-means splits them into leaves; a leaf's discriminative terms (at
+least twice as frequent in it as over all sentences) are weighed by the labelled examples and give the leaf a mixture
+of subjects; terms the examples lack learn from the documents they stand in, and the mixtures are taken again from
+what is learned. A sentence's subjects are 0.7 those of its own terms and 0.3 the mixture of its leaf: a leaf alone
+holds several subjects too often to decide. A document's subjects are those that enough of its sentences go to. Clustering whole
 documents was considered and dropped: a third of the documents treat two or three subjects, and a leaf of mixed
 documents cannot say which of them one document treats, while its sentences can.
 
@@ -106,31 +108,43 @@ def log_odds(counts: np.ndarray, smooth: float | np.ndarray, prior: np.ndarray |
     return pull * one_sided
 
 
-def scored(segments: DataFrame, weights: dict[str, np.ndarray], subjects: list[str]) -> DataFrame:
-    """Adds ``post``: the posterior over subjects of a sentence, and ``pull``, the evidence for the best."""
-    shared = segments.sparkSession.sparkContext.broadcast(cloudpickle.dumps(weights))
+def scored(segments: DataFrame, weights: dict[str, np.ndarray], mixtures: dict[int, np.ndarray], subjects: list[str], own: float = 0.7) -> DataFrame:
+    """Adds ``post``: the subjects of a sentence, ``own`` by its terms and the rest by the mixture of its leaf, and ``pull``, its terms' evidence for the best."""
+    shared = segments.sparkSession.sparkContext.broadcast(cloudpickle.dumps((weights, mixtures)))
     k = len(subjects)
     keep = [c for c in segments.columns if c not in ("post", "pull")]
     schema = ", ".join(f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = pickle.loads(shared.value)
+        known, at_leaf = pickle.loads(shared.value)
+        even = np.full(k, 1 / k)
         for f in frames:
             posts, pulls = [], []
-            for ts in f.terms:
+            for leaf, ts in zip(f.leaf, f.terms):
                 score = np.zeros(k)
                 for t in ts:
                     w = known.get(t)
                     if w is not None:
                         score += w
                 e = np.exp(score - score.max())
-                posts.append((e / e.sum()).tolist())
-                pulls.append(float(score.max()))
+                post = e / e.sum() * own + at_leaf.get(leaf, even) * (1 - own)
+                posts.append(post.tolist())
+                pulls.append(float(score[post.argmax()]))
             yield f.assign(post=posts, pull=pulls)
 
     return segments.select(*keep).mapInPandas(run, f"{schema}, post array<double>, pull double")
 
 
+def discriminative(segments: DataFrame, lift: float = 2.0) -> DataFrame:
+    """``leaf``, ``term`` and ``part`` (of the leaf's sentences) of terms at least ``lift`` times as frequent in a leaf as over all."""
+    each = segments.select("leaf", "n", F.explode("terms").alias("term")).groupBy("leaf", "term").agg(F.sum("n").alias("c"))
+    sizes = segments.groupBy("leaf").agg(F.sum("n").alias("size"))
+    everywhere = each.groupBy("term").agg(F.sum("c").alias("all"))
+    total = segments.agg(F.sum("n").alias("total"))
+    rated = each.join(F.broadcast(sizes), "leaf").join(everywhere, "term").crossJoin(F.broadcast(total)).withColumn("part", F.col("c") / F.col("size"))
+    return rated.where(F.col("part") >= F.col("all") / F.col("total") * lift).select("leaf", "term", "part")
+
+
 def leaves(distinct: DataFrame, known: list[str], k: int = LEAVES, seed: int = 3) -> DataFrame:
     """``seg`` and ``leaf`` of every distinct sentence, by bisecting k-means on unit tf-idf vectors."""
     counted = CountVectorizerModel.from_vocabulary(known, inputCol="terms", outputCol="tf")
@@ -161,14 +175,15 @@ class Subjects:
         width = len(self.subjects)
         # first look: the examples' terms alone
         seeds = log_odds(np.array(list(profile.values())), 0.25)
-        first = cut(scored(self.distinct, dict(zip(profile, seeds)), self.subjects).join(in_leaf, "seg"))
-        mix = [F.sum(F.col("post")[i] * F.col("n")).alias(f"s{i}") for i in range(width)]
-        self.leaf_mixture = {r.leaf: np.array([r[f"s{i}"] for i in range(width)]) / r.n for r in first.groupBy("leaf").agg(F.sum("n").alias("n"), *mix).collect()}
+        self.weights = dict(zip(profile, seeds))
+        self.placed = placed = cut(self.distinct.join(in_leaf, "seg"))
+        self.leaf_terms = cut(discriminative(placed))
+        self.mixtures = self._mixtures()
+        now = cut(scored(placed, self.weights, self.mixtures, self.subjects))
         # terms learn from the documents they stand in, documents from their sentences' terms and leaves, a few times over;
         # what stands in documents of every subject learns nothing
-        now = first
         for _ in range(rounds):
-            sure = self._blend(now).where(F.col("pull") >= EVIDENCE).select("seg", "post")
+            sure = now.where(F.col("pull") >= EVIDENCE).select("seg", "post")
             total = [F.sum(F.col("post")[i]) for i in range(width)]
             of_doc = self.sentences.select("id", "seg").join(sure, "seg").groupBy("id").agg(F.array(*total).alias("m"), F.count(F.lit(1)).alias("of"))
             of_seg = self.sentences.select("id", "seg").join(of_doc, "id").groupBy("seg").agg(*[F.sum(F.col("m")[i] / F.col("of")).alias(f"s{i}") for i in range(width)])
@@ -178,15 +193,17 @@ class Subjects:
             counts = np.array([learned[t] + 4 * profile.get(t, 0) for t in names])
             prior = counts.sum(0) + 1.0
             self.weights = dict(zip(names, log_odds(counts, 0.02 * counts.sum(1, keepdims=True) / width + 0.5, prior / prior.sum())))
-            now = scored(self.distinct, self.weights, self.subjects).join(in_leaf, "seg")
+            self.mixtures = self._mixtures()
+            now = scored(placed, self.weights, self.mixtures, self.subjects)
         self.labelled = cut(self._judge(now))
 
-    def _blend(self, segments: DataFrame, own: float = 0.7) -> DataFrame:
-        """Posteriors mixed with those of their leaf."""
-        rows = [(int(leaf), [float(x) for x in m]) for leaf, m in self.leaf_mixture.items()]
-        table = segments.sparkSession.createDataFrame(rows, "leaf int, mix array<double>")
-        joined = segments.join(F.broadcast(table), "leaf")
-        return joined.withColumn("post", F.zip_with("post", "mix", lambda a, b: a * own + b * (1 - own)))
+    def _mixtures(self) -> dict[int, np.ndarray]:
+        """Per leaf the posterior over subjects of its discriminative terms, each as often as a sentence of the leaf has it."""
+        k = len(self.subjects)
+        rows = [(t, [float(x) for x in w]) for t, w in self.weights.items()]
+        table = self.leaf_terms.sparkSession.createDataFrame(rows, "term string, w array<double>")
+        sums = self.leaf_terms.join(table, "term").groupBy("leaf").agg(F.array(*[F.sum(F.col("part") * F.col("w")[i]) for i in range(k)]).alias("score"))
+        return {r.leaf: (e := np.exp(np.array(r.score) - max(r.score))) / e.sum() for r in sums.collect()}  # bounded: leaves times subjects
 
     def _judge(self, segments: DataFrame, least: float = 0.6, evidence: float = EVIDENCE) -> DataFrame:
         top = F.array_max("post")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lodestone.llm import scans, subjects
 
 WORDS = "the manager planned every section before market students asked question answers learners compare columns carefully short summary notebook after three days teacher repeated example lesson point nearly year".split()
@@ -89,6 +91,17 @@ def test_subjects(spark):
     assert subjects.Subjects(d, areas, examples.limit(0)).assigned().count() == 0
 
 
+def test_leaves_take_part_in_what_a_sentence_is_about(spark):
+    rows = [(1, 0, ["court", "order"], 3), (2, 0, ["court", "today"], 1), (3, 1, ["soup", "today"], 3), (4, 1, ["soup", "order"], 1)]
+    segments = spark.createDataFrame(rows, "seg long, leaf int, terms array<string>, n long")
+    assert {(r.leaf, r.term, round(r.part, 2)) for r in subjects.discriminative(segments, 1.9).collect()} == {(0, "court", 1.0), (1, "soup", 1.0)}
+    # the same words of two subjects go to the subject of the leaf's mixture; without a mixture they stay open
+    mixtures = {0: np.array([0.0, 1.0]), 1: np.array([1.0, 0.0])}
+    posts = {r.seg: r.post for r in subjects.scored(segments, {"order": np.array([1.0, 1.0])}, mixtures, ["food", "law"]).collect()}
+    assert posts[1][1] > 0.6 and posts[4][0] > 0.6
+    assert all(abs(p[0] - 0.5) < 1e-9 for p in (r.post for r in subjects.scored(segments, {"order": np.array([1.0, 1.0])}, {}, ["food", "law"]).collect()))
+
+
 def test_queries_over_the_small_tables(spark, sf):
     from lodestone.llm.queries import queries
 
