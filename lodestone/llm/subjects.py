@@ -12,8 +12,11 @@ documents cannot say which of them one document treats, while its sentences can.
 A sentence that names a subject in passing is told from one about it by its other words: over the corpus, words of
 passing mentions stand with subjects that nothing else in the document supports.
 
-What the driver holds is bounded by parameters: ``FEATURES`` terms and ``LEAVES`` leaves times the subjects. All
-sentences of all texts are clustered and counted; nothing is sampled.
+Every term of the examples and every term of three sentences or more takes part, whatever its rank; a rarer term could
+learn from its own documents only. The terms' evidence is a table that is joined, never on the driver. Only the vectors
+that are clustered are still of the ``CLUSTERED`` commonest terms, so a sentence without any of them has its subject
+from its terms alone. The driver holds these, ``LEAVES`` leaves times the subjects, and the examples. All sentences of
+all texts are clustered and counted; nothing is sampled.
 
 Defined cases: null, empty and blank texts, and texts without subject matter, have no row; repeated texts each have
 their rows; texts are taken whole; ties between subjects of a sentence go to the first in string order; null ids are
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import cut
 
-FEATURES, LEAVES = 6000, 72
+CLUSTERED, LEAVES = 6000, 72  # commonest terms in the clustered vectors, leaves
 EVIDENCE = 0.8  # what a sentence needs for any subject
 HELD = 400_000  # terms a task counts before it hands them on
 
@@ -67,25 +70,24 @@ def _count_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"term": list(held.keys()), "n": list(held.values())})
 
 
-def vocabulary(texts: DataFrame, least: int = 3) -> list[str]:
-    """The ``FEATURES`` commonest terms, counted over all sentences."""
-    counts = texts.select("text").mapInPandas(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r.term for r in counts.orderBy(F.desc("n"), "term").limit(FEATURES).collect()]
+def vocabulary(texts: DataFrame, examples: list[str], least: int = 3) -> DataFrame:
+    """``term``: every term of ``least`` sentences and more, and every term of the examples that stands anywhere."""
+    counts = texts.select("text").mapInPandas(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    given = texts.sparkSession.createDataFrame([(t,) for t in examples], "term string").withColumn("given", F.lit(True))  # bounded: the labelled examples
+    return counts.join(given, "term", "left").where((F.col("n") >= least) | F.col("given")).select("term")
 
 
-def split_up(texts: DataFrame, known: list[str]) -> DataFrame:
-    """``id``, ``words`` (how many) and ``terms`` (those of the vocabulary, sorted) of every sentence."""
-    shared = texts.sparkSession.sparkContext.broadcast(frozenset(known))
+def split_up(texts: DataFrame) -> DataFrame:
+    """``id``, ``words`` (how many), ``all`` (the terms, sorted) and ``raw``, their hash, of every sentence."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = shared.value
         for f in frames:
             for at in range(0, len(f), 1000):
-                out = [(i, len(w), sorted(wanted.intersection(terms(w)))) for i, text in zip(f.id[at : at + 1000], f.text[at : at + 1000]) for w in sentences(text)]
-                yield pd.DataFrame(out, columns=["id", "words", "terms"])
+                out = [(i, len(w), sorted(terms(w))) for i, text in zip(f.id[at : at + 1000], f.text[at : at + 1000]) for w in sentences(text)]
+                yield pd.DataFrame(out, columns=["id", "words", "all"])
 
-    return texts.select("id", "text").mapInPandas(run, f"id {kind}, words int, terms array<string>")
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, words int, all array<string>").withColumn("raw", F.xxhash64("all"))
 
 
 def example_profile(examples: list[tuple[str, str]], subjects: list[str]) -> dict[str, np.ndarray]:
@@ -108,31 +110,30 @@ def log_odds(counts: np.ndarray, smooth: float | np.ndarray, prior: np.ndarray |
     return pull * one_sided
 
 
-def scored(segments: DataFrame, weights: dict[str, np.ndarray], mixtures: dict[int, np.ndarray], subjects: list[str], own: float = 0.7) -> DataFrame:
+def scored(segments: DataFrame, weights: DataFrame, mixtures: dict[int, np.ndarray], subjects: list[str], own: float = 0.7) -> DataFrame:
     """Adds ``post``: the subjects of a sentence, ``own`` by its terms and the rest by the mixture of its leaf, and ``pull``, its terms' evidence for the best."""
-    shared = segments.sparkSession.sparkContext.broadcast(cloudpickle.dumps((weights, mixtures)))
+    shared = segments.sparkSession.sparkContext.broadcast(cloudpickle.dumps(mixtures))
     k = len(subjects)
     keep = [c for c in segments.columns if c not in ("post", "pull")]
     schema = ", ".join(f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in keep)
+    # rounded, so that ties do not depend on the order of the sum
+    score = F.array(*[F.round(F.sum(F.col("w")[i]), 9) for i in range(k)])
+    sums = segments.select("seg", F.explode("terms").alias("term")).join(weights, "term").groupBy("seg").agg(score.alias("score"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, at_leaf = pickle.loads(shared.value)
-        even = np.full(k, 1 / k)
+        at_leaf = pickle.loads(shared.value)
+        even, none = np.full(k, 1 / k), np.zeros(k)
         for f in frames:
             posts, pulls = [], []
-            for leaf, ts in zip(f.leaf, f.terms):
-                score = np.zeros(k)
-                for t in ts:
-                    w = known.get(t)
-                    if w is not None:
-                        score += w
+            for leaf, given in zip(f.leaf, f.score):
+                score = none if given is None else given
                 e = np.exp(score - score.max())
                 post = e / e.sum() * own + at_leaf.get(leaf, even) * (1 - own)
                 posts.append(post.tolist())
                 pulls.append(float(score[post.argmax()]))
-            yield f.assign(post=posts, pull=pulls)
+            yield f.drop(columns="score").assign(post=posts, pull=pulls)
 
-    return segments.select(*keep).mapInPandas(run, f"{schema}, post array<double>, pull double")
+    return segments.select(*keep).join(sums, "seg", "left").select(*keep, "score").mapInPandas(run, f"{schema}, post array<double>, pull double")
 
 
 def discriminative(segments: DataFrame, lift: float = 2.0) -> DataFrame:
@@ -145,9 +146,10 @@ def discriminative(segments: DataFrame, lift: float = 2.0) -> DataFrame:
     return rated.where(F.col("part") >= F.col("all") / F.col("total") * lift).select("leaf", "term", "part")
 
 
-def leaves(distinct: DataFrame, known: list[str], k: int = LEAVES, seed: int = 3) -> DataFrame:
-    """``seg`` and ``leaf`` of every distinct sentence, by bisecting k-means on unit tf-idf vectors."""
-    counted = CountVectorizerModel.from_vocabulary(known, inputCol="terms", outputCol="tf")
+def leaves(distinct: DataFrame, k: int = LEAVES, seed: int = 3) -> DataFrame:
+    """``seg`` and ``leaf`` of every distinct sentence, by bisecting k-means on unit tf-idf vectors of the ``CLUSTERED`` commonest terms."""
+    common = distinct.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(CLUSTERED)  # bounded
+    counted = CountVectorizerModel.from_vocabulary([r.term for r in common.collect()], inputCol="terms", outputCol="tf")
     vectors = counted.transform(distinct.select("seg", "terms", F.col("n").cast("double").alias("weight")))
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(vectors).transform(vectors)
     unit = Normalizer(inputCol="tfidf", outputCol="features").transform(weighted).select("seg", "features", "weight")
@@ -165,18 +167,23 @@ class Subjects:
         if not self.ready:
             return
         profile = example_profile(given, self.subjects)
-        known = vocabulary(self.texts)
-        self.ready = bool(known)
+        raw = cut(split_up(self.texts))
+        each = raw.groupBy("raw").agg(F.first("all").alias("all"), F.count(F.lit(1)).alias("n")).select("raw", "n", F.explode("all").alias("term"))
+        kept = each.join(vocabulary(self.texts, list(profile)), "term").groupBy("raw", "n").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # bounded by a sentence
+        kept = cut(kept.withColumn("seg", F.xxhash64("terms")))
+        self.sentences = cut(raw.select("id", "words", "raw").join(kept.select("raw", "seg"), "raw", "left").select("id", "words", "seg"))  # without a term, no seg
+        self.distinct = cut(kept.groupBy("seg").agg(F.first("terms").alias("terms"), F.sum("n").alias("n")))
+        several = self.distinct.limit(2).count()
+        self.ready = several > 0
         if not self.ready:
             return
-        self.sentences = cut(split_up(self.texts, known).withColumn("seg", F.xxhash64("terms")))
-        self.distinct = cut(self.sentences.where(F.size("terms") > 0).groupBy("seg").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")))
-        in_leaf = cut(leaves(self.distinct, known, k)) if self.distinct.limit(2).count() > 1 else self.distinct.select("seg", F.lit(0).alias("leaf"))
+        in_leaf = cut(leaves(self.distinct, k)) if several > 1 else self.distinct.select("seg", F.lit(0).alias("leaf"))
         width = len(self.subjects)
         # first look: the examples' terms alone
         seeds = log_odds(np.array(list(profile.values())), 0.25)
-        self.weights = dict(zip(profile, seeds))
-        self.placed = placed = cut(self.distinct.join(in_leaf, "seg"))
+        rows = [(t, w.tolist()) for t, w in zip(profile, seeds)]
+        self.weights = docs.sparkSession.createDataFrame(rows, "term string, w array<double>")
+        placed = cut(self.distinct.join(in_leaf, "seg"))
         self.leaf_terms = cut(discriminative(placed))
         self.mixtures = self._mixtures()
         now = cut(scored(placed, self.weights, self.mixtures, self.subjects))
@@ -188,21 +195,39 @@ class Subjects:
             of_doc = self.sentences.select("id", "seg").join(sure, "seg").groupBy("id").agg(F.array(*total).alias("m"), F.count(F.lit(1)).alias("of"))
             of_seg = self.sentences.select("id", "seg").join(of_doc, "id").groupBy("seg").agg(*[F.sum(F.col("m")[i] / F.col("of")).alias(f"s{i}") for i in range(width)])
             of_terms = self.distinct.join(of_seg, "seg").select(F.explode("terms").alias("term"), *[f"s{i}" for i in range(width)]).groupBy("term").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
-            learned = {r.term: np.array([r[f"s{i}"] for i in range(width)]) for r in of_terms.collect()}  # bounded by FEATURES
-            names = list(learned)
-            counts = np.array([learned[t] + 4 * profile.get(t, 0) for t in names])
-            prior = counts.sum(0) + 1.0
-            self.weights = dict(zip(names, log_odds(counts, 0.02 * counts.sum(1, keepdims=True) / width + 0.5, prior / prior.sum())))
+            self.weights = cut(self._weigh(cut(of_terms), profile))
             self.mixtures = self._mixtures()
             now = scored(placed, self.weights, self.mixtures, self.subjects)
         self.labelled = cut(self._judge(now))
 
+    def _weigh(self, learned: DataFrame, profile: dict[str, np.ndarray]) -> DataFrame:
+        """``term`` and ``w``, its evidence for the subjects, by the documents it stands in (``learned``) and the examples; never on the driver."""
+        width = len(self.subjects)
+        columns = [f"s{i}" for i in range(width)]
+        shared = learned.sparkSession.sparkContext.broadcast(cloudpickle.dumps(profile))  # bounded: the labelled examples
+
+        def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            given, none = pickle.loads(shared.value), np.zeros(width)
+            for f in frames:
+                sums = f[columns].to_numpy() + 4 * np.array([given.get(t, none) for t in f.term]).reshape(len(f), width)
+                yield pd.DataFrame({"term": f.term, "c": sums.tolist()})
+
+        counts = cut(learned.mapInPandas(counted, "term string, c array<double>"))
+        sums = counts.agg(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0.0)) for i in range(width)]).first()
+        prior = np.array(list(sums)) + 1.0
+        prior /= prior.sum()
+
+        def weighed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                c = np.array(f.c.tolist(), dtype=float).reshape(len(f), width)
+                yield pd.DataFrame({"term": f.term, "w": log_odds(c, 0.02 * c.sum(1, keepdims=True) / width + 0.5, prior).tolist()})
+
+        return counts.mapInPandas(weighed, "term string, w array<double>")
+
     def _mixtures(self) -> dict[int, np.ndarray]:
         """Per leaf the posterior over subjects of its discriminative terms, each as often as a sentence of the leaf has it."""
         k = len(self.subjects)
-        rows = [(t, [float(x) for x in w]) for t, w in self.weights.items()]
-        table = self.leaf_terms.sparkSession.createDataFrame(rows, "term string, w array<double>")
-        sums = self.leaf_terms.join(table, "term").groupBy("leaf").agg(F.array(*[F.sum(F.col("part") * F.col("w")[i]) for i in range(k)]).alias("score"))
+        sums = self.leaf_terms.join(self.weights, "term").groupBy("leaf").agg(F.array(*[F.sum(F.col("part") * F.col("w")[i]) for i in range(k)]).alias("score"))
         return {r.leaf: (e := np.exp(np.array(r.score) - max(r.score))) / e.sum() for r in sums.collect()}  # bounded: leaves times subjects
 
     def _judge(self, segments: DataFrame, least: float = 0.6, evidence: float = EVIDENCE) -> DataFrame:
@@ -211,22 +236,21 @@ class Subjects:
         names = F.array(*[F.lit(s) for s in self.subjects])
         return segments.select("seg", "terms", "n", F.when((top >= least) & (F.col("pull") >= evidence), F.element_at(names, at)).alias("subject"))
 
-    def passing_terms(self, least: int = 20, lone: float = 0.6) -> list[str]:
-        """Terms whose sentences mostly bring up a subject that no other sentence of the document has."""
+    def passing_terms(self, least: int = 20, lone: float = 0.6) -> DataFrame:
+        """``term``: those whose sentences mostly bring up a subject that no other sentence of the document has."""
         named = self.sentences.join(self.labelled.where("subject is not null").select("seg", "subject"), "seg")
         per_doc = named.groupBy("id", "subject").agg(F.count(F.lit(1)).alias("times"), F.first("seg").alias("seg"))
         sizes = self.sentences.groupBy("id").agg(F.sum(F.when(F.col("words") >= 4, 1).otherwise(0)).alias("m")).where("m >= 5")
         single = per_doc.where("times = 1").join(sizes, "id").groupBy("seg").agg(F.count(F.lit(1)).alias("alone"))
         all_ = named.join(sizes, "id").groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
         rates = all_.join(single, "seg", "left").join(self.labelled.select("seg", "terms"), "seg").select("n", F.coalesce("alone", F.lit(0)).alias("alone"), F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
-        return [r.term for r in rates.where((F.col("n") >= least) & (F.col("alone") >= F.col("n") * lone)).select("term").collect()]  # bounded by FEATURES
+        return rates.where((F.col("n") >= least) & (F.col("alone") >= F.col("n") * lone)).select("term")
 
     def shares(self) -> DataFrame:
         """``id``, ``subject``, ``times``, ``sentences`` and ``share`` of every subject of every document."""
-        passing = self.passing_terms()
         about = self.labelled.where("subject is not null")
-        if passing:
-            about = about.where(~F.arrays_overlap("terms", F.array(*[F.lit(t) for t in passing])))
+        in_passing = about.select("seg", F.explode("terms").alias("term")).join(self.passing_terms(), "term").select("seg").distinct()
+        about = about.join(in_passing, "seg", "left_anti")
         told = self.sentences.where("words >= 4").join(about.select("seg", "subject"), "seg", "left")
         each = told.groupBy("id", "subject").agg(F.count(F.lit(1)).alias("times"))
         whole = each.groupBy("id").agg(F.sum("times").alias("sentences"), F.sum(F.when(F.col("subject").isNotNull(), F.col("times")).otherwise(0)).alias("devoted"))

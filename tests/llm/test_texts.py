@@ -97,9 +97,17 @@ def test_leaves_take_part_in_what_a_sentence_is_about(spark):
     assert {(r.leaf, r.term, round(r.part, 2)) for r in subjects.discriminative(segments, 1.9).collect()} == {(0, "court", 1.0), (1, "soup", 1.0)}
     # the same words of two subjects go to the subject of the leaf's mixture; without a mixture they stay open
     mixtures = {0: np.array([0.0, 1.0]), 1: np.array([1.0, 0.0])}
-    posts = {r.seg: r.post for r in subjects.scored(segments, {"order": np.array([1.0, 1.0])}, mixtures, ["food", "law"]).collect()}
+    weights = spark.createDataFrame([("order", [1.0, 1.0])], "term string, w array<double>")
+    posts = {r.seg: r.post for r in subjects.scored(segments, weights, mixtures, ["food", "law"]).collect()}
     assert posts[1][1] > 0.6 and posts[4][0] > 0.6
-    assert all(abs(p[0] - 0.5) < 1e-9 for p in (r.post for r in subjects.scored(segments, {"order": np.array([1.0, 1.0])}, {}, ["food", "law"]).collect()))
+    assert all(abs(p[0] - 0.5) < 1e-9 for p in (r.post for r in subjects.scored(segments, weights, {}, ["food", "law"]).collect()))
+
+
+def test_vocabulary_has_no_rank_cut(spark):
+    names = ["".join(chr(97 + i // 26**p % 26) for p in (2, 1, 0)) for i in range(7000)]
+    texts = spark.createDataFrame([(i, "\n".join([*names, "seldom"][: 7000 + (i < 3)])) for i in range(4)] + [(9, "Gavel. Once.")], "id long, text string")
+    known = {r.term for r in subjects.vocabulary(texts, ["gavel", "absent"]).collect()}
+    assert known == {*names, "seldom", "gavel"}
 
 
 def test_queries_over_the_small_tables(spark, sf):
