@@ -16,7 +16,8 @@ Every term of the examples and every term of three sentences or more takes part,
 learn from its own documents only. The terms' evidence is a table that is joined, never on the driver. Only the vectors
 that are clustered are still of the ``CLUSTERED`` commonest terms, so a sentence without any of them has its subject
 from its terms alone. The driver holds these, ``LEAVES`` leaves times the subjects, and the examples. All sentences of
-all texts are clustered and counted; nothing is sampled.
+all texts are clustered and learned from; nothing is sampled. A document's share is counted over its sentences of four
+words and more (shorter ones are mostly answer options and chatter), or over all where it has no longer ones.
 
 Defined cases: null, empty and blank texts, and texts without subject matter, have no row; repeated texts each have
 their rows; texts are taken whole; ties between subjects of a sentence go to the first in string order; null ids are
@@ -251,8 +252,11 @@ class Subjects:
         about = self.labelled.where("subject is not null")
         in_passing = about.select("seg", F.explode("terms").alias("term")).join(self.passing_terms(), "term").select("seg").distinct()
         about = about.join(in_passing, "seg", "left_anti")
-        told = self.sentences.where("words >= 4").join(about.select("seg", "subject"), "seg", "left")
-        each = told.groupBy("id", "subject").agg(F.count(F.lit(1)).alias("times"))
+        told = self.sentences.join(about.select("seg", "subject"), "seg", "left")
+        each = told.groupBy("id", "subject").agg(F.count_if(F.col("words") >= 4).alias("longer"), F.count(F.lit(1)).alias("lines"))
+        # short lines count only where a document has no longer ones
+        any_longer = each.groupBy("id").agg((F.sum("longer") > 0).alias("any_longer"))
+        each = each.join(any_longer, "id").select("id", "subject", F.when(F.col("any_longer"), F.col("longer")).otherwise(F.col("lines")).alias("times")).where("times > 0")
         whole = each.groupBy("id").agg(F.sum("times").alias("sentences"), F.sum(F.when(F.col("subject").isNotNull(), F.col("times")).otherwise(0)).alias("devoted"))
         return each.where("subject is not null").join(whole, "id").select("id", "subject", "times", "sentences", "devoted", (F.col("times") / F.col("sentences")).alias("share"))
 

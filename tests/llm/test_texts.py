@@ -110,6 +110,16 @@ def test_vocabulary_has_no_rank_cut(spark):
     assert known == {*names, "seldom", "gavel"}
 
 
+def test_subjects_of_texts_of_short_lines(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(say(rng, t) for _ in range(6))) for i, t in enumerate(sorted(TOPICS) * 30)]
+    docs += [(900, "Court order.\nLegal notice.\nConsumer claim."), (901, say(rng, "food") + "\nCourt order.\nLegal notice.\nConsumer claim.")]
+    areas = spark.createDataFrame([(t, "x") for t in TOPICS], "subject string, description string")
+    examples = spark.createDataFrame([(i, s, " ".join(say(rng, s) for _ in range(3))) for i, s in enumerate(sorted(TOPICS) * 5)], "example_id long, subject string, text string")
+    found = subjects.Subjects(spark.createDataFrame(docs, "doc_id long, text string"), areas, examples, k=12).assigned().where("doc_id >= 900")
+    assert {(r.doc_id, r.subject) for r in found.collect()} == {(900, "law"), (901, "food")}
+
+
 def test_queries_over_the_small_tables(spark, sf):
     from lodestone.llm.queries import queries
 
