@@ -1,10 +1,9 @@
 """Problem 10: subject area of each document.
 
 Method: the sentences of all documents are normalised term vectors (tf-idf over words and word pairs, unit length),
-equal ones collapsed with their counts; bisecting k-means splits them into leaves; a leaf's discriminative terms (at
-least twice as frequent in it as over all sentences) are weighed by the labelled examples and give the leaf a mixture
-of subjects; terms the examples lack learn from the documents they stand in, and the mixtures are taken again from
-what is learned. A sentence's subjects are 0.7 those of its own terms and 0.3 the mixture of its leaf: a leaf alone
+equal ones collapsed with their counts; bisecting k-means splits them into leaves; a leaf's mixture is the mean
+of its sentences' subjects by the examples' terms (mixtures by discriminative terms let page furniture in); terms the
+examples lack learn from the documents they stand in. A sentence's subjects are 0.7 those of its own terms and 0.3 the mixture of its leaf: a leaf alone
 holds several subjects too often to decide. A document's subjects are those that enough of its sentences go to. Clustering whole
 documents was considered and dropped: a third of the documents treat two or three subjects, and a leaf of mixed
 documents cannot say which of them one document treats, while its sentences can.
@@ -137,16 +136,6 @@ def scored(segments: DataFrame, weights: DataFrame, mixtures: dict[int, np.ndarr
     return segments.select(*keep).join(sums, "seg", "left").select(*keep, "score").mapInPandas(run, f"{schema}, post array<double>, pull double")
 
 
-def discriminative(segments: DataFrame, lift: float = 2.0) -> DataFrame:
-    """``leaf``, ``term`` and ``part`` (of the leaf's sentences) of terms at least ``lift`` times as frequent in a leaf as over all."""
-    each = segments.select("leaf", "n", F.explode("terms").alias("term")).groupBy("leaf", "term").agg(F.sum("n").alias("c"))
-    sizes = segments.groupBy("leaf").agg(F.sum("n").alias("size"))
-    everywhere = each.groupBy("term").agg(F.sum("c").alias("all"))
-    total = segments.agg(F.sum("n").alias("total"))
-    rated = each.join(F.broadcast(sizes), "leaf").join(everywhere, "term").crossJoin(F.broadcast(total)).withColumn("part", F.col("c") / F.col("size"))
-    return rated.where(F.col("part") >= F.col("all") / F.col("total") * lift).select("leaf", "term", "part")
-
-
 def leaves(distinct: DataFrame, k: int = LEAVES, seed: int = 3) -> DataFrame:
     """``seg`` and ``leaf`` of every distinct sentence, by bisecting k-means on unit tf-idf vectors of the ``CLUSTERED`` commonest terms."""
     common = distinct.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(CLUSTERED)  # bounded
@@ -185,8 +174,9 @@ class Subjects:
         rows = [(t, w.tolist()) for t, w in zip(profile, seeds)]
         self.weights = docs.sparkSession.createDataFrame(rows, "term string, w array<double>")
         placed = cut(self.distinct.join(in_leaf, "seg"))
-        self.leaf_terms = cut(discriminative(placed))
-        self.mixtures = self._mixtures()
+        mix = [F.sum(F.col("post")[i] * F.col("n")).alias(f"s{i}") for i in range(width)]
+        pure = scored(placed, self.weights, {}, self.subjects, own=1.0)
+        self.mixtures = {r.leaf: np.array([r[f"s{i}"] for i in range(width)]) / r.n for r in pure.groupBy("leaf").agg(F.sum("n").alias("n"), *mix).collect()}
         now = cut(scored(placed, self.weights, self.mixtures, self.subjects))
         # terms learn from the documents they stand in, documents from their sentences' terms and leaves, a few times over;
         # what stands in documents of every subject learns nothing
@@ -197,7 +187,6 @@ class Subjects:
             of_seg = self.sentences.select("id", "seg").join(of_doc, "id").groupBy("seg").agg(*[F.sum(F.col("m")[i] / F.col("of")).alias(f"s{i}") for i in range(width)])
             of_terms = self.distinct.join(of_seg, "seg").select(F.explode("terms").alias("term"), *[f"s{i}" for i in range(width)]).groupBy("term").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
             self.weights = cut(self._weigh(cut(of_terms), profile))
-            self.mixtures = self._mixtures()
             now = scored(placed, self.weights, self.mixtures, self.subjects)
         self.labelled = cut(self._judge(now))
 
@@ -225,12 +214,6 @@ class Subjects:
 
         return counts.mapInPandas(weighed, "term string, w array<double>")
 
-    def _mixtures(self) -> dict[int, np.ndarray]:
-        """Per leaf the posterior over subjects of its discriminative terms, each as often as a sentence of the leaf has it."""
-        k = len(self.subjects)
-        sums = self.leaf_terms.join(self.weights, "term").groupBy("leaf").agg(F.array(*[F.sum(F.col("part") * F.col("w")[i]) for i in range(k)]).alias("score"))
-        return {r.leaf: (e := np.exp(np.array(r.score) - max(r.score))) / e.sum() for r in sums.collect()}  # bounded: leaves times subjects
-
     def _judge(self, segments: DataFrame, least: float = 0.6, evidence: float = EVIDENCE) -> DataFrame:
         top = F.array_max("post")
         at = F.array_position("post", top).cast("int")

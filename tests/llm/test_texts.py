@@ -94,7 +94,6 @@ def test_subjects(spark):
 def test_leaves_take_part_in_what_a_sentence_is_about(spark):
     rows = [(1, 0, ["court", "order"], 3), (2, 0, ["court", "today"], 1), (3, 1, ["soup", "today"], 3), (4, 1, ["soup", "order"], 1)]
     segments = spark.createDataFrame(rows, "seg long, leaf int, terms array<string>, n long")
-    assert {(r.leaf, r.term, round(r.part, 2)) for r in subjects.discriminative(segments, 1.9).collect()} == {(0, "court", 1.0), (1, "soup", 1.0)}
     # the same words of two subjects go to the subject of the leaf's mixture; without a mixture they stay open
     mixtures = {0: np.array([0.0, 1.0]), 1: np.array([1.0, 0.0])}
     weights = spark.createDataFrame([("order", [1.0, 1.0])], "term string, w array<double>")
