@@ -1,8 +1,8 @@
 """Problem 6: frequency of every distinct value or term.
 
-Method: a global dictionary numbers the distinct terms without gaps; occurrences are encoded by it, counted into one
-array per block of records and range of identifiers, and the arrays are summed range by range. Terms are first
-counted per block, so that a term with a third of all occurrences reaches the dictionary join as at most ``BLOCKS``
+Method: occurrences are counted per block of records by a hash aggregate over the terms themselves; a global
+dictionary then numbers the distinct terms without gaps, and the ready counts of the blocks (at most ``BLOCKS`` a term)
+are encoded by it and added into arrays, one per range of identifiers. Counting comes first, so that a term with a third of all occurrences reaches the dictionary join as at most ``BLOCKS``
 rows, and the join carries counts, never occurrences.
 
 Defined cases: a null, blank or separator-only cell holds no term; a term that stands twice in one record is two
