@@ -91,22 +91,40 @@ def test_subjects(spark):
     assert subjects.Subjects(d, areas, examples.limit(0)).assigned().count() == 0
 
 
-def test_leaves_take_part_in_what_a_sentence_is_about(spark):
-    rows = [(1, 0, ["court", "order"], 3), (2, 0, ["court", "today"], 1), (3, 1, ["soup", "today"], 3), (4, 1, ["soup", "order"], 1)]
-    segments = spark.createDataFrame(rows, "seg long, leaf int, terms array<string>, n long")
-    # the same words of two subjects go to the subject of the leaf's mixture; without a mixture they stay open
-    mixtures = {0: np.array([0.0, 1.0]), 1: np.array([1.0, 0.0])}
-    weights = spark.createDataFrame([("order", [1.0, 1.0])], "term string, w array<double>")
-    posts = {r.seg: r.post for r in subjects.scored(segments, weights, mixtures, ["food", "law"]).collect()}
-    assert posts[1][1] > 0.6 and posts[4][0] > 0.6
-    assert all(abs(p[0] - 0.5) < 1e-9 for p in (r.post for r in subjects.scored(segments, weights, {}, ["food", "law"]).collect()))
-
-
-def test_vocabulary_has_no_rank_cut(spark):
-    names = ["".join(chr(97 + i // 26**p % 26) for p in (2, 1, 0)) for i in range(7000)]
-    texts = spark.createDataFrame([(i, "\n".join([*names, "seldom"][: 7000 + (i < 3)])) for i in range(4)] + [(9, "Gavel. Once.")], "id long, text string")
-    known = {r.term for r in subjects.vocabulary(texts, ["gavel", "absent"]).collect()}
-    assert known == {*names, "seldom", "gavel"}
+def test_the_leaves_decide(spark):
+    """Without a clustering - one leaf - no term is discriminative and no document has a subject."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(say(rng, t) for _ in range(6))) for i, t in enumerate(sorted(TOPICS) * 60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    areas = spark.createDataFrame([(t, "x") for t in TOPICS], "subject string, description string")
+    examples = spark.createDataFrame([(i, s, " ".join(say(rng, s) for _ in range(3))) for i, s in enumerate(sorted(TOPICS) * 5)], "example_id long, subject string, text string")
+    many = subjects.Subjects(d, areas, examples, k=12)
+    assert many.assigned().count() == 180 and set(many.of_leaf.tolist()) == {0, 1, 2}
+    assert subjects.Subjects(d, areas, examples, k=1).assigned().count() == 0
+    # a wrong clustering gives a wrong result: the tree's cuts turned into noise
+    cuts = subjects.Tree.set
+    try:
+        subjects.Tree.set = lambda self, node, a, b: cuts(self, node, np.ones(subjects.DIMS), np.zeros(subjects.DIMS) - a * 0)
+        assert subjects.Subjects(d, areas, examples, k=12).assigned().count() < 90
+    finally:
+        subjects.Tree.set = cuts
+
+
+def test_places_of_sentences():
+    per, lens, flat = subjects.sentences(["One two. Three / four..five\nsix", None, "", " \n. ", "One two"])
+    assert per.tolist() == [5, 0, 0, 0, 1] and lens.tolist() == [2, 1, 1, 1, 1, 2]
+    assert (flat[:2] == flat[-2:]).all() and len(flat) == 8
+    at, word = subjects.places(lens, flat)
+    assert len(at) == sum(2 * n - 1 for n in lens) and word.tolist() == [True, True, False, True, True, True, True, True, True, False]
+    assert at[:3].tolist() == at[-3:].tolist() and at.min() >= 0 and at.max() < subjects.PLACES
+
+
+def test_no_term_is_left_out():
+    """A term counts by where it stands, whatever its rank: the rarest counts as the commonest does."""
+    n = np.array([[1000.0, 0, 0], [40, 0, 0], [300, 300, 300], [2, 0, 0]])
+    w = subjects.log_odds(n, np.full(3, 1e6))
+    assert w[0, 0] > 1 and w[1, 0] > 0.9 and not w[2].any() and not w[3].any()
+    assert not subjects.log_odds(n[:, :1], np.array([1e6])).any()
 
 
 def test_subjects_of_texts_of_short_lines(spark):
