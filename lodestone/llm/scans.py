@@ -22,8 +22,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,9 +36,10 @@ from lodestone.runtime import cut
 CONFUSIONS = (("e", "c"), ("n", "ri"), ("i", "!"), ("t", "f"), ("a", "@"), ("o", "0"), ("s", "5"), ("l", "1"), ("i", "1"), ("l", "|"), ("i", "|"), ("d", "cl"), ("u", "ii"), ("g", "9"), ("q", "9"), ("m", "rn"), ("rn", "m"), ("h", "b"), ("b", "6"), ("b", "8"), ("w", "vv"), ("z", "2"), ("h", "li"), ("s", "$"))
 
 MAX_EDITS = 2
+ODDS = 10  # how much commoner the printed word must be than what was read for it
 SHARE = 200_000  # words of the vocabulary in one trie
 SUSPECTS = 20_000  # suspects of one task
-BLOCK = 200_000  # suspects looked for in one pass over the texts
+BLOCK = 1_000_000  # suspects, or pairs of words, looked for in one pass over the texts
 HELD = 300_000  # pairs a task counts before it hands them on
 EDGE = 3  # lines from the top or the bottom of a page where furniture stands
 
@@ -48,7 +51,9 @@ NUMBER = r"(?:[0-9lo]{1,6}|[ivxlc]{1,8})"
 MARK_WORD = rf"^[\W_]*(?:ocr\s*)?(?:pages?|pg|p)\b[\s.:#-]*{NUMBER}(?:\s*(?:/|of|-)\s*{NUMBER})?[\W_]*$"
 MARK_SIGNS = r"^\s*(?:[-–—~*•|<=\[({]+\s*[0-9lo]{1,6}\s*[-–—~*•|>=\])}]+|[0-9lo]{1,6}\s*/\s*[0-9lo]{1,6})\s*$"
 MARK_ENDS = frozenset("0123456789loivxc-–—~*•|>=])}.:#'\"_")
+MARK_BEGIN = r"(?iU)^[\W_]*(?:ocr\s*)?(?:p(?:ages?|g)?\b|[\W_0-9lo]*[0-9lo][\s\W_0-9lo]*$)"
 BARE = rf"^\s*{NUMBER}\s*$"
+LINE = "\x00"
 FIGURE = r"(?<![\w@!$|/.-])(?=[0-9lo]*[0-9])(?=[0-9lo]*[lo])[0-9lo]{2,}(?![\w@!$|/-])"
 INSIDE = r"(?<![\w@.])(?:[A-Z]?[a-z]{2,}[0159@!][a-z]+|[A-Z]?[a-z]+[0159@!][a-z]{2,}|[a-z]{4,}[0159]|[A-Z][a-z]{3,}[0159])(?![\w@.])"
 
@@ -105,7 +110,7 @@ class Reader:
 
     def marked(self, line: str, edge: bool) -> bool:
         low = line.strip().lower()
-        return len(low) < 45 and low[-1] in MARK_ENDS and bool(self.word_mark.search(low) or edge and self.sign_mark.search(low))
+        return low[-1] in MARK_ENDS and bool(self.word_mark.search(low) or edge and self.sign_mark.search(low))
 
     def title(self, line: str) -> str:
         """What a running title keeps from page to page: no figures of its own, and look-alikes read as one character."""
@@ -130,73 +135,167 @@ def body_lines(text: str) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n"), start=1) if not x.isspace() and x]
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """Neighbours with counts: ``prev`` (empty at a line's start), ``word``, ``n``; ``named``, with a capital within a
-    sentence; ``inner``, away from a page's edges. Compounds within lines are under the ``prev`` ``-``.
+class Tokens:
+    """The words of a batch of texts as flat arrays of numbers; chunks between blanks are taken apart once a task."""
+
+    def __init__(self, reader: Reader):
+        self.reader = reader
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {LINE: 0}  # chunks
+        self.number: dict[str, int] = {}  # words
+        self.texts: list[str] = []  # of words
+        self.of: list[list[int]] = [[]]
+        self.raw = [LINE]
+        self.flags: list[tuple[bool, bool, bool]] = [(False, False, False)]  # capital at its start; a capital after it is within a sentence; ends in a hyphen
+
+    def _add(self, chunk: str) -> int:
+        w = self.reader.words(chunk)
+        low = [x.rstrip(".?!:;").lower() or x for x in w]
+        at = []
+        for x in low:
+            k = self.number.get(x)
+            if k is None:
+                k = self.number[x] = len(self.texts)
+                self.texts.append(x)
+            at.append(k)
+        self.of.append(at)
+        self.raw.append(chunk)
+        self.flags.append((bool(w) and w[0][0].isupper() and w[0][1:2].islower(), bool(w) and w[-1].islower() and w[-1].isalpha(), chunk[-1] in HYPHEN_SIGNS))
+        self.known[chunk] = got = len(self.of) - 1
+        return got
+
+    def read(self, texts: list[str]) -> None:
+        """Sets ``chunk`` (numbers of chunks without those that are pieces of words), ``word``, and for both the line they
+        stand in; per line its text and number; and whether it has anything (``filled``)."""
+        if len(self.texts) > HELD:
+            self.clear()
+        chunks: list[str] = []
+        for t in texts:
+            chunks += (t.replace(LINE, " ") if LINE in t else t).replace("\n", f" {LINE} ").split()
+            chunks.append(LINE)
+        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        known = self.known
+        mine = np.array([known[c] if c in known else self._add(c) for c in coded.dictionary.to_pylist()], dtype=np.int64)
+        at = mine[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, dtype=np.int64)
+        flags = np.array(self.flags)
+        ends = np.flatnonzero(at == 0)
+        line = np.cumsum(at == 0) - (at == 0)
+        self.lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+        self.text_of = np.repeat(np.arange(len(texts)), self.lines)
+        self.line_no = np.arange(len(ends)) - np.repeat(np.cumsum(self.lines) - self.lines, self.lines) + 1
+        self.filled = np.diff(ends, prepend=-1) > 1
+        last = np.zeros(len(at), dtype=bool)
+        last[ends[self.filled] - 1] = True
+        kept = (at != 0) & ~(last & flags[at, 2])
+        self.chunk, self.chunk_line = at[kept], line[kept]
+        sizes = np.array([len(x) for x in self.of], dtype=np.int64)
+        held = np.array([x for a in self.of for x in a], dtype=np.int64)
+        n = sizes[self.chunk]
+        starts = (np.cumsum(sizes) - sizes)[self.chunk]
+        upto = np.cumsum(n)
+        self.word = held[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - n), n)]
+        self.word_line = np.repeat(self.chunk_line, n)
+        self.first = (upto - n)[n > 0]  # of each chunk that has words, the place of its first
+        before = np.concatenate([[0], self.chunk[:-1]])
+        fits = np.concatenate([[False], self.chunk_line[1:] == self.chunk_line[:-1]])
+        self.named = (flags[self.chunk, 0] & flags[before, 1] & fits)[n > 0]
+
+    def away(self, pages: np.ndarray) -> np.ndarray:
+        """Per line whether it is away from the edges of its page; lines of other texts always are."""
+        rank = np.cumsum(self.filled) - self.filled
+        base = rank[np.cumsum(self.lines) - self.lines]
+        total = np.bincount(self.text_of, self.filled, minlength=len(self.lines))
+        k = rank - base[self.text_of]
+        return ~pages[self.text_of] | ((k >= EDGE) & (total[self.text_of] - 1 - k >= EDGE))
 
-    Counted per task first, so that a word of every line reaches the shuffle once per task."""
+
+def counted(texts: DataFrame) -> DataFrame:
+    """Words with counts: ``word``, ``n``; ``named``, with a capital within a sentence; ``inner``, away from a page's edges;
+    and whether it is a ``compound`` within a line. Counted per task first, so that a word of every line reaches the
+    shuffle once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, inner, edge = Reader(), Counter(), Counter()
+        reader = Reader()
+        tokens, sums, compounds = Tokens(reader), np.zeros((3, 0), dtype=np.int64), Counter()
 
         def flush() -> pa.RecordBatch:
-            """Chunks are taken apart here, once for each distinct chunk, and not where they stand."""
-            sums: dict[tuple[str, str], list[int]] = {}
-            apart: dict[str, tuple] = {"": ((), "", False, False, ())}
-            for held, within in ((inner, 1), (edge, 0)):
-                for (left, right), n in held.items():
-                    x = apart.get(left) or apart.setdefault(left, taken(left))
-                    y = apart.get(right) or apart.setdefault(right, taken(right))
-                    words = y[0]
-                    if not words:
+            n = len(sums[0])
+            return pa.RecordBatch.from_arrays([
+                pa.array([*tokens.texts[:n], *compounds], pa.string()), *[pa.array(np.concatenate([sums[i], [*compounds.values()] if i == 0 else np.zeros(len(compounds))]).astype(np.int64)) for i in range(3)],
+                pa.array(np.arange(n + len(compounds)) >= n),
+            ], names=["word", "n", "named", "inner", "compound"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                if len(tokens.texts) > HELD:
+                    yield flush()
+                    tokens.clear()
+                    sums, compounds = np.zeros((3, 0), dtype=np.int64), Counter()
+                tokens.read(batch.column("text").to_pylist())
+                m = len(tokens.texts)
+                sums = np.pad(sums, ((0, 0), (0, m - sums.shape[1])))
+                away = tokens.away(np.asarray(batch.column("page")))
+                sums[0] += np.bincount(tokens.word, minlength=m)
+                sums[1] += np.bincount(tokens.word[tokens.first[tokens.named]], minlength=m)
+                sums[2] += np.bincount(tokens.word, away[tokens.word_line], minlength=m).astype(np.int64)
+                for k, n in zip(*np.unique(tokens.chunk, return_counts=True)):
+                    if "-" in (c := tokens.raw[k]):
+                        for found in reader.compound.findall(c.lower()):
+                            parts = found.split("-")
+                            compounds.update({f"{a}-{b}": int(n) for a, b in zip(parts, parts[1:])})
+        yield flush()
+
+    each = texts.select("text", (F.col("table_name") == "extracted_pages").alias("page")).mapInArrow(run, "word string, n long, named long, inner long, compound boolean")
+    return each.groupBy("word", "compound").agg(F.sum("n").alias("n"), F.sum("named").alias("named"), F.sum("inner").alias("inner"))
+
+
+def pair_key(prev: Column, word: Column) -> Column:
+    """A number for two neighbouring words; workers make the same one."""
+    a = F.xxhash64(prev)
+    return F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(F.xxhash64(word))
+
+
+def pair_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``prev``, ``word``, ``n`` and ``inner`` (away from a page's edges) of the pairs of neighbours that are asked for.
+
+    The keys of the pairs are broadcast in blocks of at most ``BLOCK``; each block is one pass over the texts."""
+    asked = cut(asked.select("prev", "word", pair_key(F.col("prev"), F.col("word")).alias("key")).distinct())
+    blocks = 1 + asked.count() // BLOCK
+    got = None
+    for i in range(blocks):
+        keys = asked.where(F.pmod("key", F.lit(blocks)) == i).select("key").distinct().toPandas()["key"].to_numpy(dtype=np.int64)  # a block
+        shared = texts.sparkSession.sparkContext.broadcast(np.sort(keys))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            wanted, tokens = shared.value, Tokens(Reader())
+            hashes, sums = np.zeros(0, dtype=np.uint64), np.zeros((2, len(wanted)), dtype=np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    tokens.read(batch.column("text").to_pylist())
+                    if len(tokens.word) < 2 or not len(wanted):
                         continue
-                    at = sums.get((x[1], words[0]))
-                    if at is None:
-                        at = sums[(x[1], words[0])] = [0, 0, 0]
-                    at[0] += n
-                    if y[3] and x[2]:
-                        at[1] += n
-                    at[2] += n * within
-                    if len(words) > 1:
-                        for pair in zip(words, words[1:]):
-                            at = sums.setdefault(pair, [0, 0, 0])
-                            at[0] += n
-                            at[2] += n * within
-                        for c in y[4]:
-                            sums.setdefault(("-", c), [0, 0, 0])[0] += n
-                held.clear()
-            n = list(sums.values())
-            text = lambda i: pa.array([k[i] for k in sums], pa.string())
-            whole = lambda i: pa.array([x[i] for x in n], pa.int64())
-            return pa.RecordBatch.from_arrays([text(0), text(1), whole(0), whole(1), whole(2)], names=["prev", "word", "n", "named", "inner"])
-
-        def taken(chunk: str) -> tuple:
-            """Words in lower case; the last of them; whether a capital after it would be within a sentence; whether the
-            first has a capital; compounds."""
-            w = reader.words(chunk)
-            if not w:
-                return (), "", False, False, ()
-            low = tuple(x.rstrip(".?!:;").lower() or x for x in w)
-            compounds = [f"{a}-{b}" for c in reader.compound.findall(chunk.lower()) for a, b in zip(c.split("-"), c.split("-")[1:])] if "-" in chunk else ()
-            return low, low[-1], w[-1].islower() and w[-1].isalpha(), w[0][0].isupper() and w[0][1:2].islower(), compounds
-
-        for batch in batches:
-            for table_name, text in zip(batch.column("table_name").to_pylist(), batch.column("text").to_pylist()):
-                if table_name != "extracted_pages":
-                    for line in text.split("\n"):
-                        c = reader.chunks(line)
-                        inner.update(zip(["", *c], c))
-                    continue
-                lines = body_lines(text)
-                for k, (_, line) in enumerate(lines):
-                    c = reader.chunks(line)
-                    (edge if k < EDGE or len(lines) - 1 - k < EDGE else inner).update(zip(["", *c], c))
-            if len(inner) + len(edge) > HELD:
-                yield flush()
-        if inner or edge:
-            yield flush()
-
-    return texts.select("table_name", "text").mapInArrow(run, "prev string, word string, n long, named long, inner long").groupBy("prev", "word").agg(F.sum("n").alias("n"), F.sum("named").alias("named"), F.sum("inner").alias("inner"))
+                    if len(hashes) > len(tokens.texts):
+                        hashes = hashes[:0]
+                    more = np.array([xxhash.xxh64_intdigest(x, 42) for x in tokens.texts[len(hashes) :]], dtype=np.uint64)
+                    hashes = np.concatenate([hashes, more])
+                    h = hashes[tokens.word]
+                    beside = tokens.word_line[1:] == tokens.word_line[:-1]
+                    key = ((((h << np.uint64(1)) | (h >> np.uint64(63)))[:-1]) ^ h[1:]).view(np.int64)[beside]
+                    place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                    hit = wanted[place] == key
+                    away = tokens.away(np.asarray(batch.column("page")))[tokens.word_line[1:][beside]]
+                    sums[0] += np.bincount(place[hit], minlength=len(wanted))
+                    sums[1] += np.bincount(place[hit & away], minlength=len(wanted))
+            some = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some]), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["key", "n", "inner"])
+
+        part = texts.select("text", (F.col("table_name") == "extracted_pages").alias("page")).mapInArrow(run, "key long, n long, inner long")
+        got = part if got is None else got.union(part)
+    return got.groupBy("key").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")).join(asked, "key").select("prev", "word", "n", "inner")
 
 
 LAYOUT = (
@@ -250,68 +349,161 @@ def layout(texts: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), schema)], schema=schema)
 
-    # a question of one long line has neither marks nor broken words and stays out of the workers
-    lined = (F.col("table_name") == "extracted_pages") | F.col("text").contains("\n") | (F.length("text") <= 60)
+    # a question of one line has no broken words, and one that does not begin like a page mark stays out of the workers
+    lined = (F.col("table_name") == "extracted_pages") | F.col("text").contains("\n") | F.col("text").rlike(MARK_BEGIN)
     return texts.where(lined).mapInArrow(run, LAYOUT)
 
 
-def _grow(words: list[str]) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = w
-    return root
-
-
-def _rules() -> dict[str, list[tuple[str, str]]]:
-    rules: dict[str, list[tuple[str, str]]] = {}
-    for printed, read in CONFUSIONS:
-        rules.setdefault(read[0], []).append((read, printed))
-    return rules
-
-
-def within(root: dict, word: str, rules: dict[str, list[tuple[str, str]]], most: int = MAX_EDITS) -> dict[str, int]:
-    """Every word of the trie that ``word`` can be a misreading of, with the number of confusions (at least one)."""
-    found: dict[str, int] = {}
-    stack = [(root, 0, 0)]
-    n = len(word)
-    while stack:
-        node, i, edits = stack.pop()
-        if i == n:
-            v = node.get("")
-            if v is not None and edits and found.get(v, most + 1) > edits:
-                found[v] = edits
-            continue
-        ch = word[i]
-        on = node.get(ch)
-        if on is not None:
-            stack.append((on, i + 1, edits))
-        if edits < most:
-            for read, printed in rules.get(ch, ()):
-                if word.startswith(read, i):
-                    to = node
-                    for p in printed:
-                        to = to.get(p)
-                        if to is None:
-                            break
-                    else:
-                        stack.append((to, i + len(read), edits + 1))
-    return found
+class Trie:
+    """Words as levels of nodes in flat arrays: of level d the characters, where each node's children begin on the next
+    level and how many they are, and the number of the word that ends there (-1 where none does)."""
+
+    def __init__(self, words: list[str]):
+        self.words = sorted(set(words))
+        width = max(map(len, self.words), default=0)
+        at = np.zeros((len(self.words), width + 1), dtype=np.int32)
+        for i, w in enumerate(self.words):
+            at[i, : len(w)] = [ord(c) for c in w]
+        lens = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.alphabet, codes = np.unique(at, return_inverse=True)
+        at = codes.reshape(at.shape)
+        order = np.lexsort(at.T[::-1]) if width else np.arange(len(self.words))
+        at, lens = at[order], lens[order]
+        new = np.zeros(len(at), dtype=bool)
+        new[:1] = True
+        self.char, self.first, self.many, self.word = [np.zeros(1, dtype=np.int64)], [], [], [np.full(1, -1)]
+        node, live = np.zeros(len(at), dtype=np.int64), np.arange(len(at))
+        for d in range(width):
+            changed = np.concatenate([[True], at[1:, d] != at[:-1, d]]) if len(at) else new
+            new = new | changed
+            here = live[lens[live] > d]
+            # a node begins where the prefix differs from that of the word before
+            begins = new[here]
+            number = np.cumsum(begins) - 1
+            heads = here[begins]
+            many = np.bincount(node[heads], minlength=len(self.char[d]))
+            self.first.append(np.cumsum(many) - many)
+            self.many.append(many)
+            self.char.append(at[heads, d])
+            ends = np.full(len(heads), -1)
+            over = lens[here] == d + 1
+            ends[number[over]] = order[here[over]]
+            self.word.append(ends)
+            node[here], live = number, here
+        self.first.append(np.zeros(len(self.char[-1]), dtype=np.int64))
+        self.many.append(np.zeros(len(self.char[-1]), dtype=np.int64))
+
+
+MERGED = tuple((read, printed) for printed, read in CONFUSIONS if len(read) == 2 and len(printed) == 1)
+PARTED = tuple((read, printed) for printed, read in CONFUSIONS if len(read) == 1 and len(printed) == 2)
+
+
+def within(trie: Trie, words: list[str], most: int = MAX_EDITS, group: int = 256) -> Iterator[tuple[int, int, int]]:
+    """Levenshtein automata of many words run through a trie side by side: word number, number of the trie's word, and
+    edits (0 to ``most``) of every pair that close; two characters read for one of the scanner's, or one for two, are
+    one edit. A state is a set of places in the word per number of edits, one bit each, so a step is a few operations
+    on whole arrays; complete for words of up to 60 characters. A word of four characters and fewer has one edit.
+    """
+    alphabet = {chr(c): i for i, c in enumerate(trie.alphabet)}
+    one = np.uint64(1)
+    split = [(alphabet.get(p[0], -1), alphabet.get(p[1], -1), r) for r, p in PARTED]
+    for at in range(0, len(words), group):
+        part = words[at : at + group]
+        n = np.array([len(w) for w in part], dtype=np.uint64)
+        full = (one << (n + one)) - one
+        most_of = np.where(n <= 4, min(1, most), most)
+        mask = np.zeros((len(part), len(alphabet)), dtype=np.uint64)
+        merge = np.zeros(len(part), dtype=np.uint64)
+        parted = np.zeros((len(split), len(part)), dtype=np.uint64)
+        for i, w in enumerate(part):
+            for k, c in enumerate(w):
+                if c in alphabet:
+                    mask[i, alphabet[c]] |= np.uint64(1 << k)
+                if any(w.startswith(r, k) for r, _ in MERGED):
+                    merge[i] |= np.uint64(1 << k)
+                for j, (_, _, r) in enumerate(split):
+                    if c == r:
+                        parted[j, i] |= np.uint64(1 << k)
+        # state: word, node, the character before, and places after 0, 1 .. edits, now and one character earlier
+        who = np.arange(len(part))
+        node, char = np.zeros(len(part), dtype=np.int64), np.full(len(part), -1)
+        now = [np.ones(len(part), dtype=np.uint64)]
+        for k in range(most):
+            now.append(np.where(most_of > k, (now[-1] | (now[-1] << one)) & full, np.uint64(0)))
+        old = [np.zeros_like(x) for x in now]
+        for d in range(len(trie.char) - 1):
+            many = trie.many[d][node]
+            rows = np.repeat(np.arange(len(node)), many)
+            if not len(rows):
+                break
+            upto = np.cumsum(many)
+            child = np.arange(upto[-1]) - np.repeat(upto - many, many) + np.repeat(trie.first[d][node], many)
+            c, i = trie.char[d + 1][child], who[rows]
+            m, f, g = mask[i, c], full[i], merge[i]
+            was, before = [x[rows] for x in now], [x[rows] for x in old]
+            got = [((was[0] & m) << one) & f]
+            for k in range(1, most + 1):
+                # kept, added, put for another, left out, two read for one
+                r = ((was[k] & m) << one) | was[k - 1] | (was[k - 1] << one) | (got[-1] << one) | ((was[k - 1] & g) << np.uint64(2))
+                for j, (a, b, _) in enumerate(split):  # one read for two
+                    two = (char[rows] == a) & (c == b)
+                    if two.any():
+                        r = np.where(two, r | ((before[k - 1] & parted[j, i]) << one), r)
+                got.append(np.where(most_of[i] >= k, (r | got[-1]) & f, np.uint64(0)))
+            alive = np.zeros(len(rows), dtype=bool)
+            for x in got:
+                alive |= x != 0
+            rows, child, c, i = rows[alive], child[alive], c[alive], i[alive]
+            old, now = [x[alive] for x in was], [x[alive] for x in got]
+            who, node, char = i, child, c
+            v = trie.word[d + 1][node]
+            edits = np.full(len(node), most + 1)
+            for k in range(most, -1, -1):
+                edits[((now[k] >> n[who]) & one) == 1] = k
+            for x, y, e in zip(*(z[(v >= 0) & (edits <= most)].tolist() for z in (who, v, edits))):
+                yield at + x, y, e
+
+
+OTHER_EDIT = 3  # what an edit that is no confusion of a scanner costs; a confusion costs 1
+
+
+def cost(word: str, v: str) -> int:
+    """The cheapest way to read ``v`` as ``word``: confusions at 1, single other edits at ``OTHER_EDIT``."""
+    best = {(0, 0): 0}
+    for i in range(len(word) + 1):
+        for j in range(len(v) + 1):
+            c = best.get((i, j))
+            if c is None or c > 2 * OTHER_EDIT:
+                continue
+            steps = [(i + 1, j + 1, OTHER_EDIT * (word[i] != v[j]))] if i < len(word) and j < len(v) else []
+            steps += [(i + 1, j, OTHER_EDIT)] * (i < len(word)) + [(i, j + 1, OTHER_EDIT)] * (j < len(v))
+            steps += [(i + len(r), j + len(p), 1) for r, p in RULES.get(word[i : i + 1], ()) if word.startswith(r, i) and v.startswith(p, j)]
+            for x, y, more in steps:
+                if c + more < best.get((x, y), 99):
+                    best[(x, y)] = c + more
+    return best[(len(word), len(v))] if (len(word), len(v)) in best else 99
+
+
+RULES: dict[str, list[tuple[str, str]]] = {}
+for _printed, _read in CONFUSIONS:
+    RULES.setdefault(_read[0], []).append((_read, _printed))
 
 
 def _search(key, vocabulary: pd.DataFrame, suspects: pd.DataFrame) -> pd.DataFrame:
-    rules = _rules()
     out = []
     if len(vocabulary) and len(suspects):
-        root = _grow(vocabulary.v.tolist())
-        for w in suspects.w:
-            out += [(w, v, e) for v, e in within(root, w, rules).items()]
+        often = dict(zip(vocabulary.v, vocabulary.nv))
+        least = dict(zip(suspects.w, suspects.nw * ODDS))
+        short = [w for w in suspects.w if len(w) <= 60]
+        trie = Trie([v for v in often if len(v) <= 62])
+        # only what is much commoner can be the word that was printed
+        pairs = [(short[i], trie.words[j]) for i, j, e in within(trie, short) if e and often[trie.words[j]] >= least[short[i]]]
+        pairs += [(w, v) for w in suspects.w if len(w) > 60 for v in often if abs(len(v) - len(w)) <= MAX_EDITS and v != w and often[v] >= least[w]]
+        out = [(w, v, c) for w, v in pairs if (c := cost(w, v)) <= MAX_EDITS]
     return pd.DataFrame(out, columns=["w", "v", "edits"])
 
 
-def candidates(words: DataFrame, least: int = 5, odds: int = 10) -> DataFrame:
+def candidates(words: DataFrame, least: int = 5, odds: int = ODDS) -> DataFrame:
     """``w``, ``v``, ``edits``, ``nw``, ``nv``: words that may be misread, and the much commoner words they may be.
 
     A name (a capital within sentences in most of its places) is no suspect unless a sign or figure stands among its letters.
@@ -329,8 +521,8 @@ def candidates(words: DataFrame, least: int = 5, odds: int = 10) -> DataFrame:
     shares = max(1, -(-many // SHARE))
     parts = max(1, -(-suspects.count() // SUSPECTS))
     # every suspect meets every share of the vocabulary once; a share is one trie, whatever the words' lengths
-    left = vocabulary.select("v").withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = suspects.select("w").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    left = vocabulary.select("v", "nv").withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = suspects.select("w", "nw").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     met = left.groupBy("share", "part").cogroup(right.groupBy("share", "part")).applyInPandas(_search, "w string, v string, edits int")
     return met.join(suspects, "w").join(vocabulary.select("v", "nv"), "v").where(F.col("nv") >= F.col("nw") * odds)
 
@@ -342,48 +534,34 @@ def places(texts: DataFrame, suspects: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, wanted = Reader(), shared.value
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-        known: set[str] = set()  # chunks met, and those of them that hold a suspect
-        hit: set[str] = set()
-        odd: set[str] = set()
-        for batch in batches:
-            out = []
-            for table_name, row_key, text in zip(*[batch.column(c).to_pylist() for c in ("table_name", "row_key", "text")]):
-                for no, line in enumerate(text.split("\n"), start=1):
-                    chunks = reader.chunks(line)
-                    if hit.isdisjoint(chunks) and all(map(known.__contains__, chunks)):
-                        continue
-                    for c in chunks:
-                        if c not in known:
-                            known.add(c)
-                            if any((x.rstrip(".?!:;").lower() or x) in wanted for x in reader.words(c)):
-                                hit.add(c)
-                            if not c.isalpha() and (reader.figure.search(p := reader.plain(c)) or reader.inside.search(p)):
-                                hit.add(c)
-                                odd.add(c)
-                    if hit.isdisjoint(chunks):
-                        continue
-                    if not odd.isdisjoint(chunks):
-                        out.append((table_name, row_key, no, "", "", None))
-                    low = [x.rstrip(".?!:;").lower() or x for c in chunks for x in reader.words(c)]
-                    for k, w in enumerate(low):
-                        if w in wanted:
-                            out.append((table_name, row_key, no, low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "", w))
-            if len(known) > 10 * HELD:
-                for held in (known, hit, odd):
-                    held.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["table_name", "row_key", "line_no", "prev", "next", "w"])
+        tokens, is_suspect, is_odd = Tokens(reader), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+        none = pa.scalar(None, pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                tokens.read(batch.column("text").to_pylist())
+                if len(is_suspect) > len(tokens.texts) or len(is_odd) > len(tokens.raw):
+                    is_suspect, is_odd = is_suspect[:0], is_odd[:0]
+                is_suspect = np.concatenate([is_suspect, np.array([w in wanted for w in tokens.texts[len(is_suspect) :]], dtype=bool)])
+                more = [not c.isalpha() and bool(reader.figure.search(p := reader.plain(c)) or reader.inside.search(p)) for c in tokens.raw[len(is_odd) :]]
+                is_odd = np.concatenate([is_odd, np.array(more, dtype=bool)])
+                words = pa.array([*tokens.texts, ""], pa.string())
+                hit = np.flatnonzero(is_suspect[tokens.word])
+                odd = np.unique(tokens.chunk_line[is_odd[tokens.chunk]])
+                line, last = tokens.word_line, len(tokens.word)
+                beside = lambda k: np.where((k >= 0) & (k < last) & (line[np.clip(k, 0, max(last - 1, 0))] == line[hit]), tokens.word[np.clip(k, 0, max(last - 1, 0))], len(tokens.texts)) if len(hit) else hit
+                where = np.concatenate([line[hit], odd])
+                text_of = pa.array(tokens.text_of[where])
+                empty = pa.array([""] * len(odd), pa.string())
+                joined = lambda k: pa.concat_arrays([words.take(pa.array(k)), empty])
+                found = pa.concat_arrays([words.take(pa.array(tokens.word[hit])), pa.array([None] * len(odd), none.type)])
+                yield pa.RecordBatch.from_arrays([batch.column("table_name").take(text_of), batch.column("row_key").take(text_of), pa.array(tokens.line_no[where].astype(np.int32)), joined(beside(hit - 1)), joined(beside(hit + 1)), found], names=["table_name", "row_key", "line_no", "prev", "next", "w"])
 
     return texts.select("table_name", "row_key", "text").mapInArrow(run, "table_name string, row_key long, line_no int, prev string, next string, w string")
 
 
-def corrections(pairs: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
-    """Per place of a suspect the word it most likely is: ``table_name``, ``row_key``, ``line_no``, ``w``, ``v``; odd lines with nulls.
-
-    Ranked by confusions, neighbours seen together elsewhere, and frequency. A word that differs from a real word by
-    one letter for another (c for e, f for t, b for h, m for rn) and that is not far rarer needs a neighbour's support.
-    """
+def suspected(words: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places of suspects with what they may be (``v``, ``edits``, ``nw``, ``nv``), and the odd lines."""
     found = cut(candidates(words))
     blocks = 1 + found.count() // BLOCK
     seen_at = None
@@ -391,9 +569,22 @@ def corrections(pairs: DataFrame, words: DataFrame, texts: DataFrame) -> DataFra
         part = places(texts, [r.w for r in found.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b).select("w").distinct().collect()])
         seen_at = part if seen_at is None else seen_at.union(part)
     seen_at = cut(seen_at)
-    at = cut(seen_at.join(found, "w"))
-    asked = at.select("prev", F.col("v").alias("word")).union(at.select(F.col("v").alias("prev"), F.col("next").alias("word"))).where("prev <> '' and word <> ''").distinct()
-    seen = cut(pairs.join(asked, ["prev", "word"]).select("prev", "word", "n"))
+    return cut(seen_at.join(found, "w")), seen_at.where("w is null").select("table_name", "row_key", "line_no").distinct()
+
+
+def beside(at: DataFrame) -> DataFrame:
+    """The pairs of neighbours (``prev``, ``word``) that would stand at the places if the words were what they may be."""
+    return at.select("prev", F.col("v").alias("word")).union(at.select(F.col("v").alias("prev"), F.col("next").alias("word"))).where("prev <> '' and word <> ''").distinct()
+
+
+def corrections(at: DataFrame, odd: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per place of a suspect the word it most likely is: ``table_name``, ``row_key``, ``line_no``, ``w``, ``v``; odd lines with nulls.
+
+    Ranked by the cost of the confusions, neighbours seen together elsewhere, and frequency. A word that differs from a
+    real word by one letter for another (c for e, f for t, b for h, m for rn) and that is not far rarer needs a
+    neighbour's support.
+    """
+    seen = pairs.select("prev", "word", "n")
     a = seen.select("prev", F.col("word").alias("v"), F.col("n").alias("na"))
     b = seen.select(F.col("prev").alias("v"), F.col("word").alias("next"), F.col("n").alias("nb"))
     judged = at.join(a, ["prev", "v"], "left").join(b, ["v", "next"], "left")
@@ -401,40 +592,55 @@ def corrections(pairs: DataFrame, words: DataFrame, texts: DataFrame) -> DataFra
     sure = F.col("w").rlike(r"[0-9@!$|]") | F.col("w").rlike("ii|vv") | ((F.length("w") >= 5) & (F.col("nv") >= F.col("nw") * 50) & (F.col("edits") == 1))
     fit = judged.withColumn("support", support).where((F.col("support") > 0) | sure)
     best = fit.groupBy("table_name", "row_key", "line_no", "w").agg(F.max_by("v", F.struct(-F.col("edits"), F.least("support", F.lit(3)), "nv", "v")).alias("v"))
-    return best.union(seen_at.where("w is null").select("table_name", "row_key", "line_no", "w", F.lit(None).cast("string")))
+    return best.union(odd.select("*", F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("v")))
 
 
-def apart(titles: DataFrame, pairs: DataFrame, words: DataFrame, most: float = 0.5) -> DataFrame:
-    """Of the titles (``key``, ``times``, and their first and last wording, ``lo`` and ``hi``) those with two neighbouring words that hardly meet away from the edges
-    of pages; of a title of one word, those whose word hardly stands there.
+def page_lines(laid: DataFrame) -> DataFrame:
+    """The lines at the edges of pages and the page marks, a row each."""
+    return laid.where("table_name = 'extracted_pages'").select("row_key", "file", "page_no", F.explode("edges").alias("e")).select("row_key", "file", "page_no", "e.*")
 
-    A line of body text that happens to open two pages is made of pairs of words that all stand everywhere in the body.
-    """
+
+def repeated(edges: DataFrame) -> DataFrame:
+    """What may be running titles, per ``file`` and ``key``: lines at the edges of several of its pages, with ``on`` (pages),
+    ``times`` and two wordings, ``lo`` and ``hi``. A number on a title must run on with the pages, as sums under tables do not."""
+    keyed = edges.where("key <> ''").groupBy("file", "key", (F.col("figure") - F.col("page_no")).alias("offset")).agg(F.count_if(~F.col("again")).alias("pages"), F.count(F.lit(1)).alias("times"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+    step = F.bool_or(F.col("offset").isNull() | (F.col("pages") >= 2))
+    per_file = keyed.groupBy("file", "key").agg(F.sum("pages").alias("on"), F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), step.alias("step"))
+    return per_file.where("step and on >= 2").drop("step")
+
+
+def title_words(titles: DataFrame) -> DataFrame:
+    """Per ``key`` and wording (``line``) its pairs of neighbouring words (``prev``, ``word``); of one word alone, that, with
+    a null ``prev``. Two wordings, so that a misread one, whose words are rare, does not speak for all."""
     token = TOKEN.replace(r"[^\W_]", r"[\p{L}\p{N}]").replace(r"[^\W\d_]", r"\p{L}").replace(r"\w", r"\p{L}\p{N}")
     t = F.transform(F.regexp_extract_all("line", F.lit("(" + token + ")"), 1), lambda x: F.lower(F.rtrim(x, F.lit(".?!:;"))))
     letters = lambda x: x.rlike(r"\p{L}{2}") | x.isin("a", "i")
-    # two wordings, so that a misread one, whose words are rare, does not speak for all
-    t = titles.select("key", "times", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("line")).select("key", "times", "line", t.alias("t")).withColumn("w", F.filter("t", letters))
-    one = t.where(F.size("w") == 1).select("key", "times", "line", F.col("w")[0].alias("word")).join(words.select("word", "inner"), "word", "left")
-    beside = F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("prev"), F.slice("t", 2, F.size("t")).alias("word")))
-    several = t.where(F.size("w") > 1).withColumn("p", beside).select("key", "times", "line", "p.prev", "p.word").where(letters(F.col("prev")) & letters(F.col("word")))
-    met = several.join(pairs.select("prev", "word", "inner"), ["prev", "word"], "left").select("key", "times", "line", "inner")
-    rate = met.union(one.select("key", "times", "line", "inner")).groupBy("key", "line").agg(F.min(F.coalesce("inner", F.lit(0)) / F.col("times")).alias("rate")).groupBy("key").agg(F.max("rate").alias("rate"))
-    return rate.where(F.col("rate") <= most).select("key")
-
-
-def furniture(laid: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Header and page number lines: ``table_name``, ``row_key``, ``line_no``, ``kind``."""
-    edges = laid.select("table_name", "row_key", "file", "page_no", F.explode("edges").alias("e")).select("table_name", "row_key", "file", "page_no", "e.*")
-    in_questions = edges.where("table_name = 'questions' and explicit").select("table_name", "row_key", "line_no", F.lit("page_number").alias("kind"))
-    edges = edges.where("table_name = 'extracted_pages'")
-    # a running title: at the edge of several pages of its file, and made of words that meet nowhere else
-    # (a number on it must run on with the pages, as sums under tables do not)
-    keyed = edges.where("key <> ''").groupBy("file", "key", (F.col("figure") - F.col("page_no")).alias("offset")).agg(F.count_if(~F.col("again")).alias("pages"), F.count(F.lit(1)).alias("times"), F.min("line").alias("lo"), F.max("line").alias("hi"))
-    step = F.bool_or(F.col("offset").isNull() | (F.col("pages") >= 2))
-    per_file = cut(keyed.groupBy("file", "key").agg(F.sum("pages").alias("on"), F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), step.alias("step")).where("step"))
-    overall = per_file.groupBy("key").agg(F.sum("times").alias("times"), F.max("on").alias("on"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("on >= 2")
-    titles = per_file.where("on >= 2").join(apart(overall, pairs, words), "key").select("file", "key", F.lit(True).alias("title"))
+    lines = titles.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("line")).distinct().select("key", "line", t.alias("t")).withColumn("w", F.filter("t", letters))
+    one = lines.where(F.size("w") == 1).select("key", "line", F.lit(None).cast("string").alias("prev"), F.col("w")[0].alias("word"))
+    each = F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("prev"), F.slice("t", 2, F.size("t")).alias("word")))
+    several = lines.where(F.size("w") > 1).withColumn("p", each).select("key", "line", "p.prev", "p.word").where(letters(F.col("prev")) & letters(F.col("word")))
+    return several.union(one)
+
+
+def apart(titles: DataFrame, parts: DataFrame, pairs: DataFrame, words: DataFrame, pages: DataFrame, most: float = 0.01) -> DataFrame:
+    """``key`` of those titles that have two neighbouring words (or, of one word, that) which hardly meet away from the
+    edges of pages: per page of the corpus at most ``most`` times as often as the title stands on the pages of its files.
+
+    A line of body text that happens to open two pages is made of pairs of words that all stand everywhere in the body.
+    """
+    total = pages.agg(F.sum("pages").alias("whole"))
+    stands = titles.join(pages, "file").groupBy("key").agg((F.sum("times") / F.sum("pages")).alias("stands"))
+    two = parts.where("prev is not null").join(pairs.select("prev", "word", "inner"), ["prev", "word"], "left").select("key", "line", "inner")
+    alone = parts.where("prev is null").select("key", "line", "word").join(words.select("word", "inner"), "word", "left").select("key", "line", "inner")
+    rate = two.union(alone).groupBy("key", "line").agg(F.min(F.coalesce("inner", F.lit(0))).alias("inner")).groupBy("key").agg(F.max("inner").alias("inner"))
+    return rate.join(stands, "key").crossJoin(F.broadcast(total)).where(F.col("inner") / F.col("whole") <= F.col("stands") * most).select("key")  # one row
+
+
+def furniture(laid: DataFrame, edges: DataFrame, titles: DataFrame, keys: DataFrame) -> DataFrame:
+    """Header and page number lines: ``table_name``, ``row_key``, ``line_no``, ``kind``; titles are those of ``keys``."""
+    marks = laid.where("table_name = 'questions'").select("table_name", "row_key", F.explode("edges").alias("e")).where("e.explicit")
+    in_questions = marks.select("table_name", "row_key", "e.line_no", F.lit("page_number").alias("kind"))
+    titles = titles.join(keys, "key").select("file", "key", F.lit(True).alias("title"))
     told = edges.join(titles, ["file", "key"], "left").withColumn("title", F.coalesce("title", F.lit(False)))
     # a bare figure is a page number only if nothing but furniture is outside it
     plain = (~F.col("title") & ~F.col("explicit")).cast("int")
@@ -452,7 +658,7 @@ def furniture(laid: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
     return kinds.distinct().select(F.lit("extracted_pages").alias("table_name"), "row_key", "line_no", "kind").union(in_questions)
 
 
-def broken_words(laid: DataFrame, kinds: DataFrame, pairs: DataFrame, words: DataFrame, bucket_pages: int = 256) -> DataFrame:
+def broken_words(laid: DataFrame, kinds: DataFrame, compounds: DataFrame, words: DataFrame, bucket_pages: int = 256) -> DataFrame:
     """Lines that end in the first piece of a word: ``table_name``, ``row_key``, ``line_no``, ``a``, ``b``, ``next_key``, ``next_line``.
 
     The piece that follows is at the start of the next body line, perhaps on the file's next page that has body text.
@@ -478,7 +684,7 @@ def broken_words(laid: DataFrame, kinds: DataFrame, pairs: DataFrame, words: Dat
     met = inner.union(over).where("b <> ''").withColumn("a", F.regexp_extract("tail", r"([^-]+)$", 1))
     same_case = F.col("b").rlike(r"^[\p{Ll}@!0-9]") | (F.col("b").rlike(r"^\p{Lu}+$") & F.col("a").rlike(r"^\p{Lu}+$"))
     met = met.where(same_case).withColumn("la", F.lower("a")).withColumn("lb", F.lower("b")).withColumn("joined", F.concat("la", "lb")).withColumn("c", F.concat_ws("-", "la", "lb"))
-    compound = pairs.where("prev = '-'").select(F.col("word").alias("c"), F.col("n").alias("nc"))
+    compound = compounds.select(F.col("word").alias("c"), F.col("n").alias("nc"))
     counts = words.select("word", "n")
     judged = met.join(compound, "c", "left").join(counts.toDF("joined", "nj"), "joined", "left").join(counts.toDF("la", "na"), "la", "left").join(counts.toDF("lb", "nb"), "lb", "left").na.fill(0, ["nc", "nj", "na", "nb"])
     soft = F.col("sign").isin("\u00ad", "\u00ac")
@@ -491,12 +697,19 @@ class Findings:
 
     def __init__(self, extracted: DataFrame, rows: DataFrame):
         self.texts = pages(extracted).unionByName(questions(rows))
-        self.pairs = cut(counted(self.texts))
-        self.words = cut(self.pairs.where("prev <> '-'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("named").alias("named"), F.sum("inner").alias("inner")))
+        every = cut(counted(self.texts))
+        words, compounds = every.where("not compound"), every.where("compound")
         laid = cut(layout(self.texts))
-        self.furniture = cut(furniture(laid, self.pairs, self.words))
-        self.broken = cut(broken_words(laid, self.furniture, self.pairs, self.words))
-        self.misread = cut(corrections(self.pairs, self.words, self.texts))
+        edges = page_lines(laid)
+        titles = cut(repeated(edges))
+        parts = cut(title_words(titles))
+        at, odd = suspected(words, self.texts)
+        # one more pass counts the pairs of words that titles and places of suspects ask for
+        pairs = cut(pair_counts(self.texts, parts.where("prev is not null").select("prev", "word").union(beside(at))))
+        of_file = laid.where("table_name = 'extracted_pages'").groupBy("file").agg(F.count(F.lit(1)).alias("pages"))
+        self.furniture = cut(furniture(laid, edges, titles, apart(titles, parts, pairs, words, of_file)))
+        self.broken = cut(broken_words(laid, self.furniture, compounds, words))
+        self.misread = cut(corrections(at, odd, pairs))
 
     def found(self) -> DataFrame:
         key = ["table_name", "row_key", "line_no"]

@@ -44,7 +44,7 @@ LEAVES, ROUNDS, SMALLEST = 64, 6, 6  # leaves, rounds of k-means a split, docume
 DISTINCT, SIGNIFICANT, SEEN = 3.5, 4.0, 3  # a discriminative term: ratio of odds, standard deviations, times it was seen
 NAMED = 0.4  # part of a leaf's discriminative mass that the examples must know
 WORD_PART, PAIR_PART = 0.7, 0.3  # weights of words and pairs, whose evidence overlaps
-BACKGROUND = 2.0  # evidence a sentence needs for any subject, in nats
+BACKGROUND = 0.8  # evidence a sentence needs for any subject, as a part of what one term of a single subject can give
 HELD = 4_000_000  # counts a task holds before it adds them up
 
 ENDED = regex.compile(r"[.!?।॥][\"'”’)\]]*$")
@@ -444,7 +444,7 @@ def assigned_sentences(batch: Batch, weights: np.ndarray, rounds: int = 12) -> n
         return np.zeros(0, dtype=np.int64)
     starts = np.cumsum(2 * batch.sizes - 1) - (2 * batch.sizes - 1)
     word = np.arange(len(batch.terms)) - starts[batch.sentence] < batch.sizes[batch.sentence]
-    x = np.full((n, width + 1), BACKGROUND)
+    x = np.full((n, width + 1), BACKGROUND * np.log(max(2, width)))
     x[:, :width] = np.add.reduceat(weights[batch.terms] * np.where(word, WORD_PART, PAIR_PART)[:, None].astype(np.float32), starts, axis=0)
     x = np.round(x, 6)
     like = np.exp(x - x.max(1, keepdims=True))
