@@ -38,7 +38,7 @@ CONFUSIONS = (("e", "c"), ("n", "ri"), ("i", "!"), ("t", "f"), ("a", "@"), ("o",
 MAX_EDITS = 2
 ODDS = 10  # how much commoner the printed word must be than what was read for it
 SHARE = 200_000  # words of the vocabulary in one trie
-SUSPECTS = 20_000  # suspects of one task
+SUSPECTS = 2_000  # suspects of one task
 BLOCK = 1_000_000  # suspects, or pairs of words, looked for in one pass over the texts
 HELD = 300_000  # pairs a task counts before it hands them on
 EDGE = 3  # lines from the top or the bottom of a page where furniture stands
@@ -398,70 +398,105 @@ MERGED = tuple((read, printed) for printed, read in CONFUSIONS if len(read) == 2
 PARTED = tuple((read, printed) for printed, read in CONFUSIONS if len(read) == 1 and len(printed) == 2)
 
 
-def within(trie: Trie, words: list[str], most: int = MAX_EDITS, group: int = 256) -> Iterator[tuple[int, int, int]]:
-    """Levenshtein automata of many words run through a trie side by side: word number, number of the trie's word, and
-    edits (0 to ``most``) of every pair that close; two characters read for one of the scanner's, or one for two, are
-    one edit. A state is a set of places in the word per number of edits, one bit each, so a step is a few operations
-    on whole arrays; complete for words of up to 60 characters. A word of four characters and fewer has one edit.
-    """
+def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str], parted: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Levenshtein automata of some words run through a trie side by side: arrays of word number, number of the trie's
+    word, and edits. A state is a set of places in the word for each number of edits, a bit a place, so that a step is a
+    few operations on whole arrays; with so many edits a word may only be at the places of the gate for that number."""
+    most = len(gates) - 1
     alphabet = {chr(c): i for i, c in enumerate(trie.alphabet)}
     one = np.uint64(1)
-    split = [(alphabet.get(p[0], -1), alphabet.get(p[1], -1), r) for r, p in PARTED]
-    for at in range(0, len(words), group):
-        part = words[at : at + group]
-        n = np.array([len(w) for w in part], dtype=np.uint64)
-        full = (one << (n + one)) - one
-        most_of = np.where(n <= 4, min(1, most), most)
-        mask = np.zeros((len(part), len(alphabet)), dtype=np.uint64)
-        merge = np.zeros(len(part), dtype=np.uint64)
-        parted = np.zeros((len(split), len(part)), dtype=np.uint64)
-        for i, w in enumerate(part):
-            for k, c in enumerate(w):
-                if c in alphabet:
-                    mask[i, alphabet[c]] |= np.uint64(1 << k)
-                if any(w.startswith(r, k) for r, _ in MERGED):
-                    merge[i] |= np.uint64(1 << k)
-                for j, (_, _, r) in enumerate(split):
-                    if c == r:
-                        parted[j, i] |= np.uint64(1 << k)
-        # state: word, node, the character before, and places after 0, 1 .. edits, now and one character earlier
-        who = np.arange(len(part))
-        node, char = np.zeros(len(part), dtype=np.int64), np.full(len(part), -1)
-        now = [np.ones(len(part), dtype=np.uint64)]
-        for k in range(most):
-            now.append(np.where(most_of > k, (now[-1] | (now[-1] << one)) & full, np.uint64(0)))
-        old = [np.zeros_like(x) for x in now]
-        for d in range(len(trie.char) - 1):
-            many = trie.many[d][node]
-            rows = np.repeat(np.arange(len(node)), many)
-            if not len(rows):
-                break
-            upto = np.cumsum(many)
-            child = np.arange(upto[-1]) - np.repeat(upto - many, many) + np.repeat(trie.first[d][node], many)
-            c, i = trie.char[d + 1][child], who[rows]
-            m, f, g = mask[i, c], full[i], merge[i]
-            was, before = [x[rows] for x in now], [x[rows] for x in old]
-            got = [((was[0] & m) << one) & f]
-            for k in range(1, most + 1):
-                # kept, added, put for another, left out, two read for one
-                r = ((was[k] & m) << one) | was[k - 1] | (was[k - 1] << one) | (got[-1] << one) | ((was[k - 1] & g) << np.uint64(2))
-                for j, (a, b, _) in enumerate(split):  # one read for two
-                    two = (char[rows] == a) & (c == b)
-                    if two.any():
-                        r = np.where(two, r | ((before[k - 1] & parted[j, i]) << one), r)
-                got.append(np.where(most_of[i] >= k, (r | got[-1]) & f, np.uint64(0)))
-            alive = np.zeros(len(rows), dtype=bool)
-            for x in got:
-                alive |= x != 0
-            rows, child, c, i = rows[alive], child[alive], c[alive], i[alive]
-            old, now = [x[alive] for x in was], [x[alive] for x in got]
-            who, node, char = i, child, c
-            v = trie.word[d + 1][node]
-            edits = np.full(len(node), most + 1)
-            for k in range(most, -1, -1):
-                edits[((now[k] >> n[who]) & one) == 1] = k
-            for x, y, e in zip(*(z[(v >= 0) & (edits <= most)].tolist() for z in (who, v, edits))):
-                yield at + x, y, e
+    n = np.array([len(w) for w in words], dtype=np.uint64)
+    split = [(alphabet.get(p[0], -1), alphabet.get(p[1], -1)) for _, p in parted]
+    mask = np.zeros((len(words), len(alphabet)), dtype=np.uint64)
+    merge = np.zeros(len(words), dtype=np.uint64)
+    read = np.zeros((len(split), len(words)), dtype=np.uint64)
+    for i, w in enumerate(words):
+        for k, c in enumerate(w):
+            if c in alphabet:
+                mask[i, alphabet[c]] |= np.uint64(1 << k)
+            if w[k : k + 2] in merged:
+                merge[i] |= np.uint64(1 << k)
+            for j, (r, _) in enumerate(parted):
+                if c == r:
+                    read[j, i] |= np.uint64(1 << k)
+    # state: word, node, the character before, and places after 0, 1 .. edits, now and one character earlier
+    who = np.arange(len(words))
+    node, char = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
+    now = [np.ones(len(words), dtype=np.uint64) & gates[0]]
+    for k in range(1, most + 1):
+        now.append((now[-1] | (now[-1] << one)) & gates[k])
+    old = [np.zeros_like(x) for x in now]
+    for d in range(len(trie.char) - 1):
+        many = trie.many[d][node]
+        rows = np.repeat(np.arange(len(node)), many)
+        if not len(rows):
+            break
+        upto = np.cumsum(many)
+        child = np.arange(upto[-1]) - np.repeat(upto - many, many) + np.repeat(trie.first[d][node], many)
+        c, i = trie.char[d + 1][child], who[rows]
+        m = mask[i, c]
+        # most children die at once, and those are left out before the rest is reckoned
+        was = [x[rows] for x in now]
+        got = [((was[0] & m) << one) & gates[0][i]]
+        two = [(char[rows] == a) & (c == b) for a, b in split]
+        for k in range(1, most + 1):
+            # kept, added, put for another, left out, two read for one
+            r = ((was[k] & m) << one) | was[k - 1] | (was[k - 1] << one) | (got[-1] << one) | ((was[k - 1] & merge[i]) << np.uint64(2)) | got[-1]
+            for j, t in enumerate(two):  # one read for two
+                if t.any():
+                    r[t] |= (old[k - 1][rows[t]] & read[j, i[t]]) << one
+            got.append(r & gates[k][i])
+        alive = got[-1] != 0
+        for x in got[:-1]:
+            alive |= x != 0
+        alive = np.flatnonzero(alive)
+        old, now = [x[alive] for x in was], [x[alive] for x in got]
+        who, node, char = i[alive], child[alive], c[alive]
+        v = trie.word[d + 1][node]
+        end = np.flatnonzero(v >= 0)
+        edits = np.full(len(end), most + 1)
+        for k in range(most, -1, -1):
+            edits[((now[k][end] >> n[who[end]]) & one) == 1] = k
+        met = end[edits <= most]
+        yield who[met], v[met], edits[edits <= most]
+
+
+class Lexicon:
+    """A vocabulary as a trie of its words and one of its words read backwards."""
+
+    def __init__(self, words: list[str]):
+        self.ahead = Trie(words)
+        self.back = Trie([w[::-1] for w in self.ahead.words])
+        number = {w: i for i, w in enumerate(self.ahead.words)}
+        self.words = self.ahead.words
+        self.same = np.array([number[w[::-1]] for w in self.back.words], dtype=np.int64)
+
+    def within(self, words: list[str], group: int = 1024) -> Iterator[tuple[int, int, int]]:
+        """Word number, number of the vocabulary's word, and edits, of every pair within two edits (one edit for a word of
+        four characters and fewer); two characters read for one of the scanner's, or one for two, are one edit.
+
+        Complete for words of up to 60 characters: of two edits either at most one is in the first half of the word, and
+        the forward trie has the pair without a second edit there, or both are, and the backward trie has it behind an
+        exact second half."""
+        merged = [r for r, _ in MERGED]
+        full = lambda n: (np.uint64(1) << (n + np.uint64(1))) - np.uint64(1)
+        below = lambda n: (np.uint64(1) << n) - np.uint64(1)
+        for at in range(0, len(words), group):
+            part = words[at : at + group]
+            n = np.array([len(w) for w in part], dtype=np.uint64)
+            half, long = n // np.uint64(2), n > 4
+            found: dict[tuple[int, int], int] = {}
+            for i, v, e in _run(self.ahead, part, [full(n), full(n), np.where(long, full(n) & ~below(half), np.uint64(0))], merged, list(PARTED)):
+                for x in zip(i.tolist(), v.tolist(), e.tolist()):
+                    found[x[:2]] = min(x[2], found.get(x[:2], 9))
+            rest = np.flatnonzero(long)
+            m = n[rest]
+            gate = full(m) & ~below(m - half[rest])
+            for i, v, e in _run(self.back, [part[k][::-1] for k in rest], [full(m), gate, gate], [r[::-1] for r in merged], [(r, p[::-1]) for r, p in PARTED]):
+                for x in zip(rest[i].tolist(), self.same[v].tolist(), e.tolist()):
+                    found[x[:2]] = min(x[2], found.get(x[:2], 9))
+            for (i, v), e in found.items():
+                yield at + i, v, e
 
 
 OTHER_EDIT = 3  # what an edit that is no confusion of a scanner costs; a confusion costs 1
@@ -495,9 +530,10 @@ def _search(key, vocabulary: pd.DataFrame, suspects: pd.DataFrame) -> pd.DataFra
         often = dict(zip(vocabulary.v, vocabulary.nv))
         least = dict(zip(suspects.w, suspects.nw * ODDS))
         short = [w for w in suspects.w if len(w) <= 60]
-        trie = Trie([v for v in often if len(v) <= 62])
         # only what is much commoner can be the word that was printed
-        pairs = [(short[i], trie.words[j]) for i, j, e in within(trie, short) if e and often[trie.words[j]] >= least[short[i]]]
+        lowest = min(least.values())
+        lexicon = Lexicon([v for v, n in often.items() if len(v) <= 62 and n >= lowest])
+        pairs = [(short[i], lexicon.words[j]) for i, j, e in lexicon.within(short) if e and often[lexicon.words[j]] >= least[short[i]]]
         pairs += [(w, v) for w in suspects.w if len(w) > 60 for v in often if abs(len(v) - len(w)) <= MAX_EDITS and v != w and often[v] >= least[w]]
         out = [(w, v, c) for w, v in pairs if (c := cost(w, v)) <= MAX_EDITS]
     return pd.DataFrame(out, columns=["w", "v", "edits"])
