@@ -38,9 +38,10 @@ CONFUSIONS = (("e", "c"), ("n", "ri"), ("i", "!"), ("t", "f"), ("a", "@"), ("o",
 MAX_EDITS = 2
 ODDS = 10  # how much commoner the printed word must be than what was read for it
 SHARE = 200_000  # words of the vocabulary in one trie
-SUSPECTS = 2_000  # suspects of one task
+SUSPECTS = 10_000  # suspects of one task
 BLOCK = 1_000_000  # suspects, or pairs of words, looked for in one pass over the texts
-HELD = 300_000  # pairs a task counts before it hands them on
+HELD = 300_000  # words a task counts before it hands them on
+ROWS = 5_000  # texts taken apart at once
 EDGE = 3  # lines from the top or the bottom of a page where furniture stands
 
 TOKEN = r"(?:(?<![^\W_])[@!$|](?=[^\W\d_]))?[^\W_](?:[\w@!$|'’]*[^\W_])?(?:[!|](?=[,;]))?[.?!:;]?"
@@ -146,25 +147,28 @@ class Tokens:
         self.known: dict[str, int] = {LINE: 0}  # chunks
         self.number: dict[str, int] = {}  # words
         self.texts: list[str] = []  # of words
-        self.of: list[list[int]] = [[]]
         self.raw = [LINE]
-        self.flags: list[tuple[bool, bool, bool]] = [(False, False, False)]  # capital at its start; a capital after it is within a sentence; ends in a hyphen
-
-    def _add(self, chunk: str) -> int:
-        w = self.reader.words(chunk)
-        low = [x.rstrip(".?!:;").lower() or x for x in w]
-        at = []
-        for x in low:
-            k = self.number.get(x)
-            if k is None:
-                k = self.number[x] = len(self.texts)
-                self.texts.append(x)
-            at.append(k)
-        self.of.append(at)
-        self.raw.append(chunk)
-        self.flags.append((bool(w) and w[0][0].isupper() and w[0][1:2].islower(), bool(w) and w[-1].islower() and w[-1].isalpha(), chunk[-1] in HYPHEN_SIGNS))
-        self.known[chunk] = got = len(self.of) - 1
-        return got
+        # of chunks: their words one after the other and how many; capital at its start; a capital after it is within a sentence; ends in a hyphen
+        self.held, self.sizes, self.flags = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((1, 3), dtype=bool)
+
+    def _add(self, chunks: list[str]) -> None:
+        held, sizes, flags = [], [], []
+        for chunk in chunks:
+            w = self.reader.words(chunk)
+            for x in w:
+                x = x.rstrip(".?!:;").lower() or x
+                k = self.number.get(x)
+                if k is None:
+                    k = self.number[x] = len(self.texts)
+                    self.texts.append(x)
+                held.append(k)
+            sizes.append(len(w))
+            flags.append((bool(w) and w[0][0].isupper() and w[0][1:2].islower(), bool(w) and w[-1].islower() and w[-1].isalpha(), chunk[-1] in HYPHEN_SIGNS))
+            self.known[chunk] = len(self.raw)
+            self.raw.append(chunk)
+        self.held = np.concatenate([self.held, np.array(held, dtype=np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
+        self.flags = np.concatenate([self.flags, np.array(flags, dtype=bool)])
 
     def read(self, texts: list[str]) -> None:
         """Sets ``chunk`` (numbers of chunks without those that are pieces of words), ``word``, and for both the line they
@@ -176,10 +180,11 @@ class Tokens:
             chunks += (t.replace(LINE, " ") if LINE in t else t).replace("\n", f" {LINE} ").split()
             chunks.append(LINE)
         coded = pa.array(chunks, pa.string()).dictionary_encode()
-        known = self.known
-        mine = np.array([known[c] if c in known else self._add(c) for c in coded.dictionary.to_pylist()], dtype=np.int64)
-        at = mine[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, dtype=np.int64)
-        flags = np.array(self.flags)
+        mine = coded.dictionary.to_pylist()
+        if fresh := [c for c in mine if c not in self.known]:
+            self._add(fresh)
+        at = np.array([self.known[c] for c in mine], dtype=np.int64)[coded.indices.to_numpy()]
+        flags, sizes = self.flags, self.sizes
         ends = np.flatnonzero(at == 0)
         line = np.cumsum(at == 0) - (at == 0)
         self.lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
@@ -190,12 +195,10 @@ class Tokens:
         last[ends[self.filled] - 1] = True
         kept = (at != 0) & ~(last & flags[at, 2])
         self.chunk, self.chunk_line = at[kept], line[kept]
-        sizes = np.array([len(x) for x in self.of], dtype=np.int64)
-        held = np.array([x for a in self.of for x in a], dtype=np.int64)
         n = sizes[self.chunk]
         starts = (np.cumsum(sizes) - sizes)[self.chunk]
         upto = np.cumsum(n)
-        self.word = held[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - n), n)]
+        self.word = self.held[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - n), n)]
         self.word_line = np.repeat(self.chunk_line, n)
         self.first = (upto - n)[n > 0]  # of each chunk that has words, the place of its first
         before = np.concatenate([[0], self.chunk[:-1]])
@@ -228,8 +231,8 @@ def counted(texts: DataFrame) -> DataFrame:
             ], names=["word", "n", "named", "inner", "compound"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 if len(tokens.texts) > HELD:
                     yield flush()
                     tokens.clear()
@@ -273,8 +276,8 @@ def pair_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
             wanted, tokens = shared.value, Tokens(Reader())
             hashes, sums = np.zeros(0, dtype=np.uint64), np.zeros((2, len(wanted)), dtype=np.int64)
             for whole in batches:
-                for at in range(0, whole.num_rows, 2000):
-                    batch = whole.slice(at, 2000)
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
                     tokens.read(batch.column("text").to_pylist())
                     if len(tokens.word) < 2 or not len(wanted):
                         continue
@@ -471,8 +474,8 @@ class Lexicon:
         self.words = self.ahead.words
         self.same = np.array([number[w[::-1]] for w in self.back.words], dtype=np.int64)
 
-    def within(self, words: list[str], group: int = 1024) -> Iterator[tuple[int, int, int]]:
-        """Word number, number of the vocabulary's word, and edits, of every pair within two edits (one edit for a word of
+    def within(self, words: list[str], group: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arrays of word number, number of the vocabulary's word, and edits, of every pair within two edits (one edit for a word of
         four characters and fewer); two characters read for one of the scanner's, or one for two, are one edit.
 
         Complete for words of up to 60 characters: of two edits either at most one is in the first half of the word, and
@@ -485,18 +488,18 @@ class Lexicon:
             part = words[at : at + group]
             n = np.array([len(w) for w in part], dtype=np.uint64)
             half, long = n // np.uint64(2), n > 4
-            found: dict[tuple[int, int], int] = {}
-            for i, v, e in _run(self.ahead, part, [full(n), full(n), np.where(long, full(n) & ~below(half), np.uint64(0))], merged, list(PARTED)):
-                for x in zip(i.tolist(), v.tolist(), e.tolist()):
-                    found[x[:2]] = min(x[2], found.get(x[:2], 9))
+            got = list(_run(self.ahead, part, [full(n), full(n), np.where(long, full(n) & ~below(half), np.uint64(0))], merged, list(PARTED)))
             rest = np.flatnonzero(long)
             m = n[rest]
             gate = full(m) & ~below(m - half[rest])
-            for i, v, e in _run(self.back, [part[k][::-1] for k in rest], [full(m), gate, gate], [r[::-1] for r in merged], [(r, p[::-1]) for r, p in PARTED]):
-                for x in zip(rest[i].tolist(), self.same[v].tolist(), e.tolist()):
-                    found[x[:2]] = min(x[2], found.get(x[:2], 9))
-            for (i, v), e in found.items():
-                yield at + i, v, e
+            back = _run(self.back, [part[k][::-1] for k in rest], [full(m), gate, gate], [r[::-1] for r in merged], [(r, p[::-1]) for r, p in PARTED])
+            got += [(rest[i], self.same[v], e) for i, v, e in back]
+            if got:
+                i, v, e = (np.concatenate(x) for x in zip(*got))
+                by = np.lexsort((e, v, i))
+                i, v, e = i[by], v[by], e[by]
+                new = np.concatenate([[True], (i[1:] != i[:-1]) | (v[1:] != v[:-1])])[: len(i)]
+                yield at + i[new], v[new], e[new]
 
 
 OTHER_EDIT = 3  # what an edit that is no confusion of a scanner costs; a confusion costs 1
@@ -533,7 +536,11 @@ def _search(key, vocabulary: pd.DataFrame, suspects: pd.DataFrame) -> pd.DataFra
         # only what is much commoner can be the word that was printed
         lowest = min(least.values())
         lexicon = Lexicon([v for v, n in often.items() if len(v) <= 62 and n >= lowest])
-        pairs = [(short[i], lexicon.words[j]) for i, j, e in lexicon.within(short) if e and often[lexicon.words[j]] >= least[short[i]]]
+        nv, nw = np.array([often[v] for v in lexicon.words]), np.array([least[w] for w in short])
+        pairs = []
+        for i, j, e in lexicon.within(short):
+            fit = (e > 0) & (nv[j] >= nw[i])
+            pairs += [(short[x], lexicon.words[y]) for x, y in zip(i[fit].tolist(), j[fit].tolist())]
         pairs += [(w, v) for w in suspects.w if len(w) > 60 for v in often if abs(len(v) - len(w)) <= MAX_EDITS and v != w and often[v] >= least[w]]
         out = [(w, v, c) for w, v in pairs if (c := cost(w, v)) <= MAX_EDITS]
     return pd.DataFrame(out, columns=["w", "v", "edits"])
@@ -573,8 +580,8 @@ def places(texts: DataFrame, suspects: list[str]) -> DataFrame:
         tokens, is_suspect, is_odd = Tokens(reader), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
         none = pa.scalar(None, pa.string())
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 tokens.read(batch.column("text").to_pylist())
                 if len(is_suspect) > len(tokens.texts) or len(is_odd) > len(tokens.raw):
                     is_suspect, is_odd = is_suspect[:0], is_odd[:0]
