@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,24 +171,22 @@ class Tokens:
         self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
         self.flags = np.concatenate([self.flags, np.array(flags, dtype=bool)])
 
-    def read(self, texts: list[str]) -> None:
+    def read(self, texts: pa.Array) -> None:
         """Sets ``chunk`` (numbers of chunks without those that are pieces of words), ``word``, and for both the line they
         stand in; per line its text and number; and whether it has anything (``filled``)."""
         if len(self.texts) > HELD:
             self.clear()
-        chunks: list[str] = []
-        for t in texts:
-            chunks += (t.replace(LINE, " ") if LINE in t else t).replace("\n", f" {LINE} ").split()
-            chunks.append(LINE)
-        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        marked = pc.replace_substring(pc.replace_substring(texts, LINE, " "), "\n", f" {LINE} ")
+        coded = pc.utf8_split_whitespace(pc.binary_join_element_wise(marked, LINE, " ")).flatten().dictionary_encode()
         mine = coded.dictionary.to_pylist()
-        if fresh := [c for c in mine if c not in self.known]:
+        if fresh := [c for c in mine if c and c not in self.known]:
             self._add(fresh)
-        at = np.array([self.known[c] for c in mine], dtype=np.int64)[coded.indices.to_numpy()]
+        at = np.array([self.known[c] if c else -1 for c in mine], dtype=np.int64)[coded.indices.to_numpy()]
+        at = at[at >= 0]
         flags, sizes = self.flags, self.sizes
         ends = np.flatnonzero(at == 0)
         line = np.cumsum(at == 0) - (at == 0)
-        self.lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+        self.lines = pc.count_substring(texts, "\n").to_numpy().astype(np.int64) + 1
         self.text_of = np.repeat(np.arange(len(texts)), self.lines)
         self.line_no = np.arange(len(ends)) - np.repeat(np.cumsum(self.lines) - self.lines, self.lines) + 1
         self.filled = np.diff(ends, prepend=-1) > 1
@@ -237,7 +236,7 @@ def counted(texts: DataFrame) -> DataFrame:
                     yield flush()
                     tokens.clear()
                     sums, compounds = np.zeros((3, 0), dtype=np.int64), Counter()
-                tokens.read(batch.column("text").to_pylist())
+                tokens.read(batch.column("text"))
                 m = len(tokens.texts)
                 sums = np.pad(sums, ((0, 0), (0, m - sums.shape[1])))
                 away = tokens.away(np.asarray(batch.column("page")))
@@ -278,7 +277,7 @@ def pair_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
-                    tokens.read(batch.column("text").to_pylist())
+                    tokens.read(batch.column("text"))
                     if len(tokens.word) < 2 or not len(wanted):
                         continue
                     if len(hashes) > len(tokens.texts):
@@ -430,15 +429,22 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
         now.append((now[-1] | (now[-1] << one)) & gates[k])
     old = [np.zeros_like(x) for x in now]
     for d in range(len(trie.char) - 1):
-        many = trie.many[d][node]
-        rows = np.repeat(np.arange(len(node)), many)
-        if not len(rows):
+        free = np.zeros_like(now[0])
+        for x in (*now[:most], *old[:most]):
+            free |= x
+        spent = free == 0
+        # where all edits are spent, only a child with the very next character lives
+        rows, child = _children(trie, d, node, np.flatnonzero(spent))
+        c, i = trie.char[d + 1][child], who[rows]
+        r = ((now[most][rows] & mask[i, c]) << one) & gates[most][i]
+        on = np.flatnonzero(r)
+        none = np.zeros(len(on), dtype=np.uint64)
+        exact = (i[on], child[on], c[on], [none] * most + [r[on]], [none] * most + [now[most][rows[on]]])
+        rows, child = _children(trie, d, node, np.flatnonzero(~spent))
+        if not len(rows) and not len(on):
             break
-        upto = np.cumsum(many)
-        child = np.arange(upto[-1]) - np.repeat(upto - many, many) + np.repeat(trie.first[d][node], many)
         c, i = trie.char[d + 1][child], who[rows]
         m = mask[i, c]
-        # most children die at once, and those are left out before the rest is reckoned
         was = [x[rows] for x in now]
         got = [((was[0] & m) << one) & gates[0][i]]
         two = [(char[rows] == a) & (c == b) for a, b in split]
@@ -453,8 +459,9 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
         for x in got[:-1]:
             alive |= x != 0
         alive = np.flatnonzero(alive)
-        old, now = [x[alive] for x in was], [x[alive] for x in got]
-        who, node, char = i[alive], child[alive], c[alive]
+        joined = lambda a, b: np.concatenate([a[alive], b])
+        who, node, char = joined(i, exact[0]), joined(child, exact[1]), joined(c, exact[2])
+        old, now = [joined(a, b) for a, b in zip(was, exact[4])], [joined(a, b) for a, b in zip(got, exact[3])]
         v = trie.word[d + 1][node]
         end = np.flatnonzero(v >= 0)
         edits = np.full(len(end), most + 1)
@@ -464,6 +471,14 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
         yield who[met], v[met], edits[edits <= most]
 
 
+def _children(trie: Trie, d: int, node: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of some of the nodes of level ``d``: which of the nodes they are of, and their numbers."""
+    many = trie.many[d][node[of]]
+    upto = np.cumsum(many)
+    start = trie.first[d][node[of]] - (upto - many)
+    return np.repeat(of, many), np.arange(upto[-1] if len(upto) else 0) + np.repeat(start, many)
+
+
 class Lexicon:
     """A vocabulary as a trie of its words and one of its words read backwards."""
 
@@ -505,21 +520,28 @@ class Lexicon:
 OTHER_EDIT = 3  # what an edit that is no confusion of a scanner costs; a confusion costs 1
 
 
-def cost(word: str, v: str) -> int:
-    """The cheapest way to read ``v`` as ``word``: confusions at 1, single other edits at ``OTHER_EDIT``."""
-    best = {(0, 0): 0}
-    for i in range(len(word) + 1):
-        for j in range(len(v) + 1):
-            c = best.get((i, j))
-            if c is None or c > 2 * OTHER_EDIT:
-                continue
-            steps = [(i + 1, j + 1, OTHER_EDIT * (word[i] != v[j]))] if i < len(word) and j < len(v) else []
-            steps += [(i + 1, j, OTHER_EDIT)] * (i < len(word)) + [(i, j + 1, OTHER_EDIT)] * (j < len(v))
-            steps += [(i + len(r), j + len(p), 1) for r, p in RULES.get(word[i : i + 1], ()) if word.startswith(r, i) and v.startswith(p, j)]
-            for x, y, more in steps:
-                if c + more < best.get((x, y), 99):
-                    best[(x, y)] = c + more
-    return best[(len(word), len(v))] if (len(word), len(v)) in best else 99
+def cost(word: str, v: str, most: int = 99) -> int:
+    """The cheapest way to read ``v`` as ``word``: confusions at 1, single other edits at ``OTHER_EDIT``; ``most`` + 1 where
+    it costs more than ``most``."""
+    n, m, best = len(word), len(v), most + 1
+    stack, met = [(0, 0, 0)], {}
+    while stack:
+        i, j, c = stack.pop()
+        if c >= best or met.get((i, j), 99) <= c:
+            continue
+        met[i, j] = c
+        if i == n and j == m:
+            best = c
+            continue
+        if c + 1 < best and i < n:
+            for r, p in RULES.get(word[i], ()):
+                if word.startswith(r, i) and v.startswith(p, j):
+                    stack.append((i + len(r), j + len(p), c + 1))
+        if c + OTHER_EDIT < best:
+            stack += [(i + 1, j, c + OTHER_EDIT)] * (i < n) + [(i, j + 1, c + OTHER_EDIT)] * (j < m) + [(i + 1, j + 1, c + OTHER_EDIT)] * (i < n and j < m)
+        if i < n and j < m and word[i] == v[j]:
+            stack.append((i + 1, j + 1, c))
+    return best
 
 
 RULES: dict[str, list[tuple[str, str]]] = {}
@@ -542,7 +564,7 @@ def _search(key, vocabulary: pd.DataFrame, suspects: pd.DataFrame) -> pd.DataFra
             fit = (e > 0) & (nv[j] >= nw[i])
             pairs += [(short[x], lexicon.words[y]) for x, y in zip(i[fit].tolist(), j[fit].tolist())]
         pairs += [(w, v) for w in suspects.w if len(w) > 60 for v in often if abs(len(v) - len(w)) <= MAX_EDITS and v != w and often[v] >= least[w]]
-        out = [(w, v, c) for w, v in pairs if (c := cost(w, v)) <= MAX_EDITS]
+        out = [(w, v, c) for w, v in pairs if (c := cost(w, v, MAX_EDITS)) <= MAX_EDITS]
     return pd.DataFrame(out, columns=["w", "v", "edits"])
 
 
@@ -564,7 +586,7 @@ def candidates(words: DataFrame, least: int = 5, odds: int = ODDS) -> DataFrame:
     shares = max(1, -(-many // SHARE))
     parts = max(1, -(-suspects.count() // SUSPECTS))
     # every suspect meets every share of the vocabulary once; a share is one trie, whatever the words' lengths
-    left = vocabulary.select("v", "nv").withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = vocabulary.where(F.col("nv") >= odds).select("v", "nv").withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = suspects.select("w", "nw").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     met = left.groupBy("share", "part").cogroup(right.groupBy("share", "part")).applyInPandas(_search, "w string, v string, edits int")
     return met.join(suspects, "w").join(vocabulary.select("v", "nv"), "v").where(F.col("nv") >= F.col("nw") * odds)
@@ -582,7 +604,7 @@ def places(texts: DataFrame, suspects: list[str]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                tokens.read(batch.column("text").to_pylist())
+                tokens.read(batch.column("text"))
                 if len(is_suspect) > len(tokens.texts) or len(is_odd) > len(tokens.raw):
                     is_suspect, is_odd = is_suspect[:0], is_odd[:0]
                 is_suspect = np.concatenate([is_suspect, np.array([w in wanted for w in tokens.texts[len(is_suspect) :]], dtype=bool)])
