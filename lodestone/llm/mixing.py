@@ -4,8 +4,13 @@ Method: weighted fair queueing. The documents of a source are shuffled by a hash
 virtual finish time, the tokens of its source up to and with it (earlier passes included) over the source's target
 weight; the copies of all sources are put in the order of finish times and taken while the total stays within the
 budget. Prefix sums run in two levels - sums of hash buckets, then within a bucket - so that a source that holds a
-third of all documents is never one task's work, and the cut looks only into the one bucket of finish times in which
-the budget ends.
+third of all documents is never one task's work.
+
+Where the budget ends follows from the sources' sums alone: up to time t a source is served weight times t tokens, but
+never more than its copies hold, and the budget is spent at the t at which these add up to it. Copies that finish by
+then are taken without looking at their order, copies far beyond are never made; only those between - of each source no
+more tokens than are still left, which is less than one document a source - are looked at one by one. ``ordered`` gives
+the mixture range-sorted by finish time.
 
 Defined cases: sources that differ only in letter case, outer white space or ``-`` for ``_`` are one; null sources
 and sources that are not listed have share 0 and are reported with it; documents without tokens are not used; a
@@ -22,8 +27,6 @@ from pyspark.sql import Window as W
 from lodestone.llm.encode import VOCABULARY, token_counts
 from lodestone.runtime import cut
 
-SLICES = 4096
-
 
 def source_name(c: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), "-", "_")
@@ -41,8 +44,9 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 
 def queue(sizes: DataFrame, targets: DataFrame, seed: int = 11, bucket_rows: int = 20_000) -> DataFrame:
-    """Every copy of every usable document with its ``finish`` time: ``id``, ``source``, ``pass`` (0 first), ``tokens``."""
-    usable = sizes.where("tokens > 0 and id is not null").join(F.broadcast(tidy_targets(targets).where("target_share > 0 and max_repeats > 0")), "source")
+    """Every usable document with its place in its source's queue: ``id``, ``source``, ``tokens``, ``upto`` (tokens of the
+    first pass up to and with it), ``whole`` (tokens of a pass), ``target_share`` and ``max_repeats``."""
+    usable = sizes.where("tokens > 0 and id is not null").join(F.broadcast(tidy_targets(targets).where("target_share > 0 and max_repeats > 0")), "source")  # the listed sources
     buckets = max(16, sizes.count() // bucket_rows)
     order = F.xxhash64(F.lit(seed), "id")
     placed = usable.withColumn("order", order).withColumn("bucket", F.floor((F.col("order").cast("double") / 2.0**64 + 0.5) * buckets).cast("long"))
@@ -52,8 +56,29 @@ def queue(sizes: DataFrame, targets: DataFrame, seed: int = 11, bucket_rows: int
     offsets = sums.select("source", "bucket", (running - F.col("in_bucket")).alias("before"), whole.alias("whole"))
     inside = F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("order", "id").rowsBetween(W.unboundedPreceding, 0))
     each = placed.withColumn("inside", inside).join(offsets, ["source", "bucket"])
-    copies = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
-    return copies.select("id", "source", "pass", "tokens", ((F.col("pass") * F.col("whole") + F.col("before") + F.col("inside")) / F.col("target_share")).alias("finish"))
+    return each.select("id", "source", "tokens", (F.col("before") + F.col("inside")).alias("upto"), "whole", "target_share", "max_repeats")
+
+
+def spent_at(sources: list[tuple[float, float]], budget: float) -> float:
+    """The time at which sources of so much weight and so many tokens have been served the budget; never, if they hold less."""
+    time, served, live = 0.0, 0.0, sorted((held / weight, weight) for weight, held in sources)
+    while live:
+        rate = sum(w for _, w in live)
+        dry = live[0][0]
+        if served + rate * (dry - time) >= budget:
+            return time + (budget - served) / rate
+        served, time = served + rate * (dry - time), dry
+        live = [x for x in live if x[0] > dry]
+    return float("inf")
+
+
+def copies(queued: DataFrame, until: Column, after: Column | None = None) -> DataFrame:
+    """The copies that finish by ``until`` (and after ``after``): ``id``, ``source``, ``pass`` (0 first), ``tokens``, ``finish``."""
+    last = F.least(F.col("max_repeats") - 1, F.floor((until * F.col("target_share") - F.col("upto")) / F.col("whole")) + 1)  # one more than can be
+    finish = (F.col("pass") * F.col("whole") + F.col("upto")) / F.col("target_share")
+    made = queued.where(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last.cast("int")))).withColumn("finish", finish)
+    kept = made.where(finish <= until) if after is None else made.where((finish <= until) & (finish > after))
+    return kept.select("id", "source", "pass", "tokens", "finish")
 
 
 def mixture(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 11) -> DataFrame:
@@ -63,19 +88,20 @@ def mixture(sizes: DataFrame, targets: DataFrame, budget: int | None = None, see
     if budget is None:
         budget = listed.agg(F.sum("tokens")).first()[0] or 0
     queued = cut(queue(sizes, targets, seed))
-    last = queued.agg(F.max("finish")).first()[0] or 1.0
-    at = F.least(F.floor(F.col("finish") / last * SLICES), F.lit(SLICES - 1)).cast("int")
-    total, slice_, left = 0, 0, budget
-    for r in queued.groupBy(at.alias("s")).agg(F.sum("tokens").alias("n")).orderBy("s").collect():  # at most SLICES rows
-        slice_, left = r.s, budget - total
-        if total + r.n > budget:
-            break
-        total += r.n
-        slice_, left = r.s + 1, budget - total
-    sliced = queued.withColumn("s", at)
-    upto = F.sum("tokens").over(W.partitionBy("s").orderBy("finish", "source", "id", "pass").rowsBetween(W.unboundedPreceding, 0))
-    edge = sliced.where(F.col("s") == slice_).withColumn("upto", upto).where(F.col("upto") <= left).drop("upto")
-    return sliced.where(F.col("s") < slice_).union(edge).select(F.col("id").alias("doc_id"), "source", "pass", "tokens", "finish")
+    held = queued.groupBy("source").agg(F.first("target_share").alias("w"), (F.max("whole") * F.max("max_repeats")).alias("held")).collect()  # the listed sources
+    level = spent_at([(r.w, float(r.held)) for r in held], float(budget))
+    level = min(level, max((r.held / r.w for r in held), default=0.0)) * (1 - 1e-9)  # so that rounding never takes more than the budget
+    sure = cut(copies(queued, F.lit(level)))
+    left = budget - (sure.agg(F.sum("tokens")).first()[0] or 0)
+    near = copies(queued, F.lit(level) + F.lit(float(max(left, 0))) / F.col("target_share"), F.lit(level))
+    upto = F.sum("tokens").over(W.orderBy("finish", "source", "id", "pass").rowsBetween(W.unboundedPreceding, 0))  # less than a document a source
+    edge = near.withColumn("upto", upto).where(F.col("upto") <= left).drop("upto")
+    return sure.union(edge).select(F.col("id").alias("doc_id"), "source", "pass", "tokens", "finish")
+
+
+def ordered(taken: DataFrame) -> DataFrame:
+    """The mixture in its order: ranges of finish times, sorted within."""
+    return taken.repartitionByRange("finish", "source", "doc_id", "pass").sortWithinPartitions("finish", "source", "doc_id", "pass")
 
 
 def report(sizes: DataFrame, targets: DataFrame, taken: DataFrame) -> DataFrame:

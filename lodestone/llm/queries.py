@@ -57,7 +57,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.records(_claims(spark, d))
+    return survivor.records(_claims(spark, d), survivor.truths(table(spark, d, "questions_dedupe")))
 
 
 def p5_truth(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d)[2]
+    return mixing.ordered(_mixture(spark, d)[2])
 
 
 def _subjects(spark: SparkSession, d: str) -> subjects.Subjects:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.operators.keys import squeezed
 from lodestone.runtime import cut
 
+PATTERNS = 100_000  # patterns of sources the driver holds
+
 FIELDS = ("question_text", "passage_text", "option_a", "correct_option", "difficulty_estimate")
 
 # Words that only say that there is no value (compared without case and outer punctuation).
@@ -71,9 +73,14 @@ def surviving(claimed: DataFrame) -> DataFrame:
     return claimed.groupBy("group", "field_name").agg(F.max(best).alias("b"), F.max_by("value", best).alias("value")).select(F.col("group").alias("canonical_question_id"), "field_name", (-F.col("b.r")).alias("row_id"), "value")
 
 
-def records(claimed: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One surviving record per group, built field by field."""
-    return surviving(claimed).groupBy("canonical_question_id").pivot("field_name", list(fields)).agg(F.first("value"))
+def records(claimed: DataFrame, true: DataFrame | None = None, fields: tuple[str, ...] = FIELDS, name: str = "micro_concept") -> DataFrame:
+    """One surviving record per group, built field by field; with the values of ``truths``, all those that are kept of the
+    multi-valued field under ``name``, sorted (an empty array where none is; as many as the sources of a group gave)."""
+    single = surviving(claimed).groupBy("canonical_question_id").pivot("field_name", list(fields)).agg(F.first("value"))
+    if true is None:
+        return single
+    several = true.where("kept").groupBy("canonical_question_id").agg(F.array_sort(F.collect_set("value")).alias(name))
+    return single.join(several, "canonical_question_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
 def facts(df: DataFrame, group: str = "canonical_question_id", column: str = "micro_concept", separators: str = ";|", source: str = "source_tier") -> DataFrame:
@@ -89,10 +96,13 @@ def facts(df: DataFrame, group: str = "canonical_question_id", column: str = "mi
 def two_sided(given: DataFrame, rounds: int = 40, tol: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Expectation maximisation over the claim patterns; (pattern posteriors, quality per source).
 
-    The driver holds patterns of sources (at most 3 to the number of source tiers), never facts.
+    The driver holds patterns of sources (at most 3 to the number of source tiers; more than ``PATTERNS`` are an error),
+    never facts.
     """
     spark = given.sparkSession
-    patterns = given.groupBy("yes", "no").agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns = given.groupBy("yes", "no").agg(F.count(F.lit(1)).alias("n")).limit(PATTERNS + 1).collect()
+    if len(patterns) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns of sources: name sources by something coarser, such as their tier")
     names = sorted({s for p in patterns for s in [*p.yes, *p.no]})
     at = {s: i for i, s in enumerate(names)}
     yes, no = np.zeros((2, len(patterns), len(names)))
