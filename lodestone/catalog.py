@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules
 from lodestone.functions import text as X
 from lodestone.operators import aggregates as A
+from lodestone.operators import phrases
 from lodestone.operators import relational as R
 from lodestone.plans import classify, dedupe, intent, practice, priority, review
-from lodestone.runtime import table
-from lodestone.sources import documents
+from lodestone.runtime import cut, table
+from lodestone.sources import documents, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,7 +69,10 @@ KEYS = ["chapter", "subtopic"]
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d)
+    return topics_of(facts(spark, d))
+
+
+def topics_of(f: DataFrame) -> DataFrame:
     per = priority.parts(f, KEYS, F.col("weight"), F.col("recency"), F.col("year"), F.col("shift"), F.col("pattern"), F.col("direct"))
     caps = per.agg(F.max("source_weighted_frequency").alias("cs"), F.max("recency_score").alias("cr"), F.max("pattern_count").cast("double").alias("cp"))
     capped = per.crossJoin(F.broadcast(caps))  # one row
@@ -77,8 +81,9 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topics_with_effort(spark: SparkSession, d: str) -> DataFrame:
-    hard = A.dominant(facts(spark, d), KEYS, "difficulty")
-    t = topics(spark, d).join(hard, KEYS)
+    """Topics with their commonest difficulty; the facts are joined once and counted per topic and difficulty on the way."""
+    f = cut(facts(spark, d).drop("l_quantity", "l_orderkey", "l_linenumber"))
+    t = topics_of(f).join(A.dominant(f, KEYS, "difficulty"), KEYS)
     return priority.effort(t, F.col("difficulty"), F.col("pattern_count").cast("int"))
 
 
@@ -114,7 +119,7 @@ def _(spark, d):
     return facts(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("question_count"), F.count_distinct("year").alias("years_seen"))
 
 
-@query("chapter_year_pivot", f"WITH {_F} SELECT chapter, " + ", ".join(f"count(*) FILTER (WHERE year = {y}) AS \"{y}\"" for y in YEARS) + " FROM f GROUP BY 1")
+@query("chapter_year_pivot", f"WITH {_F} SELECT chapter, " + ", ".join(f"count(*) FILTER (WHERE year = {y}) AS \"{y}\"" for y in YEARS) + f", count(*) FILTER (WHERE year NOT IN ({', '.join(YEARS)})) AS other FROM f GROUP BY 1")
 def _(spark, d):
     return A.pivot_counts(facts(spark, d), "chapter", "year", YEARS)
 
@@ -149,7 +154,11 @@ def _(spark, d):
     return priority.high_roi(topics_with_effort(spark, d)).select(*KEYS, "difficulty", "study_hours_required", "expected_marks_contribution", "roi")
 
 
-@query("study_plan")
+@query("study_plan", f"""WITH RECURSIVE {_E}, o AS (SELECT *, row_number() OVER (ORDER BY roi DESC, expected_marks_contribution DESC, chapter, subtopic) AS i FROM e),
+r AS (SELECT plan_days, 0 AS seq, CAST(1 AS BIGINT) AS i, 1 AS day, 4e0 AS lft, o.study_hours_required AS need, 0 AS d, 0e0 AS hours, CAST(0 AS BIGINT) AS t FROM (VALUES (3), (5), (7), (14)) v(plan_days) JOIN o ON o.i = 1
+UNION ALL SELECT s.plan_days, s.seq + 1, s.ni, CASE WHEN s.rest <= 0.05e0 THEN s.day + 1 ELSE s.day END, CASE WHEN s.rest <= 0.05e0 THEN 4e0 ELSE s.rest END, CASE WHEN s.ni = s.i THEN s.still ELSE n.study_hours_required END, s.day, s.give, s.i
+FROM (SELECT *, round(least(lft, need), 2) AS give, round(lft - round(least(lft, need), 2), 2) AS rest, round(need - round(least(lft, need), 2), 2) AS still, CASE WHEN round(need - round(least(lft, need), 2), 2) <= 0.05e0 THEN i + 1 ELSE i END AS ni FROM r WHERE day <= plan_days AND need > 0.05e0) s LEFT JOIN o n ON n.i = s.ni)
+SELECT plan_days, seq, d AS day, hours AS allocated_hours, chapter, subtopic FROM r JOIN o ON o.i = r.t""")
 def _(spark, d):
     order = [(-F.col("roi")), (-F.col("expected_marks_contribution")), F.col("chapter"), F.col("subtopic")]
     return priority.study_plan(topics_with_effort(spark, d), order=order)
@@ -185,15 +194,21 @@ def _(spark, d):
     return intent.answer("heatmap", topics(spark, d), facts(spark, d), list(PART_TYPES))[1]
 
 
-@query("chapter_subtopic_heatmap", f"WITH {_F} SELECT subtopic, " + ", ".join(f"round(coalesce(sum(l_quantity) FILTER (WHERE chapter = '{t}'), 0), 4) AS \"{t}\"" for t in PART_TYPES) + " FROM f GROUP BY 1")
+@query("chapter_subtopic_heatmap", f"WITH {_F} SELECT subtopic, " + ", ".join(f"round(coalesce(sum(l_quantity) FILTER (WHERE chapter = '{t}'), 0), 4) AS \"{t}\"" for t in PART_TYPES) + f", round(coalesce(sum(l_quantity) FILTER (WHERE chapter NOT IN {PART_TYPES}), 0), 4) AS other FROM f GROUP BY 1")
 def _(spark, d):
     return A.pivot_sums(facts(spark, d), "subtopic", "chapter", PART_TYPES, "l_quantity")
 
 
-@query("format_strategy")
+def _top_of(column: str, name: str) -> str:
+    return f"SELECT chapter, subtopic, {column} AS {name} FROM (SELECT chapter, subtopic, {column}, count(*) AS n FROM f GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY chapter, subtopic ORDER BY n DESC, {column}) = 1"
+
+
+@query("format_strategy", f"""WITH {_T}, hi AS (SELECT chapter, subtopic, priority_tier FROM topic WHERE priority_tier LIKE 'Tier 1%' OR priority_tier LIKE 'Tier 2%'), dp AS ({_top_of('pattern', 'dominant_pattern')}), dh AS ({_top_of('shift', 'dominant_heading')}),
+rq AS (SELECT chapter, subtopic, string_agg(t, ' || ' ORDER BY n) AS representative_questions FROM (SELECT chapter, subtopic, concat_ws('-', l_orderkey, l_linenumber) AS t, row_number() OVER (PARTITION BY chapter, subtopic ORDER BY weight DESC, l_orderkey, l_linenumber) AS n FROM f) WHERE n <= 5 GROUP BY 1, 2)
+SELECT * FROM hi LEFT JOIN dp USING (chapter, subtopic) LEFT JOIN dh USING (chapter, subtopic) LEFT JOIN rq USING (chapter, subtopic)""")
 def _(spark, d):
-    f = facts(spark, d).withColumn("text", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    high = topics(spark, d).where(F.col("priority_tier").startswith("Tier 1") | F.col("priority_tier").startswith("Tier 2")).select(*KEYS, "priority_tier")
+    f = cut(facts(spark, d).withColumn("text", F.concat_ws("-", "l_orderkey", "l_linenumber")))
+    high = topics_of(f).where(F.col("priority_tier").startswith("Tier 1") | F.col("priority_tier").startswith("Tier 2")).select(*KEYS, "priority_tier")
     return review.format_strategy(f, high, "pattern", "shift", F.col("text"), [F.desc("weight"), F.col("l_orderkey"), F.col("l_linenumber")])
 
 
@@ -231,7 +246,7 @@ def _(spark, d):
     return q.groupBy("repeated_concept_cluster").agg(F.count(F.lit(1)).alias("question_count"), A.joined_set("y").alias("years_seen"), F.count_distinct("y").alias("year_count"), A.joined_set("chapter").alias("chapters"), first.alias("example_question"))
 
 
-@query("type_by_chapter", f"SELECT CASE WHEN {_BLANK.format('chapter')} THEN 'Unknown' ELSE chapter END AS chapter, " + ", ".join(f"count(*) FILTER (WHERE CASE WHEN {_BLANK.format('question_type')} THEN 'Unknown' ELSE question_type END = '{k}') AS \"{k}\"" for k in KINDS) + " FROM questions GROUP BY 1")
+@query("type_by_chapter", f"SELECT CASE WHEN {_BLANK.format('chapter')} THEN 'Unknown' ELSE chapter END AS chapter, " + ", ".join(f"count(*) FILTER (WHERE CASE WHEN {_BLANK.format('question_type')} THEN 'Unknown' ELSE question_type END = '{k}') AS \"{k}\"" for k in KINDS) + f", count(*) FILTER (WHERE CASE WHEN {_BLANK.format('question_type')} THEN 'Unknown' ELSE question_type END NOT IN {KINDS}) AS other FROM questions GROUP BY 1")
 def _(spark, d):
     return A.pivot_counts(table(spark, d, "questions"), "chapter", "question_type", KINDS)
 
@@ -347,12 +362,12 @@ def _(spark, d):
 _MICRO = ", ".join(f"({i}, '{label}', '{w}')" for i, (label, words) in enumerate(rules.MICRO_CONCEPTS) for w in words)
 
 
-@query("micro_concept", f"""WITH m(i, label, kw) AS (VALUES {_MICRO}), q AS (SELECT row_id, lower({_Q}) AS t, CASE WHEN NOT {_BLANK.format('subtopic')} THEN subtopic END AS sub FROM questions),
+@query("micro_concept", f"""WITH m(i, label, kw) AS (VALUES {_MICRO}), q AS (SELECT row_id, lower(concat_ws(' ', coalesce(chapter, ''), coalesce(subtopic, ''), {_Q})) AS t, CASE WHEN NOT {_BLANK.format('subtopic')} THEN subtopic END AS sub FROM questions),
 h AS (SELECT row_id, i, label, count(*) AS hits FROM q JOIN m ON contains(t, kw) GROUP BY 1, 2, 3), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY hits DESC, i) = 1),
 w AS (SELECT row_id, unnest(regexp_extract_all(t, '[a-z]{{5,}}')) AS w, generate_subscripts(regexp_extract_all(t, '[a-z]{{5,}}'), 1) AS p FROM q), k AS (SELECT row_id, w, count(*) AS n, min(p) AS p FROM w WHERE w NOT IN ({', '.join(repr(s) for s in rules.STOPWORDS)}) GROUP BY 1, 2), c AS (SELECT row_id, w FROM k QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, p) = 1)
 SELECT q.row_id, coalesce(b.label, q.sub, c.w, 'unclassified') AS label, round(CASE WHEN b.hits > 0 THEN least(0.98e0, 0.62e0 + b.hits * 0.18e0) WHEN c.w IS NOT NULL THEN 0.45e0 ELSE 0.35e0 END, 2) AS confidence FROM q LEFT JOIN b USING (row_id) LEFT JOIN c USING (row_id)""")
 def _(spark, d):
-    return table(spark, d, "questions").select("row_id", rules.micro_concept(F.col("question_text"), F.col("subtopic")).alias("m")).select("row_id", "m.label", "m.confidence")
+    return table(spark, d, "questions").select("row_id", rules.micro_concept(F.col("question_text"), F.col("chapter"), F.col("subtopic")).alias("m")).select("row_id", "m.label", "m.confidence")
 
 
 @query("cluster_label", f"""WITH q AS (SELECT row_id, chapter, subtopic, list_filter(regexp_extract_all(lower({_Q}), '[a-z]{{5,}}'), lambda x: x NOT IN ({', '.join(repr(s) for s in rules.STOPWORDS)})) AS t FROM questions)
@@ -424,16 +439,18 @@ def _(spark, d):
 # --- Labelling ----------------------------------------------------------------------------------------------------
 
 
-@query("taxonomy_explode", "WITH n AS (SELECT row_number() OVER (ORDER BY chapter, subtopic) AS leaf, chapter, subtopic, list_concat([subtopic], string_split(ncert_concept, ';')) AS w FROM ncert_reverse_index), e AS (SELECT leaf, chapter, subtopic, unnest(w) AS p FROM n) SELECT leaf, chapter, subtopic, trim(regexp_replace(regexp_replace(lower(p), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS phrase FROM e")
+@query("taxonomy_explode", "WITH n AS (SELECT row_number() OVER (ORDER BY chapter, subtopic) AS leaf, chapter, subtopic, string_split(ncert_concept, ';') AS w FROM ncert_reverse_index), e AS (SELECT leaf, chapter, subtopic, unnest(w) AS p FROM n) SELECT leaf, chapter, subtopic, trim(regexp_replace(regexp_replace(lower(p), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS phrase FROM e")
 def _(spark, d):
     return classify.leaf_keywords(table(spark, d, "ncert_reverse_index")).select("leaf", "chapter", "subtopic", "phrase")
 
 
-_KW = "n AS (SELECT row_number() OVER (ORDER BY chapter, subtopic) AS leaf, chapter, subtopic, list_concat([subtopic], string_split(ncert_concept, ';')) AS w FROM ncert_reverse_index), kw AS (SELECT leaf, chapter, subtopic, trim(regexp_replace(regexp_replace(lower(p), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS phrase FROM (SELECT leaf, chapter, subtopic, unnest(w) AS p FROM n)), kt AS (SELECT *, string_split(phrase, ' ') AS tokens FROM kw)"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("rule_label", f"""WITH {_KW}, q AS (SELECT row_id AS id, trim(regexp_replace(regexp_replace(lower({_Q}), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM questions), qs AS (SELECT id, t, list_distinct(string_split(t, ' ')) AS ws FROM q),
-s AS (SELECT id, leaf, CASE WHEN contains(t, phrase) AND len(list_intersect(ws, tokens)) > 0 THEN 2.5e0 + least(2e0, 0.4e0 * len(tokens)) WHEN len(tokens) > 1 THEN len(list_intersect(ws, tokens)) / CAST(len(tokens) AS DOUBLE) ELSE 0 END AS s FROM qs CROSS JOIN kt),
+@query("rule_label", f"""WITH n AS (SELECT row_number() OVER (ORDER BY chapter, subtopic) AS leaf, chapter, subtopic, string_split(ncert_concept, ';') AS w FROM ncert_reverse_index), kw AS (SELECT leaf, {_PLAIN.format('p')} AS phrase FROM (SELECT leaf, unnest(w) AS p FROM n)),
+q AS (SELECT row_id AS id, {_PLAIN.format(_Q)} AS t FROM questions), ct AS (SELECT leaf, unnest(string_split_regex(lower(chapter), '\\s+')) AS w FROM n),
+s AS (SELECT id, leaf, CASE WHEN contains(t, phrase) THEN 2.5e0 + least(2e0, 0.4e0 * len(string_split(phrase, ' '))) WHEN contains(phrase, ' ') THEN len(list_filter(string_split(phrase, ' '), lambda w: list_contains(string_split(t, ' '), w))) / CAST(len(string_split(phrase, ' ')) AS DOUBLE) ELSE 0 END AS s FROM q CROSS JOIN kw WHERE phrase <> ''
+UNION ALL SELECT id, leaf, 0.5e0 FROM q JOIN ct ON length(w) > 4 AND list_contains(string_split(t, ' '), w)),
 g AS (SELECT id, leaf, round(sum(s), 6) AS score FROM s GROUP BY 1, 2 HAVING sum(s) > 0), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, leaf) = 1)
 SELECT q.id, coalesce(n.chapter, '') AS chapter, coalesce(n.subtopic, '') AS subtopic, coalesce(b.score, 0) AS score, round(least(0.98e0, 1 - exp(-coalesce(b.score, 0) / 7)), 6) AS confidence, round(least(0.98e0, 1 - exp(-coalesce(b.score, 0) / 7)), 6) < 0.3 AS needs_review FROM q LEFT JOIN b USING (id) LEFT JOIN n USING (leaf)""")
 def _(spark, d):
@@ -464,19 +481,23 @@ def _(spark, d):
     return classify.vector_labels(e, classify.centroids(e, "label", "embedding"), "vec_id", "embedding")
 
 
+SHARES = {"rule": 0.5, "embedding": 0.9, "bm25": 1.0, "llm": 0.7}
+
+
 def _votes(spark: SparkSession, d: str) -> DataFrame:
+    """The labellers' votes. The export holds one confidence a row; each labeller's score is a share of it (``SHARES``)."""
     r = table(spark, d, "review_suggestions").select("canonical_question_id", *[f"{n}_label" for n in classify.VOTES], "final_confidence").distinct()
-    return r.withColumns({f"{n}_score": F.col("final_confidence") for n in classify.VOTES}).drop("final_confidence")
+    return r.withColumns({f"{n}_score": F.col("final_confidence") * F.lit(x) for n, x in SHARES.items()}).drop("final_confidence")
 
 
 _NB = {n: f"CASE WHEN NOT {_BLANK.format(n + '_label')} THEN {n}_label END" for n in classify.VOTES}
-_SUMS = ", ".join(f"CASE WHEN {a}x IS NOT NULL THEN round(" + " + ".join(f"CASE WHEN {b}x = {a}x THEN {w}e0 * coalesce(final_confidence, 0) ELSE 0 END" for b, w in classify.VOTES.items()) + f", 6) ELSE -1 END AS {a}s" for a in classify.VOTES)
+_SUMS = ", ".join(f"CASE WHEN {a}x IS NOT NULL THEN round(" + " + ".join(f"CASE WHEN {b}x = {a}x THEN {w}e0 * coalesce(final_confidence * {SHARES[b]}e0, 0) ELSE 0 END" for b, w in classify.VOTES.items()) + f", 6) ELSE -1 END AS {a}s" for a in classify.VOTES)
 
 
 @query("ensemble_vote", f"""WITH r AS (SELECT DISTINCT canonical_question_id, rule_label, bm25_label, embedding_label, llm_label, final_confidence FROM review_suggestions), x AS (SELECT canonical_question_id, final_confidence, {', '.join(f'{v} AS {k}x' for k, v in _NB.items())} FROM r), s AS (SELECT *, {_SUMS} FROM x),
 g AS (SELECT *, greatest({', '.join(f'{n}s' for n in classify.VOTES)}) AS best FROM s), w AS (SELECT *, CASE WHEN best < 0 THEN NULL {' '.join(f'WHEN {n}s = best THEN {n}x' for n in classify.VOTES)} END AS label FROM g),
 a AS (SELECT *, {' + '.join(f'coalesce(CAST({n}x = label AS INTEGER), 0)' for n in classify.VOTES)} AS agreement FROM w)
-SELECT canonical_question_id, coalesce(label, '') AS final_label, agreement, CASE WHEN label IS NULL THEN 0 ELSE round(least(0.99e0, best + 0.25e0 * agreement / 4), 4) END AS final_confidence FROM a""")
+SELECT canonical_question_id, coalesce(label, '') AS final_label, agreement, CASE WHEN label IS NULL THEN 0 ELSE CAST(round(CAST(least(0.99e0, best + 0.25e0 * agreement / 4) AS DECIMAL(18, 6)), 4) AS DOUBLE) END AS final_confidence FROM a""")
 def _(spark, d):
     return classify.vote(_votes(spark, d)).select("canonical_question_id", "final_label", "agreement", "final_confidence")
 
@@ -495,11 +516,31 @@ def _(spark, d):
     return review.validated(q, review.guardrails(table(spark, d, "ncert_reverse_index"))).select("row_id", "taxonomy_mismatch", "taxonomy_mismatch_reason")
 
 
-@query("review_queue")
+_W = f"""tq AS (SELECT *, {_TIER} AS tier, {_YEAR} AS y FROM questions), wq AS (SELECT row_id, chapter, subtopic, y, try_cast(confidence_score AS DOUBLE) AS conf, CASE tier """ + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in rules.SOURCE_WEIGHTS.items()) + " ELSE 0.35e0 END AS wf, CASE y " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in rules.YEAR_WEIGHTS.items()) + " ELSE 0.35e0 END AS rw FROM tq)"
+_RAILS = """rr AS (SELECT chapter, list(subtopic) AS subs, list_distinct(flatten(list(list_filter(list_transform(string_split(coalesce(ncert_concept, ''), ';'), lambda x: lower(trim(x))), lambda x: x <> '')))) AS micro FROM ncert_reverse_index GROUP BY 1),
+jj AS (SELECT q.row_id, q.subtopic, lower(trim(coalesce(ncert_keyword_match, ''))) AS m, rr.subs, rr.micro FROM questions q LEFT JOIN rr USING (chapter)),
+bad AS (SELECT row_id, subs IS NULL OR NOT coalesce(list_contains(subs, subtopic), false) OR NOT (len(micro) = 0 OR len(list_filter(subs, lambda s: lower(s) = m)) > 0 OR len(list_filter(micro, lambda a: contains(m, a) OR (m <> '' AND contains(a, m)))) > 0) AS wrong FROM jj)"""
+_QTOPIC = """qp AS (SELECT chapter, subtopic, CAST(round(sum(CAST(wf AS DECIMAL(18,6))), 4) AS DOUBLE) AS f, CAST(round(sum(CAST(wf * rw AS DECIMAL(18,6))), 4) AS DOUBLE) AS r, count(DISTINCT y) AS ys FROM wq GROUP BY 1, 2),
+qs AS (SELECT chapter, subtopic, round(0.3e0 * f / max(f) OVER () + 0.25e0 * r / max(r) OVER () + 0.15e0 * least(ys / 5e0, 1e0), 4) AS raw FROM qp), qt AS (SELECT *, round(cume_dist() OVER (ORDER BY raw), 4) AS p FROM qs)"""
+
+
+def _question_tiers(q: DataFrame) -> DataFrame:
+    """Topics of questions by source and year weights and years, with their tier."""
+    none = F.lit(None).cast("string")
+    per = priority.parts(q, KEYS, F.col("wf"), F.col("wf") * F.col("rw"), rules.year_text(F.col("year")), none, none, F.lit(0.0))
+    caps = per.agg(F.max("source_weighted_frequency").alias("cs"), F.max("recency_score").alias("cr"))
+    return priority.ranked(priority.scores(per.crossJoin(F.broadcast(caps)), {"frequency": F.col("cs"), "recency": F.col("cr"), "years": 5.0}))  # one row
+
+
+@query("review_queue", f"""WITH {_W}, {_RAILS}, {_QTOPIC}, z AS (SELECT wq.*, round(0.55e0 * wf + 0.35e0 * rw + 0.1e0 * (1 - coalesce(conf, 0)), 6) AS importance, wrong, CASE WHEN wrong THEN 0.45e0 ELSE 0.82e0 END AS mc, coalesce(qt.p >= 0.65e0, false) AS hot FROM wq JOIN bad USING (row_id) LEFT JOIN qt ON wq.chapter = qt.chapter AND wq.subtopic = qt.subtopic),
+k AS (SELECT row_id, importance, 'important' AS reason, 0 AS part FROM (SELECT * FROM z ORDER BY importance DESC, row_id LIMIT 50) UNION ALL SELECT row_id, importance, 'taxonomy mismatch', 1 FROM (SELECT * FROM z WHERE wrong ORDER BY importance DESC, row_id LIMIT 25) UNION ALL SELECT row_id, importance, 'high topic', 2 FROM (SELECT * FROM z WHERE hot ORDER BY wf DESC, mc, row_id LIMIT 25)),
+u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY part) = 1), a AS (SELECT row_id, importance, reason, 0 AS f FROM u UNION ALL SELECT row_id, importance, 'filler', 1 FROM (SELECT * FROM z WHERE row_id NOT IN (SELECT row_id FROM u) ORDER BY importance DESC, row_id LIMIT 100))
+SELECT row_id, importance, reason FROM a ORDER BY f, importance DESC, row_id LIMIT 100""")
 def _(spark, d):
     q = table(spark, d, "questions").withColumnRenamed("ncert_keyword_match", "micro_concept").withColumn("wf", rules.source_weight(rules.source_tier(F.col("source"), F.col("source_url")))).withColumn("rw", rules.year_weight(F.col("year"))).withColumn("conf", F.col("confidence_score").try_cast("double"))
+    q = cut(q.select("row_id", "chapter", "subtopic", "micro_concept", "year", "wf", "rw", "conf"))
     checked = review.validated(q, review.guardrails(table(spark, d, "ncert_reverse_index")))
-    high = q.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *KEYS).limit(20)
+    high = _question_tiers(q).where(F.col("priority_tier").startswith("Tier 1") | F.col("priority_tier").startswith("Tier 2"))
     return review.review_queue(checked, high, "row_id", "wf", "rw", "conf", "micro_confidence").select("row_id", "importance", "reason")
 
 
@@ -508,28 +549,31 @@ def _(spark, d):
     return review.suggestions(table(spark, d, "review_suggestions"), {"canonical_question_id": "question", "rule_label": "ai_suggested_label", "review_reason": "why"})
 
 
-_LABELS = "(SELECT canonical_question_id, rule_label AS label_pred, llm_label AS label_gold FROM review_suggestions)"
+_FORMS = f"""l0 AS (SELECT chapter || ' :: ' || subtopic AS label, unnest([chapter || ' ' || subtopic, subtopic]) AS p FROM ncert_reverse_index), lf AS (SELECT form, min(label) AS leaf FROM (SELECT DISTINCT label, {_PLAIN.format("regexp_replace(p, '[^A-Za-z0-9]+', ' ', 'g')")} AS form FROM l0) GROUP BY 1 HAVING count(*) = 1)"""
+_FORM = _PLAIN.format("regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g')")
+_LABELS = f"""{_FORMS}, pd AS (SELECT DISTINCT canonical_question_id, rule_label FROM review_suggestions), gd AS (SELECT DISTINCT canonical_question_id, llm_label FROM review_suggestions),
+lp AS (SELECT canonical_question_id, coalesce(a.leaf, CASE WHEN NOT {_BLANK.format('rule_label')} THEN lower(trim(rule_label)) END) AS label_pred, coalesce(b.leaf, CASE WHEN NOT {_BLANK.format('llm_label')} THEN lower(trim(llm_label)) END) AS label_gold FROM pd JOIN gd USING (canonical_question_id) LEFT JOIN lf a ON {_FORM.format('rule_label')} = a.form LEFT JOIN lf b ON {_FORM.format('llm_label')} = b.form)"""
 
 
 def _label_pairs(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "review_suggestions")
-    return r.select(F.col("rule_label").alias("label_pred"), F.col("llm_label").alias("label_gold"))
+    """Predictions (the rule's labels) met with gold ones (the outside labeller's), both in the taxonomy's spelling."""
+    r, leaves = table(spark, d, "review_suggestions"), table(spark, d, "ncert_reverse_index")
+    predicted = r.select("canonical_question_id", F.col("rule_label").alias("label")).distinct()
+    gold = r.select("canonical_question_id", F.col("llm_label").alias("label")).distinct()
+    return classify.tidy_labels(R.labelled_pairs(predicted, gold, "canonical_question_id"), leaves, ["label_pred", "label_gold"])
 
 
-@query("label_accuracy", f"SELECT 'label_accuracy' AS metric, round(coalesce(avg(CASE WHEN trim(coalesce(label_gold, '')) <> '' THEN CAST(lower(trim(coalesce(label_pred, ''))) = lower(trim(label_gold)) AS DOUBLE) END), 0), 4) AS value FROM {_LABELS} UNION ALL SELECT 'label_labelled', CAST(count(*) FILTER (WHERE trim(coalesce(label_gold, '')) <> '') AS DOUBLE) FROM {_LABELS}")
+@query("label_accuracy", f"WITH {_LABELS} SELECT 'label_accuracy' AS metric, round(coalesce(avg(CASE WHEN trim(coalesce(label_gold, '')) <> '' THEN CAST(lower(trim(coalesce(label_pred, ''))) = lower(trim(label_gold)) AS DOUBLE) END), 0), 4) AS value FROM lp UNION ALL SELECT 'label_labelled', CAST(count(*) FILTER (WHERE trim(coalesce(label_gold, '')) <> '') AS DOUBLE) FROM lp")
 def _(spark, d):
     return A.accuracy(_label_pairs(spark, d), ["label"])
 
 
-_CONF = ("n/a", "skipped_or_unavailable", "unsure", "Unknown")
-
-
-@query("confusion_matrix", f"SELECT CASE WHEN trim(coalesce(label_gold, '')) = '' THEN 'Unknown' ELSE label_gold END AS label_gold, " + ", ".join(f"count(*) FILTER (WHERE CASE WHEN trim(coalesce(label_pred, '')) = '' THEN 'Unknown' ELSE label_pred END = '{v}') AS \"{v}\"" for v in _CONF) + f" FROM {_LABELS} GROUP BY 1")
+@query("confusion_matrix", f"WITH {_LABELS} SELECT label_gold AS gold, label_pred AS predicted, count(*) AS n FROM lp WHERE label_gold IS NOT NULL AND label_pred IS NOT NULL GROUP BY 1, 2")
 def _(spark, d):
-    return A.confusion(_label_pairs(spark, d), "label", _CONF)
+    return A.confusion(_label_pairs(spark, d), "label")
 
 
-@query("common_confusions", f"SELECT 'label' AS field, label_gold AS gold_label, coalesce(label_pred, '') AS predicted_label, count(*) AS count FROM {_LABELS} WHERE trim(coalesce(label_gold, '')) <> '' AND lower(label_gold) <> lower(coalesce(label_pred, '')) GROUP BY 2, 3 ORDER BY 4 DESC, 2, 3 LIMIT 25")
+@query("common_confusions", f"WITH {_LABELS} SELECT 'label' AS field, label_gold AS gold_label, coalesce(label_pred, '') AS predicted_label, count(*) AS count FROM lp WHERE trim(coalesce(label_gold, '')) <> '' AND lower(label_gold) <> lower(coalesce(label_pred, '')) GROUP BY 2, 3 ORDER BY 4 DESC, 2, 3 LIMIT 25")
 def _(spark, d):
     return A.common_confusions(_label_pairs(spark, d), ["label"])
 
@@ -596,14 +640,22 @@ SELECT subtopic, weight, hype, CASE WHEN hype > 0 AND weight >= q60 THEN 'valida
 def _(spark, d):
     w = table(spark, d, "questions").where(~R.blank(F.col("subtopic"))).groupBy("subtopic").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     terms = w.select("subtopic", F.explode(X.long_terms(F.col("subtopic"))).alias("term"))
-    # all terms of the taxonomy ride along as one row, so each text is read once and nothing is multiplied before the sum
-    listed = terms.agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    docs = table(spark, d, "documents").select("text").crossJoin(F.broadcast(listed))
-    found = docs.select(F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), X.count_within(F.col("text"), t).alias("n")))).alias("x")).where("x.n > 0").groupBy("x.term").agg(F.sum("x.n").alias("n"))
+    # one automaton over all terms reads each text once; what leaves a task is a count per term
+    found = phrases.totals(table(spark, d, "documents"), "text", terms, "term")
     hype = terms.join(found, "term", "left").groupBy("subtopic").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hype"))
     return priority.hype(w.join(hype, "subtopic", "left").na.fill(0, ["hype"]), "hype", "weight")
 
 
+@query("hidden_gems", f"SELECT subtopic, weight, hype FROM ({SQL['hype_vs_actual']}) WHERE mismatch_type = 'underhyped_hidden_gem'" if "hype_vs_actual" in SQL else None)
+def _(spark, d):
+    return QUERIES["hype_vs_actual"](spark, d).where("mismatch_type = 'underhyped_hidden_gem'").select("subtopic", "weight", "hype")
+
+
+@query("overhyped", f"SELECT subtopic, weight, hype FROM ({SQL['hype_vs_actual']}) WHERE mismatch_type = 'overhyped'" if "hype_vs_actual" in SQL else None)
+def _(spark, d):
+    return QUERIES["hype_vs_actual"](spark, d).where("mismatch_type = 'overhyped'").select("subtopic", "weight", "hype")
+
+
 # --- Practice -----------------------------------------------------------------------------------------------------
 
 
@@ -670,7 +722,11 @@ def _(spark, d):
     return practice.weighted_sample(bank, "p_partkey", "adaptive_weight", "p_type", {"SMALL": 15, "LARGE": 25}, 50)
 
 
-@query("forecast")
+@query("forecast", f"""WITH {_S}, y AS (SELECT user_id, greatest(0e0, score_percent) AS y, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ss),
+m AS (SELECT user_id, CAST(any_value(n) AS INTEGER) AS n, avg(y) AS my, coalesce(sum((i - (n - 1) / 2e0) * y) / nullif(sum((i - (n - 1) / 2e0) * (i - (n - 1) / 2e0)), 0), 0) AS slope, sum(CASE WHEN i = 0 THEN pow(0.45e0, n - 1) ELSE 0.55e0 * pow(0.45e0, n - 1 - i) END * y) AS ema FROM y GROUP BY 1),
+g AS (SELECT m.*, greatest(sqrt(sd.v), 4e0) AS spread FROM m JOIN (SELECT user_id, avg(pow(y - (my + slope * (i - (m.n - 1) / 2e0)), 2)) AS v FROM y JOIN m USING (user_id) GROUP BY 1) sd USING (user_id)), st AS (SELECT *, unnest(CASE WHEN n >= 2 THEN [1, 2, 3] ELSE [0] END) AS step FROM g),
+c AS (SELECT *, round(0.55e0 * (my + slope * ((n - 1) / 2e0 + step)) + 0.45e0 * ema, 6) AS c, n >= 2 AS ok FROM st)
+SELECT user_id, n, step, CASE WHEN ok THEN 'ok' ELSE 'insufficient_data' END AS status, CASE WHEN ok THEN round(greatest(0, least(100, c)), 2) END AS forecast, CASE WHEN ok THEN round(greatest(0, least(100, round(c - spread, 6))), 2) END AS low, CASE WHEN ok THEN round(greatest(0, least(100, round(c + spread, 6))), 2) END AS high FROM c""")
 def _(spark, d):
     s = practice.sessions(attempts(spark, d), ["user_id", "day"], "ts")
     return practice.forecast(s.withColumn("score_percent", F.greatest(F.lit(0.0), F.col("score_percent"))), ["user_id"], "day", "score_percent")
@@ -679,21 +735,216 @@ def _(spark, d):
 # --- Sources: texts that stand in the tables ----------------------------------------------------------------------
 
 
-@query("question_blocks")
+_NORM = r"regexp_replace(regexp_replace(regexp_replace(translate({0}, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
+
+
+def _first(c: str, pattern: str) -> str:
+    return _NORM.format(f"regexp_extract({c}, '(?is){pattern}', 1)")
+
+
+def _option(letter: str) -> str:
+    mine = f"list_filter(pieces[2:], lambda p: translate(upper(substring(p, 1, 1)), '1234', 'ABCD') = '{letter}')[1]"
+    return f"coalesce(trim(regexp_replace(regexp_replace(substring({mine}, 3), '{X.BEHIND}', ''), '\\s+', ' ', 'g')), '')"
+
+
+def _parse_sql() -> str:
+    """The grammar's SQL: the same marks, in the other dialect's functions."""
+    stem = "pieces[1]"
+    for p in (r"(?i)question\s*id\s*[:-]?\s*\d+", X.LEADING, rf"(?is){X.ANSWER}[a-d1-4].*$"):
+        stem = f"regexp_replace({stem}, '{p}', '', 'g')".replace("\\\\", "\\")
+    options = {x: _option(x) for x in "ABCD"}
+    asks = "contains(block, '?') OR regexp_matches(lower(block), '" + "|".join(X.PROMPT_WORDS) + "')"
+    answer = f"array_to_string(list_transform(regexp_extract_all(upper({_first('block', X.ANSWER + '([a-d1-4])')}), '[A-D1-4]'), lambda x: translate(x, '1234', 'ABCD')), ',')"
+    return f"""WITH b0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(source_url, '') AS source_url, string_split(regexp_replace(chr(10) || replace({_NORM.format('text')}, chr(1), ''), '(?i)\\n\\s*({X.STARTS})', chr(1) || '\\1', 'g'), chr(1)) AS bs FROM documents WHERE text IS NOT NULL),
+b1 AS (SELECT doc_id, source, source_url, list_filter(list_transform(bs, lambda x: {_NORM.format('x')}), lambda x: length(x) > 0) AS bs FROM b0), b2 AS (SELECT doc_id, source, source_url, unnest(bs) AS block, generate_subscripts(bs, 1) - 1 AS pos FROM b1),
+b3 AS (SELECT *, string_split(regexp_replace(replace(replace(block, chr(2), ''), chr(3), ''), '{X.OPTION}', chr(2) || '\\1\\2' || chr(3), 'g'), chr(2)) AS pieces, concat_ws(' ', source, source_url, source_url, substring(block, 1, 300)) AS meta FROM b2),
+b4 AS (SELECT *, {', '.join(f"{o} AS option_{x.lower()}" for x, o in options.items())}, {asks} AS asks FROM b3),
+b5 AS (SELECT *, {_NORM.format(stem)} AS question_text, {answer} AS correct_option, {_first('block', 'question\\s*id\\s*[:-]?\\s*(\\d+)')} AS qid, coalesce(nullif({_first('block', '(?:^|\\n)\\s*(?:q(?:uestion)?\\.?\\s*)?(\\d{1,3})\\s*[.)]')}, ''), CAST(pos + 1 AS VARCHAR)) AS question_number,
+regexp_extract(meta, '\\b(20(?:2[2-6]|19))\\b', 1) AS year FROM b4 WHERE asks OR (option_a <> '')::INT + (option_b <> '')::INT + (option_c <> '')::INT + (option_d <> '')::INT >= 2),
+pq AS (SELECT *, CASE WHEN qid <> '' THEN qid ELSE substring(sha256(question_text || source_url), 1, 18) END AS question_id FROM b5)
+SELECT doc_id, pos, question_number, question_text, option_a, option_b, option_c, option_d, correct_option, question_id, year FROM pq"""
+
+
+@query("question_blocks", _parse_sql())
 def _(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return documents.parse_questions(docs, "doc_id", "text", "source", "source_url", "source_url").select("doc_id", "pos", "question_number", "question_text", "option_a", "option_b", "option_c", "option_d", "correct_option", "question_id", "year")
 
 
-@query("html_text")
+_PARSE_KEY = r"CASE WHEN length(question_id) > 6 THEN question_id ELSE sha1(substring(trim(regexp_replace(lower(coalesce(question_text, '')), '[^a-zA-Z0-9_]+', ' ', 'g')), 1, 500)) END"
+
+
+@query("parsed_questions", f"SELECT {_PARSE_KEY} AS parse_key, doc_id, pos, question_text FROM ({_parse_sql().replace('SELECT doc_id, pos, question_number, question_text, option_a', 'SELECT source_url, doc_id, pos, question_number, question_text, option_a')}) QUALIFY row_number() OVER (PARTITION BY {_PARSE_KEY} ORDER BY question_id, source_url, doc_id, pos) = 1")
 def _(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return documents.parsed(docs, "doc_id", "text", "source", "source_url", "source_url").select("parse_key", "doc_id", "pos", "question_text")
+
+
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages: every line a paragraph, in markup that is escaped."""
     q = table(spark, d, "documents").where("text is not null")
-    page = F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><table><tr><th>id</th><td>"), F.col("doc_id").cast("string"), F.lit("</td></tr></table></body></html>"))
-    return documents.html_text(q.select("doc_id", page.alias("html")), "doc_id", "html")
+    return q.select("doc_id", F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.replace(_escaped(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><a href=\"/papers/"), F.col("doc_id").cast("string"), F.lit(".pdf\">Question paper "), (F.col("doc_id") % 3).cast("string"), F.lit("</a></body></html>")).alias("html"))
 
 
-@query("relevant_sources", "SELECT source_url, text_chars FROM extraction_manifest WHERE contains(lower(coalesce(source_url, '')), 'manual') OR (contains(lower(coalesce(source_url, '')), 'exam-office') AND contains(lower(coalesce(source_url, '')), 'papers'))")
+@query("html_text")
+def _(spark, d):
+    return documents.html_text(_pages(spark, d), "doc_id", "html")
+
+
+@query("html_links", "SELECT doc_id, CAST(0 AS INTEGER) AS pos, '/papers/' || doc_id || '.pdf' AS url, 'Question paper ' || doc_id % 3 AS label FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return documents.html_links(_pages(spark, d), "doc_id", F.col("html"), "paper|exam", "question")
+
+
+@query("answer_pairs", "SELECT row_id, CAST(1 AS INTEGER) AS block_no, CAST(0 AS INTEGER) AS pos, CAST(row_id + 1000000 AS VARCHAR) AS question_id, ['A', 'B', 'C', 'D', 'DROP'][1 + row_id % 5] AS correct_option FROM questions WHERE contains(lower(coalesce(chapter, '')), 'plan')")
+def _(spark, d):
+    keys = F.element_at(F.array(*[F.lit(x) for x in ("1", "2", "3", "4", "Drop")]), (F.col("row_id") % 5 + 1).cast("int"))
+    text = F.concat(F.lit("Answer keys "), F.coalesce("chapter", F.lit("")), F.lit(" "), (F.col("row_id") + 1_000_000).cast("string"), F.lit(" "), keys)
+    return documents.answer_pairs(table(spark, d, "questions").select("row_id", text.alias("text")), "row_id", "text", "answer keys", "plan")
+
+
+@query("paper_rows", "SELECT row_id, '2' AS shift, CAST(row_id % 40 AS INTEGER) AS question_number, CAST(row_id AS VARCHAR) AS question_id, 'MCQ' AS question_type, CASE WHEN row_id % 40 <= 15 THEN 'Section A' ELSE 'Section B1' END AS section FROM questions")
+def _(spark, d):
+    q = table(spark, d, "questions")
+    text = F.concat(F.lit("Shift 2 Question Number : "), (F.col("row_id") % 40).cast("string"), F.when(F.col("row_id") % 2 == 0, " Question Id : ").otherwise("\nQuestion Type: mcq\nQuestion ID "), F.col("row_id").cast("string"), F.when(F.col("row_id") % 2 == 0, " x Question Type : MCQ").otherwise(""))
+    return documents.paper_rows(q.select("row_id", text.alias("text")), "row_id", "text")
+
+
+@query("embedded_questions", "SELECT row_id, CAST(row_id AS VARCHAR) AS question_id, option_a, upper(correct_option) AS correct_option FROM questions WHERE trim(coalesce(regexp_replace(question_text, '[\\x00-\\x1f\"\\\\{}]+', ' ', 'g'), '')) <> '' AND NOT coalesce(regexp_matches(option_a, '[\\x00-\\x1f\"\\\\{}]'), false)")
 def _(spark, d):
-    from lodestone.sources.files import relevant
+    q = table(spark, d, "questions").where(~F.coalesce(F.col("option_a").rlike(r'[\x00-\x1f"\\{}]'), F.lit(False)))
+    asked = F.regexp_replace("question_text", r'[\x00-\x1f"\\{}]+', " ")
+    page = F.replace(F.to_json(F.struct(F.col("row_id").cast("string").alias("_id"), asked.alias("question"), F.array("option_a").alias("options"), F.col("correct_option").alias("answer"))), F.lit('"'), F.lit('\\"'))
+    found = documents.embedded_questions(q.select("row_id", F.concat(F.lit("<script>"), page, F.lit("</script>")).alias("html")), "row_id", "html")
+    return found.select("row_id", "question_id", "option_a", "correct_option")
 
-    return table(spark, d, "extraction_manifest").where(relevant(F.col("source_url"), ["manual"], [("exam-office", ["papers"])])).select("source_url", "text_chars")
+
+@query("salvage_json", "SELECT row_id, CASE WHEN row_id % 3 = 0 THEN NULL ELSE '{\"id\":' || row_id || '}' END AS json FROM questions")
+def _(spark, d):
+    q = table(spark, d, "questions")
+    whole = F.concat(F.lit('{"id": '), F.col("row_id").cast("string"), F.lit("}"))
+    text = F.when(F.col("row_id") % 3 == 0, "none here").when(F.col("row_id") % 3 == 1, whole).otherwise(F.concat(F.lit("Sure: ```json "), whole, F.lit(" ```")))
+    return q.select("row_id", X.salvage_json(text).alias("json"))
+
+
+@query("title_case", r"""SELECT row_id, array_to_string(list_transform(regexp_extract_all(lower(chapter), '[a-z]+|[^a-z]+'), lambda w: upper(w[1:1]) || w[2:]), '') AS heading FROM questions""")
+def _(spark, d):
+    return table(spark, d, "questions").select("row_id", X.title_case(F.col("chapter")).alias("heading"))
+
+
+@query("safe_names", r"SELECT row_id, substring(regexp_replace(regexp_replace(source_url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 120) AS name FROM questions")
+def _(spark, d):
+    return table(spark, d, "questions").select("row_id", X.safe_name(F.col("source_url")).alias("name"))
+
+
+# --- Files: tables written in the shared folder and read back -----------------------------------------------------
+
+_FILE_COLUMNS = ("question_id", "chapter", "subtopic", "question_text", "source")
+
+
+def _folder(spark: SparkSession) -> str:
+    from uuid import uuid4
+
+    from lodestone.runtime import shared_dir
+
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{uuid4().hex}"
+
+
+@query("csv_files", "SELECT " + ", ".join(rf"coalesce(trim(regexp_replace({c}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')), '') AS {c}" for c in _FILE_COLUMNS) + ", CAST(NULL AS VARCHAR) AS shift FROM questions WHERE question_text IS NOT NULL AND trim(question_text) <> ''")
+def _(spark, d):
+    at = _folder(spark)
+    rows = table(spark, d, "questions").where(~R.blank(F.col("question_text"))).select(*_FILE_COLUMNS)
+    files.write_csv(rows, at)
+    back = files.read_csv(spark, f"{at}/*.csv", files.strings([*_FILE_COLUMNS, "shift"]), trimmed=True)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _FILE_COLUMNS], "shift")
+
+
+@query("json_lines", "SELECT row_id, chapter, question_text, CAST(NULL AS DOUBLE) AS score FROM questions")
+def _(spark, d):
+    at = _folder(spark)
+    files.write_jsonl(table(spark, d, "questions").select("row_id", "chapter", "question_text"), at)
+    return files.read_jsonl(spark, at, "row_id long, chapter string, question_text string, score double")
+
+
+@query("raw_text_files", "SELECT count(*) AS files, CAST(count(DISTINCT page_text) AS BIGINT) AS texts FROM (SELECT page_text FROM extracted_pages WHERE page_text IS NOT NULL AND regexp_matches(page_text, '^[!-~]+( [!-~]+)*$'))")
+def _(spark, d):
+    at = _folder(spark)
+    pages = table(spark, d, "extracted_pages").where(F.col("page_text").rlike("^[!-~]+( [!-~]+)*$")).select("page_id", F.col("page_text").alias("value"))
+    pages.write.partitionBy("page_id").option("lineSep", "\x00").text(at)
+    return files.raw_texts(spark, f"{at}/*/*.txt").agg(F.count(F.lit(1)).alias("files"), F.count_distinct(F.replace("text", F.lit("\x00"), F.lit(""))).alias("texts"))
+
+
+# --- Small operators ----------------------------------------------------------------------------------------------
+
+
+@query("existing_columns", "SELECT row_id, chapter, year FROM questions")
+def _(spark, d):
+    return R.existing(table(spark, d, "questions"), ["row_id", "absent", "chapter", "year"])
+
+
+@query("flagged_rows", "SELECT row_id FROM questions WHERE lower(trim(needs_review)) IN ('true', 'yes')")
+def _(spark, d):
+    return table(spark, d, "questions").where(R.flag(F.col("needs_review"))).select("row_id")
+
+
+@query("filtered_or_head", "SELECT * FROM (SELECT row_id, chapter FROM questions WHERE chapter = 'No Such Chapter' UNION ALL SELECT * FROM (SELECT row_id, chapter FROM questions ORDER BY row_id LIMIT 25))")
+def _(spark, d):
+    return R.filtered_or_head(table(spark, d, "questions").select("row_id", "chapter"), F.col("chapter") == "No Such Chapter", [F.col("row_id")], 25)
+
+
+@query("human_labels", "SELECT canonical_question_id, review_reason FROM review_suggestions WHERE NOT coalesce(contains(lower(review_reason), 'label'), false)")
+def _(spark, d):
+    return review.without(table(spark, d, "review_suggestions"), "review_reason", "label").select("canonical_question_id", "review_reason")
+
+
+@query("where_set", "SELECT row_id, CASE WHEN difficulty_estimate = 'hard' THEN 'set' ELSE chapter END AS chapter FROM questions")
+def _(spark, d):
+    return R.where_set(table(spark, d, "questions").select("row_id", "chapter", "difficulty_estimate"), F.col("difficulty_estimate") == "hard", {"chapter": F.lit("set")}).select("row_id", "chapter")
+
+
+@query("prefixed_metrics", "SELECT source_tier AS metric, CAST(count(*) AS DOUBLE) AS value FROM questions_dedupe WHERE trim(coalesce(source_tier, '')) <> '' GROUP BY 1")
+def _(spark, d):
+    return A.prefixed(A.value_counts(table(spark, d, "questions_dedupe"), "source_tier", "source_tier_"), "source_tier_")
+
+
+@query("metric_lookup", "SELECT CAST(count(*) AS DOUBLE) AS total_raw_rows FROM questions_dedupe")
+def _(spark, d):
+    q = table(spark, d, "questions_dedupe")
+    return A.metric(dedupe.quality(q, "canonical_question_id", "source_tier", F.col("source_weight"), R.blank(F.col("question_text"))), "total_raw_rows", -1.0)
+
+
+@query("latest_labels", "SELECT canonical_question_id, max(reviewed_at) AS reviewed_at FROM review_suggestions GROUP BY 1")
+def _(spark, d):
+    return review.latest_labels(table(spark, d, "review_suggestions"), "canonical_question_id", "reviewed_at").select("canonical_question_id", "reviewed_at")
+
+
+@query("label_batches", "SELECT canonical_question_id, CAST((row_number() OVER (ORDER BY canonical_question_id) - 1) // 5 AS BIGINT) AS batch FROM (SELECT DISTINCT canonical_question_id FROM questions_dedupe q WHERE canonical_question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM review_suggestions r WHERE r.canonical_question_id = q.canonical_question_id))")
+def _(spark, d):
+    q = table(spark, d, "questions_dedupe").where("canonical_question_id is not null").select("canonical_question_id").distinct()
+    return review.batches(review.unlabelled(q, table(spark, d, "review_suggestions"), "canonical_question_id"), "canonical_question_id")
+
+
+@query("canonical_numbers", f"SELECT row_id, 'cq_' || lpad(CAST(dense_rank() OVER (ORDER BY m) AS VARCHAR), 6, '0') || '_' || substring(sha256(x), 1, 10) AS canonical_question_id FROM (SELECT row_id, {_ID} AS x, min(row_id) OVER (PARTITION BY {_ID}) AS m FROM questions)")
+def _(spark, d):
+    q = table(spark, d, "questions").select("row_id", dedupe.identity(table(spark, d, "questions")).alias("x"))
+    first = q.groupBy("x").agg(F.min("row_id").alias("m"))
+    return dedupe.canonical_ids(q.join(first, "x"), "m", F.col("x")).select("row_id", "canonical_question_id")
+
+
+@query("evidence_intent", f"WITH {_T} SELECT chapter, count(*) AS topics FROM topic WHERE question_count <= 1 GROUP BY 1")
+def _(spark, d):
+    return intent.answer("which labels look suspicious", topics(spark, d), facts(spark, d), list(PART_TYPES))[1]
+
+
+@query("import_counters", "SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM questions UNION ALL SELECT 'distinct_ids', count(DISTINCT question_id) FROM questions UNION ALL SELECT 'readable_texts', count(*) FILTER (WHERE length(question_text) > 20) FROM questions UNION ALL SELECT 'answered', count(*) FILTER (WHERE trim(coalesce(correct_option, '')) <> '') FROM questions")
+def _(spark, d):
+    return A.metric_rows(table(spark, d, "questions"), {"rows": F.count(F.lit(1)), "distinct_ids": F.count_distinct("question_id"), "readable_texts": F.count_if(F.length("question_text") > 20), "answered": F.count_if(~R.blank(F.col("correct_option")))})
+
+
+@query("relevant_sources", "SELECT source_url, text_chars FROM extraction_manifest WHERE contains(lower(coalesce(source_url, '')), 'manual') OR (contains(lower(coalesce(source_url, '')), 'exam-office') AND contains(lower(coalesce(source_url, '')), 'papers'))")
+def _(spark, d):
+    return table(spark, d, "extraction_manifest").where(files.relevant(F.col("source_url"), ["manual"], [("exam-office", ["papers"])])).select("source_url", "text_chars")

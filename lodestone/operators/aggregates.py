@@ -40,16 +40,19 @@ def reliability(df: DataFrame, keys: Sequence[str], weight: str, confidence: str
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Rows by one column and counts by another's given values, 0 where there are none; blanks as Unknown.
+    """Rows by one column and counts by another's given values, 0 where there are none; blanks as Unknown, and what is
+    not among the values under ``other``.
 
     The values are given, so that the plan has no extra job to find them and its columns never change.
     """
     shown = or_unknown(F.col(column).cast("string"))
-    return df.groupBy(or_unknown(F.col(row)).alias(row)).agg(*[F.count_if(shown == v).alias(str(v)) for v in values])
+    return df.groupBy(or_unknown(F.col(row)).alias(row)).agg(*[F.count_if(shown == v).alias(str(v)) for v in values], F.count_if(~shown.isin(*[str(v) for v in values])).alias("other"))
 
 
 def pivot_sums(df: DataFrame, row: str, column: str, values: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(row).agg(*[F.round(F.coalesce(F.sum(F.when(F.col(column) == v, F.col(value))), F.lit(0.0)), 4).alias(str(v)) for v in values])
+    """Sums by the given values of a column; what is not among them, nulls too, is under ``other``."""
+    total = lambda test: F.round(F.coalesce(F.sum(F.when(test, F.col(value))), F.lit(0.0)), 4)
+    return df.groupBy(row).agg(*[total(F.col(column) == v).alias(str(v)) for v in values], total(~F.coalesce(F.col(column).isin(*values), F.lit(False))).alias("other"))
 
 
 def correlation(df: DataFrame, item: str, at: str) -> DataFrame:
@@ -93,6 +96,11 @@ def metric(metrics: DataFrame, name: str, otherwise: float) -> DataFrame:
     return metrics.where(F.col("metric") == name).agg(F.coalesce(F.min("value"), F.lit(otherwise)).alias(name))
 
 
+def prefixed(metrics: DataFrame, prefix: str) -> DataFrame:
+    """Metrics whose name begins with a prefix, without it."""
+    return metrics.where(F.col("metric").startswith(prefix)).withColumn("metric", F.substring("metric", len(prefix) + 1, 1_000_000))
+
+
 def value_counts(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     return df.where(~blank(F.col(column))).groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.concat(F.lit(prefix), F.col(column)).alias("metric"), "value")
 
@@ -108,9 +116,10 @@ def accuracy(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
     return metric_rows(pairs, metrics)
 
 
-def confusion(pairs: DataFrame, field: str, values: Sequence[str]) -> DataFrame:
-    """Gold labels by predictions, letter case and all."""
-    return pivot_counts(pairs, f"{field}_gold", f"{field}_pred", values)
+def confusion(pairs: DataFrame, field: str) -> DataFrame:
+    """A row per gold label and prediction that meet, with their number; pairs with a null on either side are no case."""
+    gold, pred = F.col(f"{field}_gold"), F.col(f"{field}_pred")
+    return pairs.where(gold.isNotNull() & pred.isNotNull()).groupBy(gold.alias("gold"), pred.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def common_confusions(pairs: DataFrame, fields: Sequence[str], top: int = 25) -> DataFrame:

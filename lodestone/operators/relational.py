@@ -90,6 +90,18 @@ def keep_first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return best.select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
+def numbered(df: DataFrame, key: str, name: str, slices: int = 256) -> DataFrame:
+    """``name``: the place from 0 of each row by a key, nulls first. Rows are parted by ranges of the key and numbered within
+    them; only the sizes of the ranges are added up, so no task sorts all rows. Equal keys share a range."""
+    from lodestone.runtime import cut
+
+    parted = cut(df.repartitionByRange(slices, F.col(f"`{key}`").asc_nulls_first()).withColumn("__slice", F.spark_partition_id()))
+    sizes = parted.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__slice", (F.sum("__n").over(Window.orderBy("__slice")) - F.col("__n")).alias("__before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("__slice").orderBy(F.col(f"`{key}`").asc_nulls_first())) - 1
+    return parted.withColumn("__place", place).join(F.broadcast(before), "__slice").withColumn(name, F.col("__before") + F.col("__place")).drop("__slice", "__place", "__before")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows of both, one per key: new rows before old ones, then by the order."""
     both = old.withColumn("__age", F.lit(1)).unionByName(new.withColumn("__age", F.lit(0)), allowMissingColumns=True)

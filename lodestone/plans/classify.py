@@ -6,17 +6,23 @@ they meet a leaf only through a term both have.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.functions.text import normalize_for_match
+from lodestone.operators.phrases import bounded, finder
 from lodestone.operators.relational import blank
 
 # English words that carry no subject, and the votes' weights.
 STOP = tuple("a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split())
 VOTES = {"rule": 0.25, "embedding": 0.25, "bm25": 0.20, "llm": 0.30}
 DIM_LIMIT = 100_000  # rows of a dimension up to which it is broadcast
+LABELS_LIMIT = 10_000  # label vectors that travel to the tasks in one row
+LONG_WORD = 4  # words of a chapter longer than this count
 
 
 def small(dim: DataFrame, limit: int = DIM_LIMIT) -> DataFrame:
@@ -25,34 +31,89 @@ def small(dim: DataFrame, limit: int = DIM_LIMIT) -> DataFrame:
 
 
 def leaf_keywords(leaves: DataFrame, separators: str = ";") -> DataFrame:
-    """One row per leaf and keyword of a taxonomy index: ``leaf``, ``chapter``, ``subtopic``, ``phrase``, ``tokens``."""
+    """One row per leaf and keyword of a taxonomy index: ``leaf``, ``chapter``, ``subtopic``, ``kw``, ``phrase``, ``tokens``."""
     numbered = leaves.withColumn("leaf", F.row_number().over(Window.orderBy("chapter", "subtopic")))
-    words = F.concat(F.array(F.col("subtopic")), F.split("ncert_concept", f"[{separators}]"))
-    each = numbered.select("leaf", "chapter", "subtopic", F.posexplode(words).alias("kw", "phrase"))
-    tidy = each.withColumn("phrase", normalize_for_match(F.col("phrase"))).where("phrase <> ''")
+    each = numbered.select("leaf", "chapter", "subtopic", F.posexplode_outer(F.split("ncert_concept", f"[{separators}]")).alias("kw", "phrase"))
+    tidy = each.withColumn("phrase", normalize_for_match(F.coalesce("phrase", F.lit(""))))
     return tidy.withColumn("tokens", F.split("phrase", " "))
 
 
 def rule_labels(texts: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Best leaf of each text by keywords: a phrase found scores 2.5 and 0.4 a word (2 at most); of a phrase that is not
-    found, the share of its words that are. Ties go to the first leaf; a text without any hit has no label, score 0.
+    """Best leaf of each text by keywords: a phrase found, within words too, scores 2.5 and 0.4 a word (2 at most); a phrase
+    of several words that is not found, the share of its words that are; each longer word of the chapter that is found,
+    0.5. Ties go to the first leaf; a text without any hit has no label, score 0.
 
-    Candidates come from words in common, so a text meets only leaves it shares a word with.
+    The taxonomy (at most ``phrases.MOST`` keywords, else an error) travels to the tasks, which look for all its phrases
+    at once; texts are read once and nothing of them is shuffled.
     """
+    rows = bounded(keywords.select("leaf", "chapter", "subtopic", "phrase"))
+    phrases = sorted({r.phrase for r in rows if r.phrase})
+    number = {p: i for i, p in enumerate(phrases)}
+    names = {r.leaf: (r.chapter, r.subtopic) for r in rows}
+    of_phrase: dict[int, list[int]] = {}
+    of_word: dict[str, dict[int, float]] = {}  # word -> phrase -> its share of the phrase
+    for r in rows:
+        if r.phrase:
+            of_phrase.setdefault(number[r.phrase], []).append(r.leaf)
+    for p, i in number.items():
+        for w in p.split() if " " in p else ():
+            of_word.setdefault(w, {}).setdefault(i, 0.0)
+            of_word[w][i] += 1 / len(p.split())
+    gain = [2.5 + min(2.0, 0.4 * len(p.split())) for p in phrases]
+    chapter_words: dict[str, dict[int, float]] = {}  # word -> leaf -> what it adds
+    for leaf, (chapter, _) in names.items():
+        for w in (chapter or "").lower().split():
+            if len(w) > LONG_WORD:
+                chapter_words.setdefault(w, {}).setdefault(leaf, 0.0)
+                chapter_words[w][leaf] += 0.5
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(phrases)
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                found, words, score = find(t), set(t.split(" ")), {}
+                for i in found:
+                    for leaf in of_phrase[i]:
+                        score[leaf] = score.get(leaf, 0.0) + gain[i]
+                part: dict[int, float] = {}
+                for w in words:
+                    for i, s in of_word.get(w, {}).items():
+                        if i not in found:
+                            part[i] = part.get(i, 0.0) + s
+                    for leaf, s in chapter_words.get(w, {}).items():
+                        score[leaf] = score.get(leaf, 0.0) + s
+                for i, s in part.items():
+                    for leaf in of_phrase[i]:
+                        score[leaf] = score.get(leaf, 0.0) + s
+                best = min(score, key=lambda x: (-round(score[x], 6), x)) if score else None
+                out.append((*(names[best] if best is not None else ("", "")), round(score[best], 6) if best is not None else 0.0))
+            kinds = (pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(zip(*out) if out else ((), (), ()), kinds)]], names=["id", "chapter", "subtopic", "score"])
+
     plain = texts.select(F.col(key).alias("id"), normalize_for_match(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    words = plain.select("id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
-    index = small(keywords.select("leaf", "kw", "chapter", "subtopic", "phrase", "tokens", F.explode(F.array_distinct("tokens")).alias("w")))
-    met = words.join(index, "w").groupBy("id", "leaf", "kw").agg(F.first("t").alias("t"), F.first("phrase").alias("phrase"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("hit"))
-    n = F.size("tokens")
-    found = F.col("t").contains(F.col("phrase"))
-    score = F.when(found, F.lit(2.5) + F.least(F.lit(2.0), 0.4 * n)).when(n > 1, F.col("hit") / n).otherwise(0.0)
-    per = met.select("id", "leaf", score.alias("s"), F.when(found, F.col("phrase")).alias("k")).groupBy("id", "leaf").agg(F.round(F.sum("s"), 6).alias("score"), F.slice(F.array_sort(F.collect_set("k")), 1, 8).alias("keywords"))
-    best = per.groupBy("id").agg(F.max(F.struct("score", (-F.col("leaf")).alias("l"), "keywords")).alias("b")).where("b.score > 0")
-    names = small(keywords.select("leaf", "chapter", "subtopic").distinct())
-    named = best.select("id", (-F.col("b.l")).alias("leaf"), "b.score", "b.keywords").join(names, "leaf")
-    out = plain.select("id").join(named, "id", "left")
-    confidence = F.round(F.least(F.lit(0.98), 1 - F.exp(-F.coalesce("score", F.lit(0.0)) / 7)), 6)
-    return out.select("id", F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("subtopic", F.lit("")).alias("subtopic"), F.coalesce("score", F.lit(0.0)).alias("score"), confidence.alias("confidence"), (confidence < 0.30).alias("needs_review"))
+    out = plain.mapInArrow(run, f"id {kind}, chapter string, subtopic string, score double")
+    confidence = F.round(F.least(F.lit(0.98), 1 - F.exp(-F.col("score") / 7)), 6)
+    return out.select("id", "chapter", "subtopic", "score", confidence.alias("confidence"), (confidence < 0.30).alias("needs_review"))
+
+
+def label_forms(leaves: DataFrame) -> DataFrame:
+    """``form`` and ``label``: every leaf's ``chapter :: subtopic`` by its plain notation, and by that of the subtopic alone
+    where only one leaf has it."""
+    named = leaves.where("chapter is not null and subtopic is not null").select(F.concat_ws(" :: ", "chapter", "subtopic").alias("label"), F.explode(F.array(F.concat_ws(" ", "chapter", "subtopic"), F.col("subtopic"))).alias("form"))
+    forms = named.select("label", normalize_for_match(F.regexp_replace("form", "[^A-Za-z0-9]+", " ")).alias("form")).distinct()
+    return forms.groupBy("form").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).where("n = 1").select("form", "label")
+
+
+def tidy_labels(df: DataFrame, leaves: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Labels in the taxonomy's spelling whatever their notation; others in lower case; null where there is none."""
+    forms = small(label_forms(leaves))
+    for c in columns:
+        of = forms.select(F.col("form").alias(f"__f_{c}"), F.col("label").alias(f"__l_{c}"))
+        form = normalize_for_match(F.regexp_replace(c, "[^A-Za-z0-9]+", " "))
+        df = df.join(of, form == F.col(f"__f_{c}"), "left").withColumn(c, F.coalesce(f"__l_{c}", F.when(~blank(F.col(c)), F.lower(F.trim(c))))).drop(f"__f_{c}", f"__l_{c}")
+    return df
 
 
 def grams(text: Column) -> Column:
@@ -107,6 +168,8 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 
 def vector_labels(vectors: DataFrame, labels: DataFrame, key: str, vector: str, label: str = "label", label_vector: str = "centroid") -> DataFrame:
     """The label of greatest cosine (first on ties), held within 0 and 0.98. Labels are as many as the taxonomy has."""
+    if labels.limit(LABELS_LIMIT + 1).count() > LABELS_LIMIT:
+        raise ValueError(f"more than {LABELS_LIMIT} label vectors")
     named = labels.select(F.col(label).alias("__label"), unit(F.col(label_vector)).alias("__lv"))
     all_labels = named.agg(F.collect_list(F.struct("__label", "__lv")).alias("__labels"))
     scored = vectors.crossJoin(F.broadcast(all_labels)).withColumn("__u", unit(F.col(vector)))  # one row
@@ -132,7 +195,7 @@ def vote(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     out = df.withColumn("__best", F.array_max(sums))
     winner = F.col("__best.label")
     agree = sum((F.coalesce((label[n] == winner).cast("int"), F.lit(0)) for n in names), F.lit(0))
-    confidence = F.when(winner.isNotNull(), F.round(F.least(F.lit(0.99), F.col("__best.s") + 0.25 * agree / len(names)), 4)).otherwise(0.0)
+    confidence = F.when(winner.isNotNull(), F.round(F.least(F.lit(0.99), F.col("__best.s") + 0.25 * agree / len(names)).cast("decimal(18,6)"), 4).cast("double")).otherwise(0.0)
     out = out.withColumn("final_label", F.coalesce(winner, F.lit(""))).withColumn("agreement", agree).withColumn("final_confidence", confidence)
     fine = (F.col("final_confidence") >= 0.75) & (F.col("agreement") >= 2)
     return out.withColumn("needs_review", ~fine).withColumn("review_reason", F.when(fine, "").when(F.col("final_confidence") < 0.75, "low confidence").otherwise("labels disagree")).drop("__best")
@@ -153,6 +216,6 @@ def ensemble(questions: DataFrame, leaves: DataFrame, key: str = "row_id") -> Da
     four = both.withColumn("embedding_label", F.col("bm25_label")).withColumn("embedding_score", F.col("bm25_score")).withColumn("llm_label", F.coalesce(best, "bm25_label")).withColumn("llm_score", F.lit(0.0))
     voted = vote(four)
     pattern = rules.question_pattern(F.col("text"))
-    subtopic = F.element_at(F.split("final_label", " :: "), -1)
+    chapter, subtopic = F.element_at(F.split("final_label", " :: "), 1), F.element_at(F.split("final_label", " :: "), -1)
     headed = voted.join(names.select(F.col("name").alias("final_label"), "ncert_heading"), "final_label", "left")
-    return headed.select("id", "final_label", "final_confidence", "agreement", "needs_review", "review_reason", "ncert_heading", pattern.alias("question_pattern"), rules.difficulty(F.col("text"), pattern).alias("difficulty_estimate"), rules.micro_concept(F.col("text"), subtopic).alias("m")).select("id", "final_label", "final_confidence", "agreement", "needs_review", "review_reason", "ncert_heading", "question_pattern", "difficulty_estimate", F.col("m.label").alias("micro_concept"), F.col("m.confidence").alias("micro_confidence"))
+    return headed.select("id", "final_label", "final_confidence", "agreement", "needs_review", "review_reason", "ncert_heading", pattern.alias("question_pattern"), rules.difficulty(F.col("text"), pattern).alias("difficulty_estimate"), rules.micro_concept(F.col("text"), chapter, subtopic).alias("m")).select("id", "final_label", "final_confidence", "agreement", "needs_review", "review_reason", "ncert_heading", "question_pattern", "difficulty_estimate", F.col("m.label").alias("micro_concept"), F.col("m.confidence").alias("micro_confidence"))

@@ -101,7 +101,8 @@ def forecast(series: DataFrame, keys: Sequence[str], at: str, value: str, horizo
     f = f.withColumn("ema", ema).withColumn("spread", F.greatest(F.sqrt(total(F.transform(residual, lambda r: r * r)) / n), F.lit(LEAST_SPREAD)))
     steps = f.withColumn("step", F.explode(F.when(F.col("n") >= 2, F.sequence(F.lit(1), F.lit(horizon))).otherwise(F.array(F.lit(0)))))
     at_step = F.lit(TREND_PART) * (F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))) + F.lit(1 - TREND_PART) * F.col("ema")
-    held = lambda c: F.when(F.col("n") >= 2, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 2))
+    # six decimals first, so that the order of a sum does not decide the second
+    held = lambda c: F.when(F.col("n") >= 2, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(c, 6))), 2))
     status = F.when(F.col("n") >= 2, "ok").otherwise("insufficient_data")
     return steps.select(*keys, "n", "step", status.alias("status"), held(at_step).alias("forecast"), held(at_step - F.col("spread")).alias("low"), held(at_step + F.col("spread")).alias("high"))
 

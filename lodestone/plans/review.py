@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import rules
 from lodestone.operators.aggregates import dominant, top_per_group
-from lodestone.operators.relational import blank, keep_first, union_ranked
+from lodestone.operators.relational import blank, keep_first, numbered, union_ranked
+from lodestone.runtime import cut
 
+# Fixed value: the note on a micro concept of little confidence.
 NOTE = "Micro-concept uncertain; trust chapter/subtopic more."
 
 
@@ -45,12 +46,12 @@ def review_queue(rows: DataFrame, high_topics: DataFrame, key: str, frequency: s
     Every part is a top-k, so nothing but its rows moves; ``reason`` says which part a row came by.
     """
     importance = F.round(0.55 * F.coalesce(F.col(frequency), F.lit(0.0)) + 0.35 * F.coalesce(F.col(recency), F.lit(0.0)) + 0.10 * (1 - F.coalesce(F.col(confidence), F.lit(0.0))), 6)
-    r = rows.withColumn("importance", importance)
+    r = cut(rows.withColumn("importance", importance))  # scored once for all four parts
     by = [F.desc("importance"), F.col(key)]
     top = r.orderBy(*by).limit(first).withColumn("reason", F.lit("important"))
     wrong = r.where("taxonomy_mismatch").orderBy(*by).limit(each).withColumn("reason", F.lit("taxonomy mismatch"))
     hot = r.join(high_topics.select("chapter", "subtopic").distinct(), ["chapter", "subtopic"], "left_semi").orderBy(F.desc(frequency), F.asc(micro_confidence), F.col(key)).limit(each).withColumn("reason", F.lit("high topic"))
-    picked = union_ranked([top, wrong, hot], [key], by)
+    picked = cut(union_ranked([top, wrong, hot], [key], by))
     filler = r.join(picked.select(key), key, "left_anti").orderBy(*by).limit(size).withColumn("reason", F.lit("filler"))
     return union_ranked([picked, filler], [key], by).withColumn("__f", (F.col("reason") == "filler").cast("int")).orderBy("__f", *by).limit(size).drop("__f")
 
@@ -60,25 +61,33 @@ def suggestions(reviewed: DataFrame, columns: dict[str, str]) -> DataFrame:
     return reviewed.where("needs_review").select(*[F.col(a).alias(b) for a, b in columns.items()])
 
 
-def format_strategy(facts: DataFrame, high: DataFrame, pattern: str, heading: str, text: Column, order: list[Column], n: int = 5) -> DataFrame:
-    """Per high topic the commonest pattern and heading, its first questions, how to study it and its traps; one join."""
+def format_strategy(facts: DataFrame, high: DataFrame, pattern: str, heading: str, text: Column, order: list[Column], n: int = 5, advice: dict[str, Column] | None = None) -> DataFrame:
+    """Per high topic the commonest pattern and heading and its first questions. ``advice`` adds columns of the caller's
+    texts, made from those there (``name -> column``)."""
     keys = ["chapter", "subtopic"]
     of = facts.join(high.select(*keys).distinct(), keys, "left_semi")
     p = dominant(of, keys, pattern, "dominant_pattern")
     h = dominant(of, keys, heading, "dominant_heading")
     q = top_per_group(of, keys, order, text, n, "representative_questions")
     j = high.join(p, keys, "left").join(h, keys, "left").join(q, keys, "left")
-    return j.withColumn("how_to_study_it", rules.study_strategy(F.col("dominant_pattern"), F.col("subtopic"))).withColumn("common_traps", rules.common_traps(F.col("dominant_pattern"), F.col("subtopic"), F.col("chapter")))
+    return j.withColumns(advice or {})
 
 
-def human_only(labels: DataFrame, source: str = "verification_source") -> DataFrame:
-    return labels.where(~F.coalesce(F.lower(source).contains("ai_"), F.lit(False)))
+def without(labels: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose column does not hold a part, without regard to case; nulls stay. ``without(labels, "verification_source",
+    "ai_")`` leaves the labels of people."""
+    return labels.where(~F.coalesce(F.lower(column).contains(part), F.lit(False)))
 
 
 def unlabelled(queue: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Rows still to be labelled, in batches of five (``batch`` from 0) by key."""
+    """Rows still to be labelled."""
     return queue.join(labels.select(key), key, "left_anti")
 
 
+def batches(rows: DataFrame, key: str, size: int = 5, slices: int = 256) -> DataFrame:
+    """``batch`` from 0: rows by key in batches of ``size``. Numbers run on over ranges of the key, so no task numbers all."""
+    return numbered(rows, key, "__at", slices).withColumn("batch", F.floor(F.col("__at") / size)).drop("__at")
+
+
 def latest_labels(labels: DataFrame, key: str, at: str) -> DataFrame:
     return keep_first(labels, [key], [F.col(at).desc_nulls_last()])

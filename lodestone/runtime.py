@@ -34,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a session of one machine (tests) gets a
+    folder of its own; on a cluster it is an error, as executors would write to their own disks."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _OWN_DIRS:
         own = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, own, True)
