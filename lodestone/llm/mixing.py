@@ -9,7 +9,7 @@ third of all documents is never one task's work.
 Where the budget ends follows from the sources' sums alone: up to time t a source is served weight times t tokens, but
 never more than its copies hold, and the budget is spent at the t at which these add up to it. Copies that finish by
 then are taken without looking at their order, copies far beyond are never made; only those between - of each source no
-more tokens than are still left, which is less than one document a source - are looked at one by one. ``ordered`` gives
+more tokens than are still left and one document more - are looked at one by one. ``ordered`` gives
 the mixture range-sorted by finish time.
 
 Defined cases: sources that differ only in letter case, outer white space or ``-`` for ``_`` are one; null sources
@@ -88,13 +88,15 @@ def mixture(sizes: DataFrame, targets: DataFrame, budget: int | None = None, see
     if budget is None:
         budget = listed.agg(F.sum("tokens")).first()[0] or 0
     queued = cut(queue(sizes, targets, seed))
-    held = queued.groupBy("source").agg(F.first("target_share").alias("w"), (F.max("whole") * F.max("max_repeats")).alias("held")).collect()  # the listed sources
+    held = queued.groupBy("source").agg(F.first("target_share").alias("w"), (F.max("whole") * F.max("max_repeats")).alias("held"), F.max("tokens").alias("longest")).collect()  # the listed sources
     level = spent_at([(r.w, float(r.held)) for r in held], float(budget))
     level = min(level, max((r.held / r.w for r in held), default=0.0)) * (1 - 1e-9)  # so that rounding never takes more than the budget
     sure = cut(copies(queued, F.lit(level)))
     left = budget - (sure.agg(F.sum("tokens")).first()[0] or 0)
-    near = copies(queued, F.lit(level) + F.lit(float(max(left, 0))) / F.col("target_share"), F.lit(level))
-    upto = F.sum("tokens").over(W.orderBy("finish", "source", "id", "pass").rowsBetween(W.unboundedPreceding, 0))  # less than a document a source
+    # of each source what can still fit, and the document after it, which ends the mixture if it is too long
+    reach = float(max(left, 0) + max((r.longest for r in held), default=0))
+    near = copies(queued, F.lit(level) + F.lit(reach) / F.col("target_share"), F.lit(level))
+    upto = F.sum("tokens").over(W.orderBy("finish", "source", "id", "pass").rowsBetween(W.unboundedPreceding, 0))  # the tokens of a few documents a source
     edge = near.withColumn("upto", upto).where(F.col("upto") <= left).drop("upto")
     return sure.union(edge).select(F.col("id").alias("doc_id"), "source", "pass", "tokens", "finish")
 

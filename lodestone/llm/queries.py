@@ -82,12 +82,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return links.components(linked).select(F.col("id").alias("canonical_question_id"), "group_id")
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The tokenizer's file: the session's ``spark.lodestone.vocabulary``, else where it is found here."""
+    return spark.conf.get("spark.lodestone.vocabulary", encode.VOCABULARY)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode(table(spark, d, "documents"))
+    return encode.encode(table(spark, d, "documents"), path=_vocabulary(spark))
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sizes, targets = mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    sizes, targets = mixing.sized(table(spark, d, "documents"), path=_vocabulary(spark)), table(spark, d, "mix_targets")
     return sizes, targets, mixing.mixture(sizes, targets)
 
 

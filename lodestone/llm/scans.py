@@ -39,7 +39,8 @@ CONFUSIONS = (("e", "c"), ("n", "ri"), ("i", "!"), ("t", "f"), ("a", "@"), ("o",
 MAX_EDITS = 2
 ODDS = 10  # how much commoner the printed word must be than what was read for it
 SHARE = 200_000  # words of the vocabulary in one trie
-SUSPECTS = 10_000  # suspects of one task
+SUSPECTS = 10_000  # suspects of one lexicon
+TASKS = 10_000  # tasks that look for suspects
 BLOCK = 1_000_000  # suspects, or pairs of words, looked for in one pass over the texts
 HELD = 300_000  # words a task counts before it hands them on
 ROWS = 5_000  # texts taken apart at once
@@ -112,7 +113,7 @@ class Reader:
 
     def marked(self, line: str, edge: bool) -> bool:
         low = line.strip().lower()
-        return low[-1] in MARK_ENDS and bool(self.word_mark.search(low) or edge and self.sign_mark.search(low))
+        return low[-1] in MARK_ENDS and bool(self.word_mark.match(low) or edge and self.sign_mark.match(low))
 
     def title(self, line: str) -> str:
         """What a running title keeps from page to page: no figures of its own, and look-alikes read as one character."""
@@ -406,25 +407,26 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
     few operations on whole arrays; with so many edits a word may only be at the places of the gate for that number."""
     most = len(gates) - 1
     alphabet = {chr(c): i for i, c in enumerate(trie.alphabet)}
-    one = np.uint64(1)
-    n = np.array([len(w) for w in words], dtype=np.uint64)
+    bits = np.uint32 if max(map(len, words), default=0) <= 30 else np.uint64  # half as much to move for most words
+    one, gates = bits(1), [g.astype(bits) for g in gates]
+    n = np.array([len(w) for w in words], dtype=bits)
     split = [(alphabet.get(p[0], -1), alphabet.get(p[1], -1)) for _, p in parted]
-    mask = np.zeros((len(words), len(alphabet)), dtype=np.uint64)
-    merge = np.zeros(len(words), dtype=np.uint64)
-    read = np.zeros((len(split), len(words)), dtype=np.uint64)
+    mask = np.zeros((len(words), len(alphabet)), dtype=bits)
+    merge = np.zeros(len(words), dtype=bits)
+    read = np.zeros((len(split), len(words)), dtype=bits)
     for i, w in enumerate(words):
         for k, c in enumerate(w):
             if c in alphabet:
-                mask[i, alphabet[c]] |= np.uint64(1 << k)
+                mask[i, alphabet[c]] |= bits(1 << k)
             if w[k : k + 2] in merged:
-                merge[i] |= np.uint64(1 << k)
+                merge[i] |= bits(1 << k)
             for j, (r, _) in enumerate(parted):
                 if c == r:
-                    read[j, i] |= np.uint64(1 << k)
+                    read[j, i] |= bits(1 << k)
     # state: word, node, the character before, and places after 0, 1 .. edits, now and one character earlier
-    who = np.arange(len(words))
+    who = np.arange(len(words), dtype=np.int32)
     node, char = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
-    now = [np.ones(len(words), dtype=np.uint64) & gates[0]]
+    now = [np.ones(len(words), dtype=bits) & gates[0]]
     for k in range(1, most + 1):
         now.append((now[-1] | (now[-1] << one)) & gates[k])
     old = [np.zeros_like(x) for x in now]
@@ -438,7 +440,7 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
         c, i = trie.char[d + 1][child], who[rows]
         r = ((now[most][rows] & mask[i, c]) << one) & gates[most][i]
         on = np.flatnonzero(r)
-        none = np.zeros(len(on), dtype=np.uint64)
+        none = np.zeros(len(on), dtype=bits)
         exact = (i[on], child[on], c[on], [none] * most + [r[on]], [none] * most + [now[most][rows[on]]])
         rows, child = _children(trie, d, node, np.flatnonzero(~spent))
         if not len(rows) and not len(on):
@@ -450,7 +452,7 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
         two = [(char[rows] == a) & (c == b) for a, b in split]
         for k in range(1, most + 1):
             # kept, added, put for another, left out, two read for one
-            r = ((was[k] & m) << one) | was[k - 1] | (was[k - 1] << one) | (got[-1] << one) | ((was[k - 1] & merge[i]) << np.uint64(2)) | got[-1]
+            r = ((was[k] & m) << one) | was[k - 1] | (was[k - 1] << one) | (got[-1] << one) | ((was[k - 1] & merge[i]) << bits(2)) | got[-1]
             for j, t in enumerate(two):  # one read for two
                 if t.any():
                     r[t] |= (old[k - 1][rows[t]] & read[j, i[t]]) << one
@@ -499,8 +501,10 @@ class Lexicon:
         merged = [r for r, _ in MERGED]
         full = lambda n: (np.uint64(1) << (n + np.uint64(1))) - np.uint64(1)
         below = lambda n: (np.uint64(1) << n) - np.uint64(1)
+        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
         for at in range(0, len(words), group):
-            part = words[at : at + group]
+            these = np.array(by_length[at : at + group])
+            part = [words[i] for i in these]
             n = np.array([len(w) for w in part], dtype=np.uint64)
             half, long = n // np.uint64(2), n > 4
             got = list(_run(self.ahead, part, [full(n), full(n), np.where(long, full(n) & ~below(half), np.uint64(0))], merged, list(PARTED)))
@@ -514,7 +518,7 @@ class Lexicon:
                 by = np.lexsort((e, v, i))
                 i, v, e = i[by], v[by], e[by]
                 new = np.concatenate([[True], (i[1:] != i[:-1]) | (v[1:] != v[:-1])])[: len(i)]
-                yield at + i[new], v[new], e[new]
+                yield these[i[new]], v[new], e[new]
 
 
 OTHER_EDIT = 3  # what an edit that is no confusion of a scanner costs; a confusion costs 1
@@ -588,6 +592,9 @@ def candidates(words: DataFrame, least: int = 5, odds: int = ODDS) -> DataFrame:
     # every suspect meets every share of the vocabulary once; a share is one trie, whatever the words' lengths
     left = vocabulary.where(F.col("nv") >= odds).select("v", "nv").withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = suspects.select("w", "nw").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    # a number of its own, or the few bytes of it would all be put into one task
+    tasks = min(int(parts * shares), TASKS)
+    left, right = left.repartition(tasks, "share", "part"), right.repartition(tasks, "share", "part")
     met = left.groupBy("share", "part").cogroup(right.groupBy("share", "part")).applyInPandas(_search, "w string, v string, edits int")
     return met.join(suspects, "w").join(vocabulary.select("v", "nv"), "v").where(F.col("nv") >= F.col("nw") * odds)
 

@@ -73,6 +73,12 @@ def test_survivors(spark):
     kept = {(r.canonical_question_id, r.value): r.posterior for r in survivor.truths(df).collect()}
     assert kept[("a", "m1")] > kept[("a", "m2")]
     assert survivor.claims(df.limit(0)).count() == 0 and survivor.truths(df.limit(0)).count() == 0
+    records = {r.canonical_question_id: r for r in survivor.records(survivor.claims(df), survivor.truths(df)).collect()}
+    true = {}
+    for r in survivor.truths(df).where("kept").collect():
+        true.setdefault(r.canonical_question_id, set()).add(r.value)
+    assert set(records) == {"a", "c"} and all(set(r.micro_concept) == true.get(k, set()) and list(r.micro_concept) == sorted(r.micro_concept) for k, r in records.items())
+    assert records["a"].question_text == whole and "m1" in records["a"].micro_concept
     quality = {r.source: r for r in survivor.source_quality(df).collect()}
     assert all(0 < r.sensitivity < 1 and 0 < r.specificity <= 1 for r in quality.values())
 
@@ -89,6 +95,19 @@ def test_terms(spark):
     assert terms.marked(df.limit(0), "t").count() == 0
 
 
+def test_count_arrays(spark):
+    """A pair of arrays per block and range of identifiers, each of as many places as a range, that add up to the counts."""
+    df = spark.createDataFrame([("a;b;a",), ("b",), (None,)] * 40, "t string").repartition(3)
+    blocks = terms.block_counts(df, "t", separators=";")
+    ids = terms.dictionary(blocks)
+    arrays = terms.block_arrays(blocks.join(ids, "term").select("block", "term_id", "occurrences", "records")).collect()
+    assert len(arrays) == 3 == len({(r["range"], r.block) for r in arrays}) and {r["range"] for r in arrays} == {0}
+    assert all(len(r.occurrences) == len(r.records) == terms.RANGE for r in arrays)
+    at = {r.term: r.term_id for r in ids.collect()}
+    sums = {t: (sum(r.occurrences[i] for r in arrays), sum(r.records[i] for r in arrays)) for t, i in at.items()}
+    assert sums == {"a": (80, 40), "b": (80, 80)}
+
+
 @pytest.fixture(scope="module")
 def public():
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
@@ -135,3 +154,28 @@ def test_mixture(spark):
     assert abs(rep["big"].actual_share / rep["mid_size"].actual_share - 5 / 3) < 0.05
     empty = mixing.sized(d.limit(0))
     assert all(r.tokens_taken == 0 for r in mixing.report(empty, targets, mixing.mixture(empty, targets)).collect())
+
+
+def test_mixture_against_a_plain_queue(spark):
+    """The same copies as a queue sorted whole, for many budgets; one source has little weight and most of the tokens."""
+    rng = random.Random(2)
+    docs = [(i, rng.choices(["big", "mid", "slow"], [2, 2, 6])[0], rng.choice([1, 1, 5, 40, 300])) for i in range(700)]
+    sizes = spark.createDataFrame(docs, "id long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.7, 3), ("mid", 0.299, 2), ("slow", 0.001, 5)], "source string, target_share double, max_repeats int")
+    queued = mixing.queue(sizes, targets)
+    every = sorted((r.finish, r.source, r.id, r["pass"], r.tokens) for r in mixing.copies(queued, mixing.F.lit(1e12)).collect())
+    assert len(every) == sum({"big": 3, "mid": 2, "slow": 5}[s] for _, s, _ in docs)
+    for budget in (0, 1, 500, 20_000, 60_000, 10**9):
+        want, total = set(), 0
+        for finish, source, i, k, n in every:
+            total += n
+            if total > budget:
+                break
+            want.add((i, source, k))
+        taken = mixing.mixture(sizes, targets, budget=budget)
+        assert {(r.doc_id, r.source, r["pass"]) for r in taken.collect()} == want, budget
+    finish = [r.finish for r in mixing.ordered(taken).collect()]
+    assert finish == sorted(finish)
+    # only what can be taken is made: the slow source's copies beyond the end are not
+    assert mixing.copies(queued, mixing.F.lit(1000.0)).where("source = 'slow'").count() <= 1
+    assert mixing.spent_at([(0.5, 10.0), (0.5, 1000.0)], 100.0) == 180.0 and mixing.spent_at([(1.0, 5.0)], 6.0) == float("inf")
