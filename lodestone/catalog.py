@@ -790,7 +790,10 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", F.concat(F.lit("<html><head><style>p{}</style></head><body><p>"), F.replace(_escaped(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><a href=\"/papers/"), F.col("doc_id").cast("string"), F.lit(".pdf\">Question paper "), (F.col("doc_id") % 3).cast("string"), F.lit("</a></body></html>")).alias("html"))
 
 
-@query("html_text")
+_BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("html_text", "SELECT doc_id, " + _NORM.format(f"array_to_string(list_append(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_BLANKS}|{_BLANKS}$', '', 'g')), lambda x: x <> ''), 'Question paper ' || doc_id % 3), chr(10))") + " AS text FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
     return documents.html_text(_pages(spark, d), "doc_id", "html")
 
@@ -814,11 +817,14 @@ def _(spark, d):
     return documents.paper_rows(q.select("row_id", text.alias("text")), "row_id", "text")
 
 
-@query("embedded_questions", "SELECT row_id, CAST(row_id AS VARCHAR) AS question_id, option_a, upper(correct_option) AS correct_option FROM questions WHERE trim(coalesce(regexp_replace(question_text, '[\\x00-\\x1f\"\\\\{}]+', ' ', 'g'), '')) <> '' AND NOT coalesce(regexp_matches(option_a, '[\\x00-\\x1f\"\\\\{}]'), false)")
+_ANSWER = r"coalesce(array_to_string(list_transform(regexp_extract_all(upper(trim(correct_option)), '[A-D1-4]'), lambda x: translate(x, '1234', 'ABCD')), ','), '')"
+
+
+@query("embedded_questions", f"SELECT row_id, CAST(row_id AS VARCHAR) AS question_id, coalesce(option_a, '') AS option_a, {_ANSWER} AS correct_option FROM questions WHERE trim(coalesce(regexp_replace(question_text, '[\\x00-\\x1f\"\\\\{{}}]+', ' ', 'g'), '')) <> '' AND NOT coalesce(regexp_matches(option_a, '[\\x00-\\x1f\"\\\\{{}}]'), false)")
 def _(spark, d):
     q = table(spark, d, "questions").where(~F.coalesce(F.col("option_a").rlike(r'[\x00-\x1f"\\{}]'), F.lit(False)))
     asked = F.regexp_replace("question_text", r'[\x00-\x1f"\\{}]+', " ")
-    page = F.replace(F.to_json(F.struct(F.col("row_id").cast("string").alias("_id"), asked.alias("question"), F.array("option_a").alias("options"), F.col("correct_option").alias("answer"))), F.lit('"'), F.lit('\\"'))
+    page = F.replace(F.to_json(F.struct(F.col("row_id").cast("string").alias("_id"), asked.alias("question"), F.col("option_a").alias("option1"), F.col("correct_option").alias("correctAnswer"))), F.lit('"'), F.lit('\\"'))
     found = documents.embedded_questions(q.select("row_id", F.concat(F.lit("<script>"), page, F.lit("</script>")).alias("html")), "row_id", "html")
     return found.select("row_id", "question_id", "option_a", "correct_option")
 
@@ -831,6 +837,13 @@ def _(spark, d):
     return q.select("row_id", X.salvage_json(text).alias("json"))
 
 
+@query("paper_sections", "SELECT row_id, '' AS shift, CAST(row_id % 40 AS INTEGER) AS question_number, CAST(row_id AS VARCHAR) AS question_id, 'SA' AS question_type, CASE WHEN row_id % 2 = 0 THEN 'Section A Common Core' ELSE 'Section B1 Computer Science' END AS section FROM questions")
+def _(spark, d):
+    named = F.when(F.col("row_id") % 2 == 0, "Section : COMPULSORY").otherwise("Section : Computer  Science")
+    text = F.concat(named, F.lit("\nItem No : "), (F.col("row_id") % 40).cast("string"), F.lit(" Question ID : "), F.col("row_id").cast("string"), F.lit("\nQuestion Type : sa"))
+    return documents.paper_rows(table(spark, d, "questions").select("row_id", text.alias("text")), "row_id", "text")
+
+
 @query("title_case", r"""SELECT row_id, array_to_string(list_transform(regexp_extract_all(lower(chapter), '[a-z]+|[^a-z]+'), lambda w: upper(w[1:1]) || w[2:]), '') AS heading FROM questions""")
 def _(spark, d):
     return table(spark, d, "questions").select("row_id", X.title_case(F.col("chapter")).alias("heading"))
@@ -948,3 +961,32 @@ def _(spark, d):
 @query("relevant_sources", "SELECT source_url, text_chars FROM extraction_manifest WHERE contains(lower(coalesce(source_url, '')), 'manual') OR (contains(lower(coalesce(source_url, '')), 'exam-office') AND contains(lower(coalesce(source_url, '')), 'papers'))")
 def _(spark, d):
     return table(spark, d, "extraction_manifest").where(files.relevant(F.col("source_url"), ["manual"], [("exam-office", ["papers"])])).select("source_url", "text_chars")
+
+
+@query("report_table", "SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce(source, '') AS source, coalesce(year, '') AS year, coalesce(shift, '') AS shift FROM (SELECT row_id, source, year, shift FROM questions ORDER BY row_id LIMIT 30)")
+def _(spark, d):
+    q = table(spark, d, "questions").select("row_id", "question_text", "source", "year", "source_url", "shift", "chapter")
+    return R.compact(q, ["question_text", "source_url"], [F.col("row_id")], columns=4)
+
+
+@query("score_then_difficulty", f"WITH {_E} SELECT chapter, subtopic, raw_score, difficulty FROM e ORDER BY raw_score DESC, difficulty, chapter, subtopic LIMIT 18")
+def _(spark, d):
+    return topics_with_effort(spark, d).orderBy(F.desc("raw_score"), "difficulty", *KEYS).limit(18).select(*KEYS, "raw_score", "difficulty")
+
+
+@query("evidence_counters", f"WITH {_T} SELECT 'tier_1_topics' AS metric, CAST(count(*) FILTER (WHERE priority_tier LIKE 'Tier 1%') AS DOUBLE) AS value FROM topic UNION ALL SELECT 'tier_2_topics', count(*) FILTER (WHERE priority_tier LIKE 'Tier 2%') FROM topic")
+def _(spark, d):
+    known = R.approved({"topics": topics(spark, d)}, ["topics", "absent"])
+    return A.metric_rows(known["topics"], {f"tier_{i}_topics": F.count_if(F.col("priority_tier").startswith(f"Tier {i}")) for i in (1, 2)})
+
+
+@query("utc_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", X.utc_text(F.col("ts")).alias("at"))
+
+
+@query("fetch_status", """SELECT row_id, CASE row_id % 6 WHEN 0 THEN 'cached' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' ELSE 'downloaded' END AS status, CASE row_id % 6 WHEN 0 THEN 'kept from before' WHEN 1 THEN 'not allowed' WHEN 2 THEN 'HTTP 404' WHEN 3 THEN 'not a PDF: text/html' ELSE '' END AS note FROM questions""")
+def _(spark, d):
+    k = F.col("row_id") % 6
+    status = files.fetch_status(F.when(k == 2, 404).otherwise(200), F.when(k == 4, "Application/PDF").when(k == 5, None).otherwise("text/html"), F.when(k == 5, "%PDF-1.7").otherwise("<html>"), F.when(k == 0, 5000).otherwise(0), k != 1)
+    return table(spark, d, "questions").select("row_id", status.alias("s")).select("row_id", "s.status", "s.note")

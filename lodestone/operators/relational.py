@@ -49,6 +49,17 @@ def existing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])
 
 
+def compact(df: DataFrame, wide: Sequence[str], order: Sequence[Column], columns: int = 8, rows: int = 30) -> DataFrame:
+    """A table for a report: without the wide columns, the first few columns as text and the first few rows in the order."""
+    kept = [c for c in df.columns if c not in wide][:columns]
+    return df.orderBy(*order).limit(rows).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in kept])
+
+
+def approved(tables: dict[str, DataFrame], names: Sequence[str]) -> dict[str, DataFrame]:
+    """Only the tables that are on the list and are there, in the list's order."""
+    return {n: tables[n] for n in names if n in tables}
+
+
 def facets(df: DataFrame, chosen: dict[str, Sequence]) -> DataFrame:
     """Rows within all chosen values; an empty choice restricts nothing."""
     for column, values in chosen.items():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import glob
-import os
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,18 +50,32 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, trimmed: bool
 
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType, required: str, source: str = "source", raw_path: str = "raw_file_path") -> DataFrame:
-    """All CSV files of a folder that have the required column, aligned; blank sources become ``manual:<file>``."""
-    whole = spark.createDataFrame([], schema)
-    for path in sorted(glob.glob(os.path.join(folder, "*.csv"))):
-        with open(path, encoding="utf-8", errors="ignore") as f:
-            header = [h.strip().strip('"') for h in f.readline().lstrip("\ufeff").rstrip("\r\n").split(",")]
-        if required not in header:
-            continue
-        name = os.path.basename(path)
-        rows = read_csv(spark, path, schema)
-        empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-        whole = whole.unionByName(rows.withColumn(source, F.when(empty(source), F.lit(f"manual:{name}")).otherwise(F.col(source))).withColumn(raw_path, F.when(empty(raw_path), F.lit(path)).otherwise(F.col(raw_path))))
-    return whole
+    """All CSV files of a folder that have the required column, aligned by name; blank sources become ``manual:<file>``.
+
+    Files are found and read by the file system the folder names, each in one task, as line ends may stand within quotes;
+    headers may differ from file to file. Empty cells are null and rows of blanks only are dropped.
+    """
+    if not there(spark, folder):
+        return spark.createDataFrame([], schema)
+    names = schema.names
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lines = csv.reader(io.StringIO(content.decode("utf-8-sig", errors="ignore"), newline=""))
+                at = {h.strip(): i for i, h in reversed(list(enumerate(next(lines, []))))}
+                if required not in at:
+                    continue
+                kept = [r for r in lines if any(c.strip() for c in r)]
+                cell = lambda r, n: (r[at[n]] or None) if n in at and at[n] < len(r) else None
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(kept), pa.string()), *[pa.array([cell(r, n) for r in kept], pa.string()) for n in names]], names=["__path", *names])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", "content")
+    read = found.mapInArrow(rows, strings(["__path", *names]))
+    name = F.regexp_extract("__path", r"([^/]+)$", 1)
+    empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    filled = read.withColumn(source, F.when(empty(source), F.concat(F.lit("manual:"), name)).otherwise(F.col(source))).withColumn(raw_path, F.when(empty(raw_path), F.col("__path")).otherwise(F.col(raw_path)))
+    return aligned(filled, schema)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -110,6 +125,21 @@ def scan_folder(spark: SparkSession, path: str, endings: Sequence[str] = (".pdf"
     return kept.select(F.lit("manual_official_papers").alias("source"), F.concat(F.lit("manual-official://"), name).alias("source_url"), F.col("path").alias("raw_file_path"), F.col("length").alias("bytes"), F.lit("downloaded").alias("status"))
 
 
+def fetch_status(http_status: Column, content_type: Column, head: Column, cached_bytes: Column, allowed: Column, enough: int = 1000) -> Column:
+    """Struct ``status``, ``note`` of a file that a collector asked for: kept from before if there is enough of it, skipped where
+    not allowed, failed by its answer or its type, else downloaded. ``head`` is the first characters of what came."""
+    pdf = F.lower(F.coalesce(content_type, F.lit(""))).contains("pdf") | F.coalesce(head.startswith("%PDF"), F.lit(False))
+    told = lambda status, note: F.struct(F.lit(status).alias("status"), (F.lit(note) if isinstance(note, str) else note).alias("note"))
+    return (
+        F.when(F.coalesce(cached_bytes, F.lit(0)) > enough, told("cached", "kept from before"))
+        .when(~F.coalesce(allowed, F.lit(False)), told("skipped", "not allowed"))
+        .when(http_status.isNull(), told("failed", "no answer"))
+        .when(http_status >= 400, told("failed", F.concat(F.lit("HTTP "), http_status.cast("string"))))
+        .when(~pdf, told("failed", F.concat(F.lit("not a PDF: "), F.coalesce(content_type, F.lit("")))))
+        .otherwise(told("downloaded", ""))
+    )
+
+
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """``unit``, ``chapter``, ``subtopic``, ``keywords`` of a two-level JSON taxonomy; a nested file becomes one row per leaf."""
     schema = "units array<struct<unit:string,chapter:string,subtopics:map<string,array<string>>>>"

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lodestone.functions import rules
 from lodestone.functions import text as X
 from lodestone.operators import aggregates as A
+from lodestone.operators import phrases
 from lodestone.operators import relational as R
 from lodestone.operators.components import components
 from lodestone.plans import classify, dedupe, intent, practice, priority, review
@@ -45,10 +46,19 @@ def test_text_functions(spark):
 
 def test_question_parsing(spark):
     block = "7) Which option follows?\n(A) first one\n(B) second\n(C) third\n(D) fourth\nAnswer: 2"
-    parts = [one(spark, X.option_text(F.col("a"), x), a=block) for x in "ABCD"]
+    pieces = X.option_pieces(F.col("a"))
+    parts = [one(spark, X.option_text(pieces, x), a=block) for x in "ABCD"]
     assert parts == ["first one", "second", "third", "fourth"]
-    assert one(spark, X.question_stem(F.col("a")), a=block) == "Which option follows?"
-    assert one(spark, X.looks_like_question(F.col("a")), a=block) is True
+    assert one(spark, X.question_stem(pieces), a=block) == "Which option follows?"
+    assert one(spark, X.looks_like_question(F.col("a"), pieces), a=block) is True
+    figures = "Question ID: 991\nName it\n(1) p q\n  r\n(2) s\nQ 9 next"
+    assert [one(spark, X.option_text(pieces, x), a=figures) for x in "ABCD"] == ["p q r", "s", "", ""]
+    assert one(spark, X.question_stem(pieces), a=figures) == "Name it"
+    assert one(spark, X.looks_like_question(F.col("a"), pieces), a="Name it\n(A) p\nB. q") is True
+    assert one(spark, X.looks_like_question(F.col("a"), pieces), a="nothing to see\n(A) p") is False
+    assert one(spark, X.question_blocks(F.col("a")), a="no marks at all\nanother line") == ["no marks at all\nanother line"]
+    assert one(spark, X.question_blocks(F.col("a")), a="a\x01b\nQuestion ID - 5 c") == ["ab", "Question ID - 5 c"]
+    assert one(spark, X.question_blocks(F.col("a")), a="") == []
     blocks = one(spark, X.question_blocks(F.col("a")), a="intro\n1) a?\n2) b?\nQ3 c?")
     assert blocks == ["intro", "1) a?", "2) b?", "Q3 c?"]
 
@@ -71,12 +81,15 @@ def test_rules(spark):
     assert one(spark, rules.question_type(c), a="x" * 1200) == "case-based"
     assert one(spark, rules.difficulty(c, F.col("b")), a="none is not i, ii, iii", b="case-based") == "hard"
     assert [one(spark, rules.year_weight(c), a=y) for y in ("2025", "2022.0", "", None)] == [1.0, 0.45, 0.35, 0.35]
-    micro = one(spark, rules.micro_concept(c, F.col("b")), a="gang plank in a scalar chain", b=None)
+    n = F.lit(None).cast("string")
+    micro = one(spark, rules.micro_concept(c, n, F.col("b")), a="gang plank in a scalar chain", b=None)
     assert (micro.label, micro.confidence) == ("scalar chain", 0.98)
-    assert one(spark, rules.micro_concept(c, F.col("b")), a="zebra zebra lemons", b=None).label == "zebra"
-    assert one(spark, rules.micro_concept(c, F.col("b")), a="", b="").label == "unclassified"
+    assert one(spark, rules.micro_concept(c, n, F.col("b")), a="zebra zebra lemons", b=None).label == "zebra"
+    assert one(spark, rules.micro_concept(c, n, F.col("b")), a="", b="").label == "unclassified"
+    # chapter and subtopic are searched as well
+    assert one(spark, rules.micro_concept(n, c, F.col("b")), a="Marketing mix", b="x").label == "marketing mix"
+    assert one(spark, rules.micro_concept(n, n, F.col("b")), a="", b="time study of work").label == "time study"
     assert one(spark, rules.cluster_label(c, F.col("b"), F.col("t")), a="", b="x", t="which Planets orbit stars") == "keyword :: planets orbit stars"
-    assert one(spark, rules.common_traps(c), a="consumer case").count(";") == 1
 
 
 def test_relational(spark):
@@ -106,8 +119,10 @@ def test_relational(spark):
 def test_aggregates(spark):
     df = spark.createDataFrame([("a", "x", 1, 2.0), ("a", "y", 1, None), ("b", "", 2, 1.0), ("b", "z", 2, 1.0), (None, "x", 1, 5.0)], "k string, v string, y int, w double")
     assert {(r.k, r.v) for r in A.dominant(df, ["k"], "v").collect()} == {("a", "x"), ("b", "z"), (None, "x")}
-    pivot = {r.k: (r["1"], r["2"]) for r in A.pivot_counts(df, "k", "y", ["1", "2"]).collect()}
+    pivot = {r.k: (r["1"], r["other"]) for r in A.pivot_counts(df, "k", "y", ["1"]).collect()}
     assert pivot == {"a": (2, 0), "b": (0, 2), "Unknown": (1, 0)}
+    sums = {r.k: (r["x"], r["other"]) for r in A.pivot_sums(df, "k", "v", ["x"], "w").collect()}
+    assert sums == {"a": (2.0, 0.0), "b": (0.0, 2.0), None: (5.0, 0.0)}
     r = {(x.item_a, x.item_b): x.r for x in A.correlation(df, "k", "y").collect()}
     assert r[("a", "b")] == -1.0 and r[("a", "a")] == 1.0
     flat = spark.createDataFrame([("a", 1), ("b", 1)], "k string, y int")
@@ -118,6 +133,12 @@ def test_aggregates(spark):
     acc = {x.metric: x.value for x in A.accuracy(pairs, ["l"]).collect()}
     assert acc == {"l_accuracy": 1.0, "l_labelled": 3.0}
     assert A.common_confusions(pairs, ["l"]).count() == 2
+    assert {(x.gold, x.predicted): x.n for x in A.confusion(pairs, "l").collect()} == {(" a", "A"): 1, ("B", "b"): 1, ("", "c"): 1, ("x", "x "): 1}
+    assert {x.metric for x in A.prefixed(A.value_counts(df, "v", "p_"), "p_").collect()} == {"x", "y", "z"}
+    placed = {x.w: x.p for x in R.numbered(df.select("w").distinct(), "w", "p", 3).collect()}
+    assert placed == {None: 0, 1.0: 1, 2.0: 2, 5.0: 3}
+    batches = {x.y: x.batch for x in review.batches(df.select("y").distinct(), "y", 1).collect()}
+    assert batches == {1: 0, 2: 1}
     assert A.metric(A.metric_rows(df.limit(0), {"n": F.count(F.lit(1))}), "other", 7.0).first()[0] == 7.0
 
 
@@ -155,6 +176,12 @@ def test_rule_and_term_labels(spark):
     q = spark.createDataFrame([(1, "A RIGID blueprint?"), (2, "lateral shift and a blueprint"), (3, "nothing here"), (4, None), (5, "")], "id long, text string")
     kw = classify.leaf_keywords(leaves)
     got = {r.id: (r.subtopic, r.score) for r in classify.rule_labels(q, kw).collect()}
+    # the chapter's word adds a half; a phrase is found within words too; the subtopic itself is no keyword
+    within = spark.createDataFrame([(1, "sublateral shifts in planning"), (2, "limits of it"), (3, "costly blueprint rigid")], "id long, text string")
+    assert {r.id: (r.subtopic, r.score) for r in classify.rule_labels(within, kw).collect()} == {1: ("hiring", 3.3), 2: ("", 0.0), 3: ("limits of planning", 1.5)}
+    assert classify.rule_labels(within, kw.limit(0)).where("score > 0").count() == 0
+    labels = spark.createDataFrame([("PLANNING / Limits-of planning", "hiring"), (" Moon ", ""), (None, "staff::HIRING")], "a string, b string")
+    assert {tuple(r) for r in classify.tidy_labels(labels, leaves, ["a", "b"]).collect()} == {("Planning :: limits of planning", "Staff :: hiring"), ("moon", None), (None, "Staff :: hiring")}
     assert got[1][0] == "limits of planning" and got[2] == ("hiring", 3.3) and got[3] == ("", 0.0) and got[4] == ("", 0.0) and got[5] == ("", 0.0)
     numbered = leaves.withColumn("leaf", F.when(F.col("chapter") == "Planning", 1).otherwise(2))
     best = {r.id: (r.leaf, r.cosine > 0) for r in classify.tfidf_labels(q, numbered).collect()}
@@ -262,3 +289,22 @@ def test_hype(spark):
     for k, v in got.items():
         groups[v].append(k)
     assert len(groups) == 5
+
+
+def test_phrases(spark, monkeypatch):
+    texts = spark.createDataFrame([("aaaa AB cab",), (None,), ("",), ("ab " * 5000,)], "t string")
+    terms = spark.createDataFrame([("aa",), ("ab",), ("absent",), (None,), ("",)], "term string")
+    assert {r.term: r.n for r in phrases.totals(texts, "t", terms, "term").collect()} == {"aa": 2, "ab": 5002}
+    assert phrases.totals(texts, "t", terms.limit(0), "term").count() == 0
+    words, text = ["aa", "aba", "b", "", "abab"], "abababaaabb"
+    want = {i: text.count(w) for i, w in enumerate(words) if w and text.count(w)}
+    assert phrases.finder(words)(text) == want
+    monkeypatch.setattr(phrases, "ahocorasick", None)
+    assert phrases.finder(words)(text) == want
+    with pytest.raises(ValueError, match="more than 1"):
+        phrases.bounded(terms, 1)
+
+
+def test_unfinished_components_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="no fixed point"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)

@@ -21,6 +21,8 @@ def test_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text("source,question_text\nmine,second\n")
     got = {(r.source, r.question_text) for r in files.read_csv_folder(spark, str(tmp_path), Q, "question_text").collect()}
     assert got == {("manual:a.csv", 'He said "no"\nand left'), ("manual:a.csv", "plain"), ("mine", "second")}
+    assert files.read_csv_folder(spark, str(tmp_path / "none"), Q, "question_text").count() == 0
+    assert all(r.raw_file_path.endswith(".csv") for r in files.read_csv_folder(spark, str(tmp_path), Q, "question_text").collect())
 
 
 def test_json_and_tables(spark, tmp_path):
@@ -61,25 +63,31 @@ def test_html(spark):
     df = spark.createDataFrame([(1, HTML), (2, None), (3, "<p>broken <b"), (4, "")], "id int, html string")
     got = {r.id: r.text for r in documents.html_text(df, "id", "html").collect()}
     assert got[1].startswith("Hello &\nyou") and "--- Tables ---\nk | 1" in got[1] and "var a" not in got[1] and got[2] == "" and got[4] == ""
-    fast = df.select("id", documents.html_text_fast(F.col("html")).alias("t")).collect()
-    assert "var a" not in fast[0].t and "Hello &" in fast[0].t
     links = documents.html_links(df, "id", F.col("html"), "paper|exam", "question").collect()
     assert [(r.url, r.label) for r in links] == [("paper.pdf", "Question paper")]
 
 
 def test_documents(spark):
-    page = '<script>{\\"_id\\":\\"q1\\",\\"question\\":\\"What is it?\\",\\"options\\":[\\"a\\",\\"b\\"],\\"answer\\":\\"b\\"}{\\"question\\":\\"no id\\"}</script>'
+    page = '<script>{\\"_id\\":\\"q1\\",\\"question\\":\\"What is it?\\",\\"option2\\":\\"b\\",\\"correctAnswer\\":\\"2\\",\\"customMockName\\":\\"Mock 2024 shift 1\\"}{\\"question\\":\\"no id\\"}</script>'
     e = documents.embedded_questions(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html").collect()
-    assert [(r.question_id, r.question_text, r.option_b, r.correct_option) for r in e] == [("q1", "What is it?", "b", "B")]
+    assert [(r.question_id, r.question_text, r.option_a, r.option_b, r.correct_option, r.year, r.shift) for r in e] == [("q1", "What is it?", "", "b", "B", "2024", "1")]
     text = "Q1) Which one?\n(A) x\n(B) y\nAnswer: 2\nQ2) What else is there?\n(A) p\n(B) q\n(C) r\n(D) s\nAnswer: D"
     q = documents.parse_questions(spark.createDataFrame([(1, text, "paper 2024 shift 2", "u", "p")], "id int, t string, s string, u string, p string"), "id", "t", "s", "u", "p").orderBy("pos").collect()
     assert [(r.question_text, r.option_a, r.correct_option, r.year, r.shift) for r in q] == [("Which one?", "x", "B", "2024", "2"), ("What else is there?", "p", "D", "2024", "2")]
+    read = "Read the following: a firm sells pens.\nQ1) Which one?\n(A) x\n(B) y"
+    docs = spark.createDataFrame([(1, "Passage - " + read + "\nQ1) Which one?\n(A) x\n(B) y", "s", "u", "p"), (2, None, "s", "u", "p"), (3, "", None, None, None)], "id int, t string, s string, u string, p string")
+    every = documents.parse_questions(docs, "id", "t", "s", "u", "p")
+    once = documents.parsed(docs, "id", "t", "s", "u", "p")
+    assert every.count() == 3 and once.count() == 2
     keys = "Final Answer Keys Subject :308 Computer 1234567 1 7654321 Drop Final Answer Keys History 1111111 2"
     a = documents.answer_pairs(spark.createDataFrame([(1, keys)], "id int, t string"), "id", "t", "Final Answer Keys", "308|computer").collect()
     assert [(r.question_id, r.correct_option) for r in a] == [("1234567", "A"), ("7654321", "DROP")]
     paper = "Shift 1 Question Number : 15 Question Id : 999 x Question Type : mcq Question Number : 16 Question Id : 998 Question Type : MCQ"
     p = documents.paper_rows(spark.createDataFrame([(1, paper)], "id int, t string"), "id", "t").collect()
     assert [(r.question_number, r.section, r.question_type) for r in p] == [(15, "Section A", "MCQ"), (16, "Section B1", "MCQ")]
+    lines = "Shift 2\nQuestion Number: 3\nQuestion Type\nSA\nQuestion ID 77\nQuestion Number 4\nno id"
+    p = documents.paper_rows(spark.createDataFrame([(1, lines), (2, None), (3, "")], "id int, t string"), "id", "t").collect()
+    assert [(r.shift, r.question_number, r.question_id, r.question_type) for r in p] == [("2", 3, "77", "SA")]
     pdf = documents.pdf_text(spark.createDataFrame([(1, None), (2, bytearray(b"not a pdf"))], "id int, c binary"), "id", "c").collect()
     assert pdf[0].status == "empty" and pdf[1].text == ""
 
