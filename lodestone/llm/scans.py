@@ -155,7 +155,22 @@ class Tokens:
 
     def _add(self, chunks: list[str]) -> None:
         held, sizes, flags = [], [], []
+        number, texts = self.number, self.texts
         for chunk in chunks:
+            # most chunks are one word, perhaps with a mark behind it
+            mark = "" if chunk.isalpha() else chunk[-1]
+            w = chunk[:-1] if mark else chunk
+            if w.isalpha() and (not mark or mark in ".?!:;,"):
+                x = w.lower()
+                k = number.setdefault(x, len(texts))
+                if k == len(texts):
+                    texts.append(x)
+                held.append(k)
+                sizes.append(1)
+                flags.append((w[0].isupper() and w[1:2].islower(), mark in ("", ",") and w.islower(), False))
+                self.known[chunk] = len(self.raw)
+                self.raw.append(chunk)
+                continue
             w = self.reader.words(chunk)
             for x in w:
                 x = x.rstrip(".?!:;").lower() or x
@@ -615,7 +630,7 @@ def places(texts: DataFrame, suspects: list[str]) -> DataFrame:
                 if len(is_suspect) > len(tokens.texts) or len(is_odd) > len(tokens.raw):
                     is_suspect, is_odd = is_suspect[:0], is_odd[:0]
                 is_suspect = np.concatenate([is_suspect, np.array([w in wanted for w in tokens.texts[len(is_suspect) :]], dtype=bool)])
-                more = [not c.isalpha() and bool(reader.figure.search(p := reader.plain(c)) or reader.inside.search(p)) for c in tokens.raw[len(is_odd) :]]
+                more = [not c.isalpha() and not (c[-1] in ".?:;," and c[:-1].isalpha()) and bool(reader.figure.search(p := reader.plain(c)) or reader.inside.search(p)) for c in tokens.raw[len(is_odd) :]]
                 is_odd = np.concatenate([is_odd, np.array(more, dtype=bool)])
                 words = pa.array([*tokens.texts, ""], pa.string())
                 hit = np.flatnonzero(is_suspect[tokens.word])
