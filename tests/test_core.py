@@ -308,3 +308,19 @@ def test_phrases(spark, monkeypatch):
 def test_unfinished_components_are_an_error(spark):
     with pytest.raises(RuntimeError, match="no fixed point"):
         components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)
+
+
+def test_fuzzy_pairs_move_texts_not_grams(spark, monkeypatch):
+    """Either way gives the same pairs; the n-grams of the texts are not written where their table is small enough."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(80)] + ["é" * 7, "x"]
+    base = [" ".join(rng.choices(words, k=25)) for _ in range(40)]
+    texts = list(dict.fromkeys([*base, *[t + " " + rng.choice(words) for t in base * 2], "", "  "]))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    written = []
+    monkeypatch.setattr(dedupe, "cut", lambda x, cut=dedupe.cut: written.append(set(x.columns)) or cut(x))
+    got = {tuple(r) for r in dedupe.fuzzy_pairs(df).collect()}
+    assert got and all("tf" not in c and "w" not in c for c in written)
+    monkeypatch.setattr(dedupe, "MOST_GRAMS", 1)
+    other = {tuple(r) for r in dedupe.fuzzy_pairs(df).collect()}
+    assert {p[:2] for p in got} == {p[:2] for p in other} and any("tf" in c for c in written)
