@@ -48,12 +48,14 @@ EDGE = 3  # lines from the top or the bottom of a page where furniture stands
 
 TOKEN = r"(?:(?<![^\W_])[@!$|](?=[^\W\d_]))?[^\W_](?:[\w@!$|'’]*[^\W_])?(?:[!|](?=[,;]))?[.?!:;]?"
 INVISIBLE = r"[\u200b-\u200d\u2060\ufeff]"
+PARTING = "\ua66e"  # a letter that keeps lines apart
 HYPHEN_SIGNS = "-\xad\xac\u2010\u2011"
 HYPHENS = r"[-\xad\xac\u2010\u2011]"
 NUMBER = r"(?:[0-9lo]{1,6}|[ivxlc]{1,8})"
 MARK_WORD = rf"^[\W_]*(?:ocr\s*)?(?:pages?|pg|p)\b[\s.:#-]*{NUMBER}(?:\s*(?:/|of|-)\s*{NUMBER})?[\W_]*$"
 MARK_SIGNS = r"^\s*(?:[-–—~*•|<=\[({]+\s*[0-9lo]{1,6}\s*[-–—~*•|>=\])}]+|[0-9lo]{1,6}\s*/\s*[0-9lo]{1,6})\s*$"
 MARK_ENDS = frozenset("0123456789loivxc-–—~*•|>=])}.:#'\"_")
+NO_MARK = frozenset("abcdefghijkmnqrstuvwxyzABCDEFGHIJKMNQRSTUVWXYZ")  # no page mark begins so
 MARK_BEGIN = r"(?iU)^[\W_]*(?:ocr\s*)?(?:p(?:ages?|g)?\b|[\W_0-9lo]*[0-9lo][\s\W_0-9lo]*$)"
 BARE = rf"^\s*{NUMBER}\s*$"
 LINE = "\x00"
@@ -84,6 +86,7 @@ class Reader:
         self.compound = re.compile(rf"[^\W\d_]+(?:-[^\W\d_]+)+(?!{hyphens})")
         self.number = re.compile(r"(?<![^\W\d_])(?:[0-9]+|[ivxl]+)(?![^\W\d_])")
         self.other = re.compile(r"[\W\d_]+")
+        self.digit = re.compile("[0-9]")
         self.alone = re.compile(r"(?<!\w)[0-9lo]*[0-9][0-9lo]*(?!\w)")
         self.figure, self.inside = re.compile(FIGURE, re.I), re.compile(INSIDE)
 
@@ -112,18 +115,28 @@ class Reader:
         return got
 
     def marked(self, line: str, edge: bool) -> bool:
+        if line[:1] in NO_MARK:
+            return False
         low = line.strip().lower()
-        return low[-1] in MARK_ENDS and bool(self.word_mark.match(low) or edge and self.sign_mark.match(low))
-
-    def title(self, line: str) -> str:
-        """What a running title keeps from page to page: no figures of its own, and look-alikes read as one character."""
-        c = self.number.sub(" ", line.lower()).replace(" | ", " ").translate(_FIGURES)
+        return low[-1:] in MARK_ENDS and bool(self.word_mark.match(low) or edge and self.sign_mark.match(low))
+
+    def titles(self, lines: list[str]) -> list[str]:
+        """What running titles keep from page to page: no figures of their own, and look-alikes read as one character."""
+        whole = "\n".join(lines).lower()
+        if PARTING in whole and len(lines) > 1:
+            return [t for x in lines for t in self.titles([x])]
+        c = self.number.sub(" ", whole).replace(" | ", " ").translate(_FIGURES)
         for a, b in (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h")):
             c = c.replace(a, b)
-        return self.other.sub(" ", c.translate(_LETTERS)).strip()
+        c = c.translate(_LETTERS)
+        if len(lines) == 1:
+            return [self.other.sub(" ", c).strip()]
+        return [x.strip() for x in self.other.sub(" ", c.replace("\n", f" {PARTING} ")).split(PARTING)]
 
     def figure_of(self, line: str) -> int | None:
         """The first number that stands by itself in a line, letters read for digits as digits."""
+        if not self.digit.search(line):
+            return None
         m = self.alone.search(line.lower())
         return int(m[0].translate(_DIGITS)) if m and len(m[0]) < 9 else None
 
@@ -146,7 +159,7 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {LINE: 0}  # chunks
+        self.known: dict[str, int] = {LINE: 0, "": -1}  # chunks; no chunk is what stands before a blank at the start
         self.number: dict[str, int] = {}  # words
         self.texts: list[str] = []  # of words
         self.raw = [LINE]
@@ -154,38 +167,42 @@ class Tokens:
         self.held, self.sizes, self.flags = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((1, 3), dtype=bool)
 
     def _add(self, chunks: list[str]) -> None:
-        held, sizes, flags = [], [], []
         number, texts = self.number, self.texts
-        for chunk in chunks:
-            # most chunks are one word, perhaps with a mark behind it
-            mark = "" if chunk.isalpha() else chunk[-1]
-            w = chunk[:-1] if mark else chunk
-            if w.isalpha() and (not mark or mark in ".?!:;,"):
-                x = w.lower()
-                k = number.setdefault(x, len(texts))
-                if k == len(texts):
-                    texts.append(x)
-                held.append(k)
-                sizes.append(1)
-                flags.append((w[0].isupper() and w[1:2].islower(), mark in ("", ",") and w.islower(), False))
-                self.known[chunk] = len(self.raw)
-                self.raw.append(chunk)
-                continue
+        # most chunks are one word, perhaps with a mark behind it
+        every = pa.array(chunks, pa.string())
+        bare = pc.ascii_rtrim(every, ".?!:;,")
+        marks = (pc.binary_length(every).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
+        plain = pc.ascii_is_alpha(bare).to_numpy(zero_copy_only=False) & (marks <= 1)
+        w, marks, ours = bare.filter(pa.array(plain)), marks[plain], every.filter(pa.array(plain))
+        lower = pc.ascii_lower(w).dictionary_encode()
+        mine = lower.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [x for x in mine if x not in number]
+        number.update(zip(fresh, range(len(texts), len(texts) + len(fresh))))
+        texts += fresh
+        places = np.fromiter(map(number.__getitem__, mine), dtype=np.int64, count=len(mine))[lower.indices.to_numpy()]
+        is_true = lambda x: x.to_numpy(zero_copy_only=False)
+        capital = is_true(pc.ascii_is_upper(pc.utf8_slice_codeunits(w, 0, 1))) & is_true(pc.ascii_is_lower(pc.utf8_slice_codeunits(w, 1, 2)))
+        within = is_true(pc.ascii_is_lower(w)) & ((marks == 0) | is_true(pc.ends_with(ours, ",")))
+        singles = np.stack([capital, within, np.zeros(len(w), dtype=bool)], axis=1)
+        ours, others = ours.to_numpy(zero_copy_only=False).tolist(), every.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist()
+        held, sizes, flags = [], [], []
+        for chunk in others:
             w = self.reader.words(chunk)
             for x in w:
                 x = x.rstrip(".?!:;").lower() or x
-                k = self.number.get(x)
+                k = number.get(x)
                 if k is None:
-                    k = self.number[x] = len(self.texts)
-                    self.texts.append(x)
+                    k = number[x] = len(texts)
+                    texts.append(x)
                 held.append(k)
             sizes.append(len(w))
             flags.append((bool(w) and w[0][0].isupper() and w[0][1:2].islower(), bool(w) and w[-1].islower() and w[-1].isalpha(), chunk[-1] in HYPHEN_SIGNS))
-            self.known[chunk] = len(self.raw)
-            self.raw.append(chunk)
-        self.held = np.concatenate([self.held, np.array(held, dtype=np.int64)])
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
-        self.flags = np.concatenate([self.flags, np.array(flags, dtype=bool)])
+        for some in (ours, others):
+            self.known.update(zip(some, range(len(self.raw), len(self.raw) + len(some))))
+            self.raw += some
+        self.held = np.concatenate([self.held, places, np.array(held, dtype=np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.ones(len(ours), dtype=np.int64), np.array(sizes, dtype=np.int64)])
+        self.flags = np.concatenate([self.flags, singles, np.array(flags, dtype=bool).reshape(-1, 3)])
 
     def read(self, texts: pa.Array) -> None:
         """Sets ``chunk`` (numbers of chunks without those that are pieces of words), ``word``, and for both the line they
@@ -194,10 +211,10 @@ class Tokens:
             self.clear()
         marked = pc.replace_substring(pc.replace_substring(texts, LINE, " "), "\n", f" {LINE} ")
         coded = pc.utf8_split_whitespace(pc.binary_join_element_wise(marked, LINE, " ")).flatten().dictionary_encode()
-        mine = coded.dictionary.to_pylist()
-        if fresh := [c for c in mine if c and c not in self.known]:
+        mine = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if fresh := [c for c in mine if c not in self.known]:
             self._add(fresh)
-        at = np.array([self.known[c] if c else -1 for c in mine], dtype=np.int64)[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.known.__getitem__, mine), dtype=np.int64, count=len(mine))[coded.indices.to_numpy()]
         at = at[at >= 0]
         flags, sizes = self.flags, self.sizes
         ends = np.flatnonzero(at == 0)
@@ -329,19 +346,20 @@ def layout(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        some = pa.list_(pa.struct([("line_no", pa.int32()), ("head", pa.string())]))
+        some_lines = pa.list_(pa.struct([("line_no", pa.int32()), ("head", pa.string())]))
         edge = pa.struct([("line_no", pa.int32()), ("top", pa.int32()), ("bottom", pa.int32()), ("line", pa.string()), ("key", pa.string()), ("again", pa.bool_()), ("figure", pa.int32()), ("explicit", pa.bool_()), ("bare", pa.bool_())])
-        tail = pa.struct([("line_no", pa.int32()), ("tail", pa.string()), ("sign", pa.string()), ("after", some)])
-        schema = pa.schema([("table_name", pa.string()), ("row_key", pa.int64()), ("file", pa.string()), ("page_no", pa.int32()), ("edges", pa.list_(edge)), ("tails", pa.list_(tail)), ("opens", some)])
+        tail = pa.struct([("line_no", pa.int32()), ("tail", pa.string()), ("sign", pa.string()), ("after", some_lines)])
+        schema = pa.schema([("table_name", pa.string()), ("row_key", pa.int64()), ("file", pa.string()), ("page_no", pa.int32()), ("edges", pa.list_(edge)), ("tails", pa.list_(tail)), ("opens", some_lines)])
         for batch in batches:
-            out = []
-            for table_name, row_key, file, page_no, text in zip(*[batch.column(c).to_pylist() for c in ("table_name", "row_key", "file", "page_no", "text")]):
-                page = table_name == "extracted_pages"
-                lines = [(i, reader.plain(x)) for i, x in body_lines(text)]
+            if not batch.num_rows:
+                continue
+            pages = pc.equal(batch.column("table_name"), "extracted_pages").to_pylist()
+            upto, cells, tails, opens = [0], tuple([] for _ in edge), [], []
+            for page, text in zip(pages, batch.column("text").to_numpy(zero_copy_only=False).tolist()):
+                lines = body_lines(text) if text.isascii() else [(i, reader.plain(x)) for i, x in body_lines(text)]
                 m = len(lines)
                 at_edge = [page and (k < EDGE or m - 1 - k < EDGE) for k in range(m)]
                 explicit = [reader.marked(x, at_edge[k] or not page) for k, (_, x) in enumerate(lines)]
-                sure = [not at_edge[k] and not explicit[k] for k in range(m)]
 
                 def heads(k: int) -> list[dict]:
                     """Lines from k on, up to the first that is sure to be body."""
@@ -349,43 +367,53 @@ def layout(texts: DataFrame) -> DataFrame:
                     for j in range(k, m):
                         h = reader.head.match(lines[j][1])
                         got.append({"line_no": lines[j][0], "head": h[1] if h else ""})
-                        if sure[j]:
+                        if not at_edge[j] and not explicit[j]:
                             break
                     return got
 
-                edges, tails, met = [], [], set()
+                mine = []
                 for k, (no, line) in enumerate(lines):
-                    if at_edge[k] or explicit[k]:
-                        bare = page and bool(reader.bare.match(line.lower()))
-                        key = "" if explicit[k] or bare or not page else reader.title(line)
-                        edges.append({"line_no": no, "top": k, "bottom": m - 1 - k, "line": line, "key": key, "again": key in met, "figure": reader.figure_of(line) if key else None, "explicit": explicit[k], "bare": bare})
-                        met.add(key)
-                    t = reader.tail.search(line) if line.rstrip()[-1:] in HYPHEN_SIGNS else None
+                    t = reader.tail.search(line.split()[-1]) if line.rstrip()[-1:] in HYPHEN_SIGNS and line.strip() else None
                     if t:
-                        tails.append({"line_no": no, "tail": t[1], "sign": t[2], "after": heads(k + 1)})
-                out.append((table_name, row_key, file, page_no, edges, tails, heads(0) if page else []))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), schema)], schema=schema)
+                        mine.append({"line_no": no, "tail": t[1], "sign": t[2], "after": heads(k + 1)})
+                tails.append(mine)
+                opens.append(heads(0) if page else [])
+                some = [k for k in range(m) if at_edge[k] or explicit[k]]
+                bare = [page and len(x := lines[k][1].strip()) <= 8 and bool(reader.bare.match(x.lower())) for k in some]
+                keyed = [j for j, k in enumerate(some) if page and not explicit[k] and not bare[j]]
+                keys = dict(zip(keyed, reader.titles([lines[k][1] for k in map(some.__getitem__, keyed)]))) if keyed else {}
+                met = set()
+                for j, k in enumerate(some):
+                    no, line = lines[k]
+                    key = keys.get(j, "")
+                    row = (no, k, m - 1 - k, line, key, key in met, reader.figure_of(line) if key else None, explicit[k], bare[j])
+                    for cell, x in zip(cells, row):
+                        cell.append(x)
+                    met.add(key)
+                upto.append(upto[-1] + len(some))
+            edges = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cells, edge)], fields=list(edge)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(schema.field(c).type) for c in ("table_name", "row_key", "file", "page_no")], edges, pa.array(tails, pa.list_(tail)), pa.array(opens, some_lines)], names=schema.names)
 
     # a question of one line has no broken words, and one that does not begin like a page mark stays out of the workers
     lined = (F.col("table_name") == "extracted_pages") | F.col("text").contains("\n") | F.col("text").rlike(MARK_BEGIN)
     return texts.where(lined).mapInArrow(run, LAYOUT)
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """The code points of words, a row each, with zeros behind them."""
+    width = max(map(len, words), default=0)
+    return np.array(words, dtype=f"U{max(width, 1)}").view(np.uint32).reshape(len(words), max(width, 1))[:, :width]
+
+
 class Trie:
     """Words as levels of nodes in flat arrays: of level d the characters, where each node's children begin on the next
-    level and how many they are, and the number of the word that ends there (-1 where none does)."""
+    level and how many they are, and the place in the list of the word that ends there (-1 where none does)."""
 
-    def __init__(self, words: list[str]):
-        self.words = sorted(set(words))
-        width = max(map(len, self.words), default=0)
-        at = np.zeros((len(self.words), width + 1), dtype=np.int32)
-        for i, w in enumerate(self.words):
-            at[i, : len(w)] = [ord(c) for c in w]
-        lens = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.alphabet, codes = np.unique(at, return_inverse=True)
-        at = codes.reshape(at.shape)
-        order = np.lexsort(at.T[::-1]) if width else np.arange(len(self.words))
+    def __init__(self, at: np.ndarray, lens: np.ndarray, alphabet: np.ndarray):
+        """Of words as numbers of characters of an alphabet, a row each, with zeros behind them."""
+        self.alphabet, width = alphabet, int(lens.max(initial=0))
+        at = at[:, :width]
+        order = np.lexsort(at.T[::-1]) if width else np.arange(len(at))
         at, lens = at[order], lens[order]
         new = np.zeros(len(at), dtype=bool)
         new[:1] = True
@@ -416,65 +444,74 @@ MERGED = tuple((read, printed) for printed, read in CONFUSIONS if len(read) == 2
 PARTED = tuple((read, printed) for printed, read in CONFUSIONS if len(read) == 1 and len(printed) == 2)
 
 
-def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str], parted: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levenshtein automata of some words run through a trie side by side: arrays of word number, number of the trie's
-    word, and edits. A state is a set of places in the word for each number of edits, a bit a place, so that a step is a
-    few operations on whole arrays; with so many edits a word may only be at the places of the gate for that number."""
-    most = len(gates) - 1
+def _run(trie: Trie, words: list[str], gates: list[int], merged: list[str], parted: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Levenshtein automata of some words of one length run through a trie side by side: arrays of word number, number of
+    the trie's word, and edits. A state is a set of places in the word for each number of edits, a bit a place, so that a
+    step is a few operations on whole arrays; with so many edits a word may only be at the places of the gate for that number."""
+    most, n = len(gates) - 1, len(words[0])
+    bits = np.uint16 if n < 16 else np.uint32 if n < 32 else np.uint64  # less to move for most words
+    one, gates = bits(1), [bits(g) for g in gates]
     alphabet = {chr(c): i for i, c in enumerate(trie.alphabet)}
-    bits = np.uint32 if max(map(len, words), default=0) <= 30 else np.uint64  # half as much to move for most words
-    one, gates = bits(1), [g.astype(bits) for g in gates]
-    n = np.array([len(w) for w in words], dtype=bits)
     split = [(alphabet.get(p[0], -1), alphabet.get(p[1], -1)) for _, p in parted]
-    mask = np.zeros((len(words), len(alphabet)), dtype=bits)
+    at = _codes(words)
+    known = np.searchsorted(trie.alphabet, at)
+    known[trie.alphabet[np.minimum(known, len(alphabet) - 1)] != at] = len(alphabet)
+    mask = np.zeros((len(words), len(alphabet) + 1), dtype=bits)
     merge = np.zeros(len(words), dtype=bits)
     read = np.zeros((len(split), len(words)), dtype=bits)
-    for i, w in enumerate(words):
-        for k, c in enumerate(w):
-            if c in alphabet:
-                mask[i, alphabet[c]] |= bits(1 << k)
-            if w[k : k + 2] in merged:
-                merge[i] |= bits(1 << k)
-            for j, (r, _) in enumerate(parted):
-                if c == r:
-                    read[j, i] |= bits(1 << k)
+    every = np.arange(len(words))
+    for k in range(n):
+        place = bits(1 << k)
+        mask[every, known[:, k]] |= place
+        if k + 1 < n:
+            for a, b in merged:
+                merge[(at[:, k] == ord(a)) & (at[:, k + 1] == ord(b))] |= place
+        for j, (r, _) in enumerate(parted):
+            read[j, at[:, k] == ord(r)] |= place
+    flat, wide = mask.ravel(), mask.shape[1]
     # state: word, node, the character before, and places after 0, 1 .. edits, now and one character earlier
-    who = np.arange(len(words), dtype=np.int32)
+    who = every.astype(np.int32)
     node, char = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
     now = [np.ones(len(words), dtype=bits) & gates[0]]
     for k in range(1, most + 1):
         now.append((now[-1] | (now[-1] << one)) & gates[k])
     old = [np.zeros_like(x) for x in now]
+    parts = np.bitwise_or.reduce(read, axis=0)
     for d in range(len(trie.char) - 1):
         free = np.zeros_like(now[0])
-        for x in (*now[:most], *old[:most]):
-            free |= x
+        for k in range(most):
+            x = now[k]
+            free |= (x | x << one | x << bits(2) | (old[k] & parts[who]) << one) & gates[k + 1]
         spent = free == 0
-        # where all edits are spent, only a child with the very next character lives
+        # where all edits are spent, or none can be made yet, only a child with the very next character lives
         rows, child = _children(trie, d, node, np.flatnonzero(spent))
         c, i = trie.char[d + 1][child], who[rows]
-        r = ((now[most][rows] & mask[i, c]) << one) & gates[most][i]
-        on = np.flatnonzero(r)
-        none = np.zeros(len(on), dtype=bits)
-        exact = (i[on], child[on], c[on], [none] * most + [r[on]], [none] * most + [now[most][rows[on]]])
+        m = flat[i * wide + c]
+        was = [x[rows] for x in now]
+        got = [((x & m) << one) & g for x, g in zip(was, gates)]
+        on = np.flatnonzero(np.bitwise_or.reduce(got))
+        exact = (i[on], child[on], c[on], [x[on] for x in got], [x[on] for x in was])
         rows, child = _children(trie, d, node, np.flatnonzero(~spent))
         if not len(rows) and not len(on):
             break
         c, i = trie.char[d + 1][child], who[rows]
-        m = mask[i, c]
+        m = flat[i * wide + c]
         was = [x[rows] for x in now]
-        got = [((was[0] & m) << one) & gates[0][i]]
-        two = [(char[rows] == a) & (c == b) for a, b in split]
+        got = [((was[0] & m) << one) & gates[0]]
+        merging = merge[i]
+        two = [np.flatnonzero((c == b) & (char[rows] == a)) for a, b in split]
         for k in range(1, most + 1):
             # kept, added, put for another, left out, two read for one
-            r = ((was[k] & m) << one) | was[k - 1] | (was[k - 1] << one) | (got[-1] << one) | ((was[k - 1] & merge[i]) << bits(2)) | got[-1]
+            less = was[k - 1]
+            r = (((was[k] & m) | less | got[-1]) << one) | less | got[-1] | ((less & merging) << bits(2))
             for j, t in enumerate(two):  # one read for two
-                if t.any():
+                if len(t):
                     r[t] |= (old[k - 1][rows[t]] & read[j, i[t]]) << one
-            got.append(r & gates[k][i])
-        alive = got[-1] != 0
+            r &= gates[k]
+            got.append(r)
+        alive = got[-1].copy()
         for x in got[:-1]:
-            alive |= x != 0
+            alive |= x
         alive = np.flatnonzero(alive)
         joined = lambda a, b: np.concatenate([a[alive], b])
         who, node, char = joined(i, exact[0]), joined(child, exact[1]), joined(c, exact[2])
@@ -483,7 +520,7 @@ def _run(trie: Trie, words: list[str], gates: list[np.ndarray], merged: list[str
         end = np.flatnonzero(v >= 0)
         edits = np.full(len(end), most + 1)
         for k in range(most, -1, -1):
-            edits[((now[k][end] >> n[who[end]]) & one) == 1] = k
+            edits[((now[k][end] >> bits(n)) & one) == 1] = k
         met = end[edits <= most]
         yield who[met], v[met], edits[edits <= most]
 
@@ -497,43 +534,49 @@ def _children(trie: Trie, d: int, node: np.ndarray, of: np.ndarray) -> tuple[np.
 
 
 class Lexicon:
-    """A vocabulary as a trie of its words and one of its words read backwards."""
+    """A vocabulary, and for each length of word that is looked for two tries of those of its words that may be near by
+    their length: one forward, one backward."""
 
     def __init__(self, words: list[str]):
-        self.ahead = Trie(words)
-        self.back = Trie([w[::-1] for w in self.ahead.words])
-        number = {w: i for i, w in enumerate(self.ahead.words)}
-        self.words = self.ahead.words
-        self.same = np.array([number[w[::-1]] for w in self.back.words], dtype=np.int64)
+        self.words = sorted(set(words))
+        self.lens = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.alphabet, at = np.unique(np.append(_codes(self.words).ravel(), np.uint32(0)), return_inverse=True)
+        self.at = at[:-1].astype(np.int32).reshape(len(self.words), -1) if self.lens.any() else np.zeros((len(self.words), 0), dtype=np.int32)
 
     def within(self, words: list[str], group: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Arrays of word number, number of the vocabulary's word, and edits, of every pair within two edits (one edit for a word of
         four characters and fewer); two characters read for one of the scanner's, or one for two, are one edit.
 
-        Complete for words of up to 60 characters: of two edits either at most one is in the first half of the word, and
-        the forward trie has the pair without a second edit there, or both are, and the backward trie has it behind an
-        exact second half."""
+        Complete for words of up to 60 characters: no edit changes a length by more than one; and of two edits either at
+        most one is in the first half of the word, and the forward trie has the pair without a second edit there, or both
+        are, and the backward trie has it behind an exact second half."""
         merged = [r for r, _ in MERGED]
-        full = lambda n: (np.uint64(1) << (n + np.uint64(1))) - np.uint64(1)
-        below = lambda n: (np.uint64(1) << n) - np.uint64(1)
-        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(words), group):
-            these = np.array(by_length[at : at + group])
-            part = [words[i] for i in these]
-            n = np.array([len(w) for w in part], dtype=np.uint64)
-            half, long = n // np.uint64(2), n > 4
-            got = list(_run(self.ahead, part, [full(n), full(n), np.where(long, full(n) & ~below(half), np.uint64(0))], merged, list(PARTED)))
-            rest = np.flatnonzero(long)
-            m = n[rest]
-            gate = full(m) & ~below(m - half[rest])
-            back = _run(self.back, [part[k][::-1] for k in rest], [full(m), gate, gate], [r[::-1] for r in merged], [(r, p[::-1]) for r, p in PARTED])
-            got += [(rest[i], self.same[v], e) for i, v, e in back]
-            if got:
-                i, v, e = (np.concatenate(x) for x in zip(*got))
-                by = np.lexsort((e, v, i))
-                i, v, e = i[by], v[by], e[by]
-                new = np.concatenate([[True], (i[1:] != i[:-1]) | (v[1:] != v[:-1])])[: len(i)]
-                yield these[i[new]], v[new], e[new]
+        of_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            of_length.setdefault(len(w), []).append(i)
+        for n, all_these in of_length.items():
+            most = 2 if n > 4 else 1
+            number = np.flatnonzero(abs(self.lens - n) <= most)
+            if not len(number):
+                continue
+            at, lens = self.at[number], self.lens[number]
+            from_end = lens[:, None] - 1 - np.arange(at.shape[1])
+            turned = np.where(from_end >= 0, np.take_along_axis(at, np.maximum(from_end, 0), axis=1), 0)
+            ahead, back = Trie(at, lens, self.alphabet), Trie(turned, lens, self.alphabet) if most == 2 else None
+            full, half = (1 << (n + 1)) - 1, (n + 1) // 2
+            late, gate = full & ~((1 << half) - 1), full & ~((1 << (n - half)) - 1)
+            for start in range(0, len(all_these), group):
+                these = np.array(all_these[start : start + group])
+                part = [words[i] for i in these]
+                got = list(_run(ahead, part, [full, full, late][: most + 1], merged, list(PARTED)))
+                if back:
+                    got += _run(back, [w[::-1] for w in part], [full, gate, gate], [r[::-1] for r in merged], [(r, p[::-1]) for r, p in PARTED])
+                if got:
+                    i, v, e = (np.concatenate(x) for x in zip(*got))
+                    by = np.lexsort((e, v, i))
+                    i, v, e = i[by], v[by], e[by]
+                    new = np.concatenate([[True], (i[1:] != i[:-1]) | (v[1:] != v[:-1])])[: len(i)]
+                    yield these[i[new]], number[v[new]], e[new]
 
 
 OTHER_EDIT = 3  # what an edit that is no confusion of a scanner costs; a confusion costs 1
@@ -568,6 +611,37 @@ for _printed, _read in CONFUSIONS:
     RULES.setdefault(_read[0], []).append((_read, _printed))
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Which characters words have, a bit each (some share one)."""
+    got, at = np.zeros(len(words), dtype=np.uint64), _codes(words).astype(np.uint64)
+    for c in at.T:
+        got |= np.where(c > 0, np.uint64(1) << (c & np.uint64(63)), np.uint64(0))
+    return got
+
+
+PRINTED, READ = (_letters([x[i] for x in CONFUSIONS]).tolist() for i in (0, 1))
+
+
+def _usable(letters: np.ndarray, needed: list[int]) -> np.ndarray:
+    """For which confusions words have all characters, a bit each."""
+    got = np.zeros(len(letters), dtype=np.uint32)
+    for k, x in enumerate(needed):
+        got |= (letters & np.uint64(x) == np.uint64(x)).astype(np.uint32) << np.uint32(k)
+    return got
+
+
+def _possible(read: tuple[np.ndarray, np.ndarray], printed: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs may differ by confusions alone: a character that only one of the two has is of a confusion both
+    have the characters for."""
+    a, b = read[0][i], printed[0][j]
+    usable = read[1][i] & printed[1][j]
+    a, b = a & ~b, b & ~a
+    for k, (p, r) in enumerate(zip(PRINTED, READ)):
+        on = (usable >> np.uint32(k) & np.uint32(1)).astype(np.uint64)
+        a, b = a & ~(on * np.uint64(r)), b & ~(on * np.uint64(p))
+    return (usable > 0) & (a | b == 0)
+
+
 def _search(key, vocabulary: pd.DataFrame, suspects: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(vocabulary) and len(suspects):
@@ -578,9 +652,12 @@ def _search(key, vocabulary: pd.DataFrame, suspects: pd.DataFrame) -> pd.DataFra
         lowest = min(least.values())
         lexicon = Lexicon([v for v, n in often.items() if len(v) <= 62 and n >= lowest])
         nv, nw = np.array([often[v] for v in lexicon.words]), np.array([least[w] for w in short])
+        read, printed = ((x, _usable(x, needed)) for x, needed in ((_letters(short), READ), (_letters(lexicon.words), PRINTED)))
         pairs = []
         for i, j, e in lexicon.within(short):
             fit = (e > 0) & (nv[j] >= nw[i])
+            i, j = i[fit], j[fit]
+            fit = _possible(read, printed, i, j)
             pairs += [(short[x], lexicon.words[y]) for x, y in zip(i[fit].tolist(), j[fit].tolist())]
         pairs += [(w, v) for w in suspects.w if len(w) > 60 for v in often if abs(len(v) - len(w)) <= MAX_EDITS and v != w and often[v] >= least[w]]
         out = [(w, v, c) for w, v in pairs if (c := cost(w, v, MAX_EDITS)) <= MAX_EDITS]

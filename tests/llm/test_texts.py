@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from lodestone.llm import scans, subjects
 
@@ -91,6 +92,53 @@ def test_confusions_are_costs():
     assert any(lexicon.words[j] == "manager" for x in lexicon.within(["managxr"]) for j in x[1])
 
 
+def test_only_words_of_near_lengths_are_walked(monkeypatch):
+    """A trie holds only what two edits may reach by its length, so that a long word costs nothing among short ones."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abrn", k=n))
+    lexicon, children, seen = scans.Lexicon([word(6) for _ in range(300)]), scans._children, []
+
+    def counted(*a):
+        got = children(*a)
+        seen.append(len(got[0]))
+        return got
+
+    monkeypatch.setattr(scans, "_children", counted)
+    assert not list(lexicon.within([word(9) for _ in range(50)] + [word(3) for _ in range(50)])) and not sum(seen)
+    assert list(lexicon.within([word(8) for _ in range(50)])) and sum(seen)
+
+
+def test_candidates_are_all_pairs_of_that_cost():
+    """What leaves out pairs before their cost is reckoned leaves out none that confusions make."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abhmnrclidoe6918u", k=rng.randint(2, 7)))
+    vocabulary = {word() for _ in range(1500)}
+    suspects = set()
+    for v in sorted(vocabulary)[:400]:
+        for _ in range(2):  # a confusion or two of a word
+            printed, read = rng.choice(scans.CONFUSIONS)
+            v = v.replace(printed, read, 1)
+        suspects.add(v)
+    words, asked = sorted(vocabulary), sorted(suspects)
+    lexicon = scans.Lexicon(words)
+    right = {(asked[i], words[j], c) for x in lexicon.within(asked) for i, j in zip(x[0].tolist(), x[1].tolist()) if 0 < (c := scans.cost(asked[i], words[j], 2)) <= 2}
+    got = scans._search(None, pd.DataFrame({"v": words, "nv": 100}), pd.DataFrame({"w": asked, "nw": 1}))
+    assert set(got.itertuples(index=False, name=None)) == right and len(right) > 100
+
+
+def test_lines_of_invisible_characters(spark):
+    pages = [(1, "f.txt", 1, "\u200b\nThe manager planned every section.\n\ufeff\u200d"), (2, "f.txt", 2, "\u2060")]
+    _, got = found(spark, pages, [(1, "\u200b\nPage 4"), (2, "\u200b")])
+    assert got == {("questions", 1, 2, "page_number")}
+
+
+def test_titles_of_several_lines():
+    reader, lines = scans.Reader(), ["Class  Notebook | 12", "| xiv Comp@nion 3 rn", "\ua66e cl", "", "12"]
+    for some in (lines, lines[:2], lines[:1]):
+        assert reader.titles(some) == [t for x in some for t in reader.titles([x])]
+    assert reader.titles(lines[:1]) == reader.titles(["CLASS notebook | 7"])
+
+
 def test_page_marks_of_any_length(spark):
     long = "-" * 80 + " 7 " + "-" * 80
     pages = [(1, "f.txt", 1, "The manager planned every section.\n" + long), (2, "f.txt", 2, "   Page 12 of 90    " + " " * 100)]
