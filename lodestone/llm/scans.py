@@ -163,8 +163,8 @@ class Tokens:
         self.number: dict[str, int] = {}  # words
         self.texts: list[str] = []  # of words
         self.raw = [LINE]
-        # of chunks: their words one after the other and how many; capital at its start; a capital after it is within a sentence; ends in a hyphen
-        self.held, self.sizes, self.flags = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((1, 3), dtype=bool)
+        # of chunks: their words one after the other and how many; capital at its start; a capital after it is within a sentence; ends in a hyphen; has one
+        self.held, self.sizes, self.flags = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((1, 4), dtype=bool)
 
     def _add(self, chunks: list[str]) -> None:
         number, texts = self.number, self.texts
@@ -183,7 +183,7 @@ class Tokens:
         is_true = lambda x: x.to_numpy(zero_copy_only=False)
         capital = is_true(pc.ascii_is_upper(pc.utf8_slice_codeunits(w, 0, 1))) & is_true(pc.ascii_is_lower(pc.utf8_slice_codeunits(w, 1, 2)))
         within = is_true(pc.ascii_is_lower(w)) & ((marks == 0) | is_true(pc.ends_with(ours, ",")))
-        singles = np.stack([capital, within, np.zeros(len(w), dtype=bool)], axis=1)
+        singles = np.stack([capital, within, *np.zeros((2, len(w)), dtype=bool)], axis=1)
         ours, others = ours.to_numpy(zero_copy_only=False).tolist(), every.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist()
         held, sizes, flags = [], [], []
         for chunk in others:
@@ -196,13 +196,13 @@ class Tokens:
                     texts.append(x)
                 held.append(k)
             sizes.append(len(w))
-            flags.append((bool(w) and w[0][0].isupper() and w[0][1:2].islower(), bool(w) and w[-1].islower() and w[-1].isalpha(), chunk[-1] in HYPHEN_SIGNS))
+            flags.append((bool(w) and w[0][0].isupper() and w[0][1:2].islower(), bool(w) and w[-1].islower() and w[-1].isalpha(), chunk[-1] in HYPHEN_SIGNS, "-" in chunk))
         for some in (ours, others):
             self.known.update(zip(some, range(len(self.raw), len(self.raw) + len(some))))
             self.raw += some
         self.held = np.concatenate([self.held, places, np.array(held, dtype=np.int64)])
         self.sizes = np.concatenate([self.sizes, np.ones(len(ours), dtype=np.int64), np.array(sizes, dtype=np.int64)])
-        self.flags = np.concatenate([self.flags, singles, np.array(flags, dtype=bool).reshape(-1, 3)])
+        self.flags = np.concatenate([self.flags, singles, np.array(flags, dtype=bool).reshape(-1, 4)])
 
     def read(self, texts: pa.Array) -> None:
         """Sets ``chunk`` (numbers of chunks without those that are pieces of words), ``word``, and for both the line they
@@ -276,11 +276,11 @@ def counted(texts: DataFrame) -> DataFrame:
                 sums[0] += np.bincount(tokens.word, minlength=m)
                 sums[1] += np.bincount(tokens.word[tokens.first[tokens.named]], minlength=m)
                 sums[2] += np.bincount(tokens.word, away[tokens.word_line], minlength=m).astype(np.int64)
-                for k, n in zip(*np.unique(tokens.chunk, return_counts=True)):
-                    if "-" in (c := tokens.raw[k]):
-                        for found in reader.compound.findall(c.lower()):
-                            parts = found.split("-")
-                            compounds.update({f"{a}-{b}": int(n) for a, b in zip(parts, parts[1:])})
+                times = np.bincount(tokens.chunk, minlength=len(tokens.raw))
+                for k in np.flatnonzero((times > 0) & tokens.flags[:, 3]).tolist():
+                    for found in reader.compound.findall(tokens.raw[k].lower()):
+                        parts = found.split("-")
+                        compounds.update({f"{a}-{b}": int(times[k]) for a, b in zip(parts, parts[1:])})
         yield flush()
 
     each = texts.select("text", (F.col("table_name") == "extracted_pages").alias("page")).mapInArrow(run, "word string, n long, named long, inner long, compound boolean")
@@ -709,16 +709,17 @@ def places(texts: DataFrame, suspects: list[str]) -> DataFrame:
                 is_suspect = np.concatenate([is_suspect, np.array([w in wanted for w in tokens.texts[len(is_suspect) :]], dtype=bool)])
                 more = [not c.isalpha() and not (c[-1] in ".?:;," and c[:-1].isalpha()) and bool(reader.figure.search(p := reader.plain(c)) or reader.inside.search(p)) for c in tokens.raw[len(is_odd) :]]
                 is_odd = np.concatenate([is_odd, np.array(more, dtype=bool)])
-                words = pa.array([*tokens.texts, ""], pa.string())
+                texts, none_beside = tokens.texts, len(tokens.texts)
+                words = lambda k: pa.array([texts[x] if x < none_beside else "" for x in k.tolist()], pa.string())
                 hit = np.flatnonzero(is_suspect[tokens.word])
                 odd = np.unique(tokens.chunk_line[is_odd[tokens.chunk]])
                 line, last = tokens.word_line, len(tokens.word)
-                beside = lambda k: np.where((k >= 0) & (k < last) & (line[np.clip(k, 0, max(last - 1, 0))] == line[hit]), tokens.word[np.clip(k, 0, max(last - 1, 0))], len(tokens.texts)) if len(hit) else hit
+                beside = lambda k: np.where((k >= 0) & (k < last) & (line[np.clip(k, 0, max(last - 1, 0))] == line[hit]), tokens.word[np.clip(k, 0, max(last - 1, 0))], none_beside) if len(hit) else hit
                 where = np.concatenate([line[hit], odd])
                 text_of = pa.array(tokens.text_of[where])
                 empty = pa.array([""] * len(odd), pa.string())
-                joined = lambda k: pa.concat_arrays([words.take(pa.array(k)), empty])
-                found = pa.concat_arrays([words.take(pa.array(tokens.word[hit])), pa.array([None] * len(odd), none.type)])
+                joined = lambda k: pa.concat_arrays([words(k), empty])
+                found = pa.concat_arrays([words(tokens.word[hit]), pa.array([None] * len(odd), none.type)])
                 yield pa.RecordBatch.from_arrays([batch.column("table_name").take(text_of), batch.column("row_key").take(text_of), pa.array(tokens.line_no[where].astype(np.int32)), joined(beside(hit - 1)), joined(beside(hit + 1)), found], names=["table_name", "row_key", "line_no", "prev", "next", "w"])
 
     return texts.select("table_name", "row_key", "text").mapInArrow(run, "table_name string, row_key long, line_no int, prev string, next string, w string")
